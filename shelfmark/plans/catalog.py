@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.plans import nested
+from shelfmark.plans import matching, nested
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (nested,)
+_MODULES = (matching, nested)
 
 
 def queries() -> dict[str, Query]:
