@@ -131,7 +131,22 @@ def _acceptable(encoding: str, span: str, text: str, start: int, end: int) -> bo
     return True
 
 
-def _spans(text: str, encoding: str) -> list[tuple[int, int, str]]:
+# Characters without one of which a legacy set cannot have been at work.
+_BOX = frozenset(chr(c) for c in range(0x2500, 0x2600)) | frozenset("≈≤≥√÷⌠⌡∙")
+_NEEDED = {"koi8_r": _BOX, "cp866": _BOX | {"т"}, "cp850": _BOX | {"Ô"}, "cp437": _BOX | set("ΓπΣ"), "mac_roman": frozenset("√¬‚≈ƒ–—")}
+
+
+@lru_cache(maxsize=None)
+def _leads(encoding: str) -> frozenset[str]:
+    """The characters that a multi-byte sequence can begin with."""
+    return frozenset(c for c, b in legacy_bytes(encoding).items() if 0xC2 <= b <= 0xEF)
+
+
+def _spans(text: str, encoding: str, chars: set[str]) -> list[tuple[int, int, str]]:
+    if chars.isdisjoint(_leads(encoding)) or encoding in _NEEDED and chars.isdisjoint(_NEEDED[encoding]):
+        return []
+    if encoding == "cp866" and chars.isdisjoint(_BOX) and not re.search(r"тА[А-Я]", text):
+        return []
     pattern, to_byte = automaton(encoding)
     out = []
     for m in pattern.finditer(text):
@@ -263,6 +278,9 @@ def _reread(wrong: str, right: str) -> dict[int, str]:
     return out
 
 
+_PLAIN_RUSSIAN = -3.4  # proper sentences lie above, garbled ones hardly ever
+
+
 def _sentence(part: str, known: tuple[str, str] | None) -> tuple[str, tuple[str, str]] | None:
     """What a sentence says between two single-byte sets; ``known`` is the text's pair, if found."""
     cyrillic = len(re.findall(r"[Ѐ-џҐґ─-◿]", part))
@@ -277,6 +295,8 @@ def _sentence(part: str, known: tuple[str, str] | None) -> tuple[str, tuple[str,
         high = sum(not c.isascii() for w in words for c in w)
         if high < 0.85 * weight or max(len(w) for w in words) < 4:
             return None
+    elif not known and now >= _PLAIN_RUSSIAN:
+        return None
     best, found = now + (0.0 if known else 0.7 if weight >= 8 else 1.2), None
     for pair in [known] if known in pairs else pairs:
         new = part.translate(_reread(*pair))
@@ -296,7 +316,7 @@ _BOXES = str.maketrans(dict.fromkeys("═║╒╓╔╕╖╗╘╙╚╛╜╝
 
 def _single_byte(text: str) -> list[tuple[int, int, str]]:
     """Russian text between two single-byte sets, sentence by sentence."""
-    if len(re.findall(r"[Ѐ-џҐґ─-◿\xa8\xb8\xc0-\xff]", text)) < 4:
+    if not re.search(r"[\xa8\xb8\xc0-\xff]{4}|[Ѐ-џҐґ─-◿]{2}", text):
         return []
     parts = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\n.!]+[.!]*", text)]
     found = [_sentence(p, None) for _, _, p in parts]
@@ -331,21 +351,37 @@ def _polish(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_POLISH_CHARS = frozenset("³¹¿\x9c\x9f±¶¼\x8c\x8f¯£œŸ")
+
+
 def _step(text: str) -> tuple[str, int]:
-    """Decode with the legacy set that explains most characters; the number of spans."""
-    if _mostly_gbk(text) and (spans := _gbk_as_latin(text, 2)):
+    """Decode with the legacy set that explains most characters; the number of spans.
+
+    The characters that occur decide which readings are tried at all.
+    """
+    chars = {c for c in set(text) if c > "\x7f"}
+    latin = sum("\xa1" <= c <= "\xfe" for c in chars)
+    if latin >= 3 and _mostly_gbk(text) and (spans := _gbk_as_latin(text, 2)):
         return _replace(text, spans), len(spans)
     best, best_size = [], 0
     for encoding in LEGACY:
-        spans = _spans(text, encoding)
+        spans = _spans(text, encoding, chars)
         size = sum(end - start for start, end, _ in spans)
         if size > best_size:
             best, best_size = spans, size
     if best:
         return _replace(text, best), len(best)
-    for find in (_gbk_as_latin, _two_byte, _single_byte, _polish):
-        spans = find(text)
-        if spans:
+    tries = []
+    if latin >= 3:
+        tries.append(_gbk_as_latin)
+    if any(c >= "\u2e80" or "\u2460" <= c <= "\u25ff" for c in chars):
+        tries.append(_two_byte)
+    if latin >= 3 or any("\u0400" <= c <= "\u0491" or "\u2500" <= c <= "\u25ff" for c in chars):
+        tries.append(_single_byte)
+    if not chars.isdisjoint(_POLISH_CHARS):
+        tries.append(_polish)
+    for find in tries:
+        if spans := find(text):
             return _replace(text, spans), len(spans)
     return text, 0
 
