@@ -43,7 +43,10 @@ COVERED = 0.5  # of the item's own words
 LEAST_PIECE = 8  # words
 LEAST_HITS = 3
 _DROP = 5
+_LOW = 2**22 - 1
 
+# The format characters, from the character database.
+_INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x20000) if unicodedata.category(chr(c)) == "Cf") + "]+")
 _WORD = re.compile(r"[⺀-鿿぀-ヿ豈-﫿]|(?:(?![⺀-鿿぀-ヿ豈-﫿])[^\W_])+")
 
 
@@ -53,7 +56,7 @@ def words(text: str) -> list[str]:
         text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+        text = _INVISIBLE.sub("", text)
     return _WORD.findall(text.casefold())
 
 
@@ -67,13 +70,9 @@ class Hasher:
         known = self.known
         if len(known) > 2_000_000:
             known.clear()
-        out = np.empty(len(texts), np.uint64)
-        for i, w in enumerate(texts):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out[i] = h
-        return out
+        for w in set(texts).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, texts), np.uint64, len(texts))
 
 
 def seeds(hashes: np.ndarray) -> list[np.ndarray]:
@@ -178,15 +177,22 @@ class Index:
         self.hash = np.concatenate(hashes)[order] if hashes else np.empty(0, np.uint64)
         self.item = np.concatenate(owners)[order] if hashes else np.empty(0, np.int64)
         self.place = np.concatenate(places)[order] if hashes else np.empty(0, np.int32)
+        self.bits = np.zeros(_LOW + 1, bool)
+        self.bits[(self.hash & np.uint64(_LOW)).astype(np.int64)] = True
 
     def find(self, hashes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """The hits of a document: item to (item position, document position)."""
         hits: dict[int, set] = defaultdict(set)
+        if not len(self.hash):
+            return {}
         for s in seeds(hashes):
-            if not len(s) or not len(self.hash):
+            # A bit table of the seeds' low bits leaves few positions to search for.
+            maybe = np.flatnonzero(self.bits[(s & np.uint64(_LOW)).astype(np.int64)])
+            if not len(maybe):
                 continue
-            lo = np.searchsorted(self.hash, s)
-            at = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == s)
+            lo = np.zeros(len(s), np.int64)
+            lo[maybe] = np.searchsorted(self.hash, s[maybe])
+            at = maybe[self.hash[np.minimum(lo[maybe], len(self.hash) - 1)] == s[maybe]]
             for j in at.tolist():
                 k = int(lo[j])
                 while k < len(self.hash) and self.hash[k] == s[j]:
