@@ -10,10 +10,10 @@ Collective linkage in four steps, each over the whole of both tables:
    pruned to the rarest pairs of each reading, enough that readings with one
    damaged word still share one. Readings that stay are compared word by word,
    and the equal ones are closed to title clusters.
-3. Within a title cluster, records that share an identifier, an organisation or
-   a country are joined, and what they share is propagated to the records
-   joined to them until nothing changes. So namesakes with another publisher
-   and country fall apart.
+3. Within a title cluster, records that share an identifier, a publisher in
+   whatever spelling, or a country are joined, and what they share is propagated
+   to the records joined to them until nothing changes. So namesakes with another
+   publisher and country fall apart.
 4. Where no two groups of a cluster prove to be namesakes by their countries, the
    cluster is one journal; records without attributes join it.
 
@@ -25,13 +25,14 @@ Defined cases
 * series of a journal differ, whatever else agrees; subtitles and parallel titles
   may be missing on either side;
 * identifiers count only if their check digit is right; filler and cut values
-  never count; of several values of one attribute the most frequent ones count;
+  never count; of several countries of one record the most frequent ones count;
 * repeated rows change nothing; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.llm.countries import country_code
-from shelfmark.llm.name_links import organisations, publisher_rows
-from shelfmark.llm.name_rules import within_one
+from shelfmark.llm.name_rules import alias_fits, compare, read_name, within_one
 from shelfmark.llm.survivorship import filled
 from shelfmark.llm.title_rules import STOP, read_title, same_title
 from shelfmark.operators.components import components
@@ -48,6 +48,7 @@ from shelfmark.session import stored
 
 BEGINNING = 4  # letters of a word that a block key holds
 RARER = 5  # a misspelling is so many times rarer than the word it stands for
+SAME_PUBLISHER = 0.7  # soft token similarity of two spellings of one publisher
 
 
 def valid_issn(value: Column) -> Column:
@@ -278,46 +279,65 @@ def attributes(topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> Da
     return both.groupBy("side", "id", "attr", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _same_publisher(a: str, b: str) -> Column:
+    @F.pandas_udf("boolean")
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        read = lru_cache(maxsize=50_000)(read_name)
+
+        def one(x: str, y: str) -> bool:
+            p, q = read(x), read(y)
+            if p is None or q is None:
+                return False
+            if p["alias_only"] and q["alias_only"]:
+                return p["alias"] == q["alias"]
+            if p["alias_only"]:
+                p, q = q, p
+            if q["alias_only"]:
+                return p["alias"] == q["alias"] or alias_fits(q["alias"], q["alias_only"], p["tokens"])
+            return compare(p, q) >= SAME_PUBLISHER
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return same(a, b)
+
+
 def grouped(topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The journal of every record: side, id, journal (null where undecided)."""
     named = stored(titles(topics, catalogue), "titles")
-    clusters = stored(title_clusters(named), "clusters")
+    clusters = title_clusters(named)
     # Where the rows of an id differ in title, the most frequent cluster is the id's.
     of = named.join(clusters, "title").groupBy("side", "id", "cluster").agg(F.count(F.lit(1)).alias("n"))
     of = of.groupBy("side", "id").agg(F.min_by("cluster", F.struct(-F.col("n"), F.col("cluster"))).alias("cluster"))
     of = stored(of, "of-cluster")
 
-    topic_names = fields.where("name = 'publisher' and value is not null").select(F.array("value").alias("names"))
-    orgs = organisations(publisher_rows(catalogue).unionByName(topic_names)).select(F.col("name").alias("value"), "org")
     long = attributes(topics, fields, catalogue)
-    named_p = long.where("attr = 'p'").join(orgs, "value").select("side", "id", "attr", F.col("org").cast("string").alias("value"), "n")
-    merged = named_p.groupBy("side", "id", "attr", "value").agg(F.sum("n").alias("n")).unionByName(long.where("attr <> 'p'"))
-    top = merged.groupBy("side", "id", "attr").agg(F.max("n").alias("top"))
-    # An identifier counts however often it stands there; of the others the most frequent.
-    best = merged.join(top, ["side", "id", "attr"]).where("n = top or attr = 'i'")
+    # Of several countries the most frequent ones count, so that one wrong source does not decide.
+    top = F.max("n").over(Window.partitionBy("side", "id", "attr"))
+    best = long.withColumn("top", top).where("attr <> 'c' or n = top")
     held = stored(
         best.join(of, ["side", "id"]).select(
-            "side", "id", "cluster", "attr", F.xxhash64("cluster", "attr", "value").alias("av")
+            "side", "id", "cluster", "attr", F.when(F.col("attr") == "p", F.col("value")).alias("publisher"),
+            F.xxhash64("cluster", "attr", "value").alias("av"),
         ),
         "held",
-    )
+    )
+    # What stands in one record belongs together.
     least = held.groupBy("side", "id").agg(F.min("av").alias("least"))
-    edges = held.join(least, ["side", "id"]).where("av <> least").select(F.col("least").alias("src"), F.col("av").alias("dst"))
-    labels = components(edges)
-    of_av = held.join(labels.withColumnRenamed("node", "av"), "av", "left").withColumn("comp", F.coalesce("component", "av"))
+    beside = held.join(least, ["side", "id"]).where("av <> least").select(F.col("least").alias("src"), F.col("av").alias("dst"))
+    # Spellings of one publisher within a cluster of titles; spellings that any record holds beside
+    # each other need no comparison, and there are few distinct ones to a cluster.
+    names = held.where("attr = 'p'").select("cluster", "av", "publisher").distinct()
+    pairs = names.alias("x").join(names.alias("y"), "cluster").where("x.av < y.av")
+    spelt = pairs.where(_same_publisher("x.publisher", "y.publisher")).select(F.col("x.av").alias("src"), F.col("y.av").alias("dst"))
+    labels = components(beside.unionByName(spelt))
+    of_av = held.drop("publisher").join(labels.withColumnRenamed("node", "av"), "av", "left").withColumn("comp", F.coalesce("component", "av"))
     # What each component knows decides which may be one journal.
-    comps = of_av.groupBy("cluster", "comp").agg(
-        F.max(F.col("attr") == "p").alias("p"), F.max(F.col("attr") == "c").alias("c")
-    )
+    comps = of_av.groupBy("cluster", "comp").agg(F.max(F.col("attr") == "c").alias("c"))
     per = comps.groupBy("cluster").agg(
-        F.count_if(F.col("p") & F.col("c")).alias("n_full"),
-        F.count_if(~F.col("p") & F.col("c")).alias("n_c"),
-        F.min(F.when(F.col("p") | F.col("c"), F.col("comp"))).alias("anchor"),
-        F.min("comp").alias("any_comp"),
+        F.count_if("c").alias("n_c"), F.min(F.when(F.col("c"), F.col("comp"))).alias("anchor"), F.min("comp").alias("any_comp")
     )
     # Namesakes differ in publisher and country: without a second country there is no proof of one.
-    one = F.col("n_full") + F.col("n_c") <= 1
-    per = per.select("cluster", one.alias("one"), F.coalesce("anchor", "any_comp").alias("sole"))
+    per = per.select("cluster", (F.col("n_c") <= 1).alias("one"), F.coalesce("anchor", "any_comp").alias("sole"))
     of_record = of_av.groupBy("side", "id").agg(F.min("comp").alias("comp"))
     joined = of.join(of_record, ["side", "id"], "left").join(per, "cluster", "left")
     journal = F.when(F.col("one").isNull(), F.col("cluster")).when(F.col("one"), F.col("sole")).otherwise(F.col("comp"))

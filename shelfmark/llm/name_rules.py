@@ -6,6 +6,7 @@ the brute-force tests.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
@@ -126,7 +127,7 @@ def within_one(a: str, b: str) -> bool:
 @lru_cache(maxsize=200_000)
 def concept_near(word: str) -> str | None:
     """The kind word that a misspelt word stands for, if any."""
-    if len(word) < 4:
+    if not 4 <= len(word) <= MOST_LETTERS:
         return None
     for known, concept in CONCEPT_OF.items():
         if len(known) >= 4 and within_one(word, known):
@@ -147,6 +148,19 @@ def given_near(word: str) -> str | None:
     return None
 
 
+# A name of more words, or a word of more letters, is compared as a whole only.
+MOST_WORDS = 48
+MOST_LETTERS = 48
+
+
+def bounded(tokens: list[str]) -> list[str]:
+    """Tokens as they are, but overlong words, and overlong lists of words, as one digest each."""
+    out = [t if len(t) <= MOST_LETTERS else "#" + hashlib.sha1(t.encode("utf-8", "replace")).hexdigest() for t in tokens]
+    if len(out) > MOST_WORDS:
+        out = ["#" + hashlib.sha1(" ".join(out).encode("utf-8", "replace")).hexdigest()]
+    return out
+
+
 _ACRONYM = re.compile(r"[A-Z]{3,6}")
 _BRAND = re.compile(r"([A-Z][a-z]{2,})([A-Z][a-z]{1,})([A-Z][a-z]*)")
 
@@ -233,7 +247,7 @@ def read_name(name: str | None) -> dict | None:
     else:
         kind = ""
     out["kind"] = kind
-    out["tokens"] = [w + ("." if d else "") for w, d in found if len(w) > 1 or not w.isascii()]
+    out["tokens"] = bounded([w + ("." if d else "") for w, d in found if len(w) > 1 or not w.isascii()])
     return out
 
 

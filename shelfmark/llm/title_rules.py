@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from shelfmark.llm.name_rules import ascii_fold, plain, within_one
+from shelfmark.llm.name_rules import ascii_fold, bounded, plain, within_one
 
 STOP = frozenset(
     "the of in on for and de di da do des du la le les der die das dem und fur i y e et a an to en el los o os as og w".split()
@@ -12,7 +12,6 @@ STOP = frozenset(
 _PARTS = re.compile(r"[=/|]|(?<![^\s])[:—](?![^\s])")
 _SERIES = re.compile(r"\b(?:series|serie|ser|part|section|sect)\b[\W_]+([a-z]|[ivx]{1,4}|\d{1,3})(?![^\W_])")
 _TOKEN = re.compile(r"([^\W_]+)(\.?)")
-LONGEST = 40  # words of a part that are read into pairs of neighbours only beyond 12
 
 
 def read_title(title: str | None) -> list[dict]:
@@ -33,7 +32,7 @@ def read_title(title: str | None) -> list[dict]:
         part = re.split(r":(?:\s|$)", part.strip(" :"))[0]
         tokens = [w + dot for w, dot in _TOKEN.findall(part) if w not in STOP]
         if tokens:
-            out.append({"tokens": tokens, "series": series})
+            out.append({"tokens": bounded(tokens), "series": series})
     return out
 
 
