@@ -131,7 +131,7 @@ def fill_template(template: Column, values: Mapping[str, Column]) -> Column:
     for key, value in values.items():
         template = F.replace(template, F.lit("{{" + key + "}}"), F.coalesce(value.cast("string"), F.lit("")))
     template = F.regexp_replace(template, r"\{\{\w+\}\}", "")
-    template = F.regexp_replace(template, r"\s+([,;])", "$1")
+    template = F.regexp_replace(F.regexp_replace(template, r"\s+([,;])", "$1"), r"\s{2,}", " ")
     template = F.regexp_replace(template, r"([,;-]\s*){2,}", "$1")
     return F.trim(F.regexp_replace(template, r"^[\s,;-]+|[\s,;-]+$", ""))
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.plans import matching, nested
+from shelfmark.plans import derived, matching, nested
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (matching, nested)
+_MODULES = (matching, derived, nested)
 
 
 def queries() -> dict[str, Query]:

@@ -31,6 +31,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started.
+
+    On a cluster the package is shipped with ``--py-files`` or installed.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
@@ -51,6 +63,13 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/shelfmark-{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         jvm = spark.sparkContext._jvm
@@ -68,8 +87,7 @@ class Stored:
 
     def __init__(self, df: DataFrame, name: str = "table"):
         self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/shelfmark-{name}-{uuid.uuid4().hex}"
-        _made.add(self.path)
+        self.path = scratch_folder(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
