@@ -105,16 +105,23 @@ def automaton(encoding: str) -> tuple[re.Pattern, dict[str, int]]:
 _CYRILLIC = re.compile(r"[а-яё]", re.I)
 # Two characters that proper text may hold side by side though they look like a span.
 _PROPER_PAIR = re.compile(r"[РС][»…–—”’“№ё\xa0°«]")
+# Pairs that proper Russian never has.
+_GARBLED_PAIR = re.compile(r"[РС][Ђ-ЏђѓєѕіїјљњћќўџҐґµ±¶·¤¦§©®‚„†‡€‰‹›™¬•]")
 _PROPER_LATIN = re.compile(r"[À-ÖØ-Þ][”“’‘—–…»«]")
 
 
 def _acceptable(encoding: str, span: str, text: str, start: int, end: int) -> bool:
     """Whether a well-formed span is evidence, seen with the legacy set's own alphabet."""
     if encoding == "cp1251":
-        if len(span) == 2 and _PROPER_PAIR.fullmatch(span):
+        if len(span) != 2:
+            return True
+        if _PROPER_PAIR.fullmatch(span):
             # Alone it is proper Russian; in garbled text the neighbours are garbled too.
-            return bool(re.search(r"[РС][\x80-\xbfЂ-ЏђѓєѕіїјљњћќўџА-Яа-я°±µ¶·№»«¤¦§©®]\W{0,3}$", text[max(0, start - 5) : start]))
-        return len(span) > 2 or span[0] in "РС" or not re.fullmatch(r"[А-ЯЁЂ-Џа-яёђ-џ]{2}", span)
+            return bool(_GARBLED_PAIR.search(text[max(0, start - 6) : start]) or _GARBLED_PAIR.search(text[end : end + 6]))
+        if span[0] in "РС" or not re.fullmatch(r"[А-ЯЁЂ-Џа-яёђ-џ]{2}", span):
+            return True
+        # Two Cyrillic letters inside a Latin word.
+        return bool(re.search(r"[A-Za-z]$", text[max(0, start - 1) : start]) or re.match(r"[A-Za-z]", text[end : end + 1]))
     if encoding in ("koi8_r", "cp866"):
         if encoding == "cp866" and re.search(r"тА[А-Я]", span):
             return True
@@ -124,7 +131,7 @@ def _acceptable(encoding: str, span: str, text: str, start: int, end: int) -> bo
     if encoding == "cp437":
         return bool(re.search(r"[─-◿ΓπΣ]", span))
     if encoding == "mac_roman":
-        return bool(re.search(r"[√∂≈≠∞‚ƒ¬¢§•Äåß«»…Œœ◊„‰Ê–—“”‘’÷ÿŸ/€‹›ﬁﬂ‡·]", span)) and len(span) >= 2 and not re.fullmatch(r"’[éèêàâôûîç]", span)
+        return len(span) > 2 or span[0] in "√¬≈ƒ–—" and not re.fullmatch(r"[–—][«»“”‘’…]", span)
     if encoding in ("cp1252", "cp1250") and len(span) == 2 and _PROPER_LATIN.fullmatch(span):
         # An upper-case word that ends in an accented letter before a quotation mark or dash.
         return not re.search(r"[^\W\d_a-zà-ÿ]$", text[max(0, start - 1) : start])
@@ -133,7 +140,7 @@ def _acceptable(encoding: str, span: str, text: str, start: int, end: int) -> bo
 
 # Characters without one of which a legacy set cannot have been at work.
 _BOX = frozenset(chr(c) for c in range(0x2500, 0x2600)) | frozenset("≈≤≥√÷⌠⌡∙")
-_NEEDED = {"koi8_r": _BOX, "cp866": _BOX | {"т"}, "cp850": _BOX | {"Ô"}, "cp437": _BOX | set("ΓπΣ"), "mac_roman": frozenset("√¬‚≈ƒ–—")}
+_NEEDED = {"koi8_r": _BOX, "cp866": _BOX | {"т"}, "cp850": _BOX | {"Ô"}, "cp437": _BOX | set("ΓπΣ"), "mac_roman": frozenset("√¬‚≈ƒ–—„‰∫π∑∏∂")}
 
 
 @lru_cache(maxsize=None)
@@ -216,18 +223,21 @@ def _gbk_as_latin(text: str, least: int = 4) -> list[tuple[int, int, str]]:
     # Single-byte letters lie above the range in which half of all second bytes lie.
     if not runs or sum(c < "\xc0" for c in joined) < 0.08 * len(joined):
         return []
-    out = []
+    out, good, size = [], 0.0, 0
     for m in runs:
         run = m.group()
+        size += len(run)
         for shift in (0, 1):
             part = run[shift : len(run) - (len(run) - shift) % 2]
             if len(part) < least:
                 continue
             new = part.encode("latin-1").decode("gbk", "replace")
-            if _level1(new) >= 0.8:
+            share = _level1(new)
+            if share >= 0.8:
+                good += share * len(part)
                 out.append((m.start() + shift, m.start() + shift + len(part), new))
                 break
-    return out
+    return out if good >= 0.6 * size else []
 
 
 def _mostly_gbk(text: str) -> bool:
@@ -361,8 +371,11 @@ def _step(text: str) -> tuple[str, int]:
     """
     chars = {c for c in set(text) if c > "\x7f"}
     latin = sum("\xa1" <= c <= "\xfe" for c in chars)
-    if latin >= 3 and _mostly_gbk(text) and (spans := _gbk_as_latin(text, 2)):
-        return _replace(text, spans), len(spans)
+    if latin >= 3 and _mostly_gbk(text):
+        # UTF-8 letters look like pairs too, but pairs hardly ever like UTF-8.
+        utf8 = sum(end - start for start, end, _ in _spans(text, "cp1252", chars))
+        if utf8 < 0.5 * len(re.findall(r"[^\x00-\x7f]", text)) and (spans := _gbk_as_latin(text, 2)):
+            return _replace(text, spans), len(spans)
     best, best_size = [], 0
     for encoding in LEGACY:
         spans = _spans(text, encoding, chars)
