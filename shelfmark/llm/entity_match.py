@@ -25,7 +25,7 @@ Defined cases
 * series of a journal differ, whatever else agrees; subtitles and parallel titles
   may be missing on either side;
 * identifiers count only if their check digit is right; filler and cut values
-  never count; of several countries of one record the most frequent ones count;
+  never count; all values of an attribute count alike;
 * repeated rows change nothing; empty tables give an empty result.
 """
 
@@ -48,6 +48,7 @@ from shelfmark.session import stored
 
 BEGINNING = 4  # letters of a word that a block key holds
 RARER = 5  # a misspelling is so many times rarer than the word it stands for
+CLEARER = 20  # the word it is mapped to is so many times more frequent than any other
 SAME_PUBLISHER = 0.7  # soft token similarity of two spellings of one publisher
 
 
@@ -102,10 +103,12 @@ def corrections(vocabulary: DataFrame) -> DataFrame:
     near = met.where(ok).where(_close("word", "right"))
     best = near.groupBy("word").agg(
         F.max_by(F.struct("right", "right_df"), F.struct("right_df", "right")).alias("x"),
-        F.count(F.lit(1)).alias("choices"),
+        F.sort_array(F.collect_list("right_df"), asc=False).alias("dfs"),
     )
-    # A word that may stand for several stays as it is and is compared as it is.
-    return best.where("choices = 1").select("word", "x.right", F.col("x.right_df").alias("df"))
+    # A word that may as well stand for another stays as it is and is compared as it is.
+    clear = F.coalesce(F.get("dfs", F.lit(1)) * CLEARER <= F.col("x.right_df"), F.lit(True))
+    stop = F.col("x.right").isin(*STOP) & (F.length("word") <= BEGINNING)
+    return best.where(clear | stop).select("word", "x.right", F.col("x.right_df").alias("df"))
 
 
 def readings(named: DataFrame) -> DataFrame:
@@ -311,11 +314,8 @@ def grouped(topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> DataF
     of = stored(of, "of-cluster")
 
     long = attributes(topics, fields, catalogue)
-    # Of several countries the most frequent ones count, so that one wrong source does not decide.
-    top = F.max("n").over(Window.partitionBy("side", "id", "attr"))
-    best = long.withColumn("top", top).where("attr <> 'c' or n = top")
     held = stored(
-        best.join(of, ["side", "id"]).select(
+        long.join(of, ["side", "id"]).select(
             "side", "id", "cluster", "attr", F.when(F.col("attr") == "p", F.col("value")).alias("publisher"),
             F.xxhash64("cluster", "attr", "value").alias("av"),
         ),

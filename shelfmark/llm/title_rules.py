@@ -11,6 +11,9 @@ STOP = frozenset(
 )
 _PARTS = re.compile(r"[=/|]|(?<![^\s])[:—](?![^\s])")
 _SERIES = re.compile(r"\b(?:series|serie|ser|part|section|sect)\b[\W_]+([a-z]|[ivx]{1,4}|\d{1,3})(?![^\W_])")
+_SERIES_MISSPELT = re.compile(r"[:,-]\s*([a-z]{5,7})\s+([a-z]|\d{1,2})(?![^\W_])")
+# Abbreviations too short to show what they stand for.
+SHORT = {"j.": "journal", "jl.": "journal", "jnl.": "journal", "z.": "zeitschrift", "q.": "quarterly"}
 _TOKEN = re.compile(r"([^\W_]+)(\.?)")
 
 
@@ -29,8 +32,11 @@ def read_title(title: str | None) -> list[dict]:
         if m := _SERIES.search(part):
             series = m.group(1)
             part = part[: m.start()] + ": " + part[m.end() :].lstrip(" :,.-")
+        elif (m := _SERIES_MISSPELT.search(part)) and within_one(m.group(1), "series"):
+            series = m.group(2)
+            part = part[: m.start()] + ": " + part[m.end() :].lstrip(" :,.-")
         part = re.split(r":(?:\s|$)", part.strip(" :"))[0]
-        tokens = [w + dot for w, dot in _TOKEN.findall(part) if w not in STOP]
+        tokens = [SHORT.get(w + dot, w + dot) for w, dot in _TOKEN.findall(part) if w not in STOP]
         if tokens:
             out.append({"tokens": bounded(tokens), "series": series})
     return out
