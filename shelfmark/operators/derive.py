@@ -23,10 +23,14 @@ def latest_per_entity(rows: DataFrame, entity: str, order: Sequence[str], values
     return rows.groupBy(entity).agg(last).select(entity, *(F.col(f"x.{v}").alias(v) for v in values))
 
 
-def share_of_total(rows: DataFrame, by: str | None, value: str) -> Column:
-    w = Window.partitionBy(by) if by else Window.partitionBy()
-    total = F.sum(value).over(w)
-    return F.when(total > 0, F.round(F.col(value) / total * 100, 1)).otherwise(0.0)
+def share_of_total(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Add a value's percentage of the sum over all rows, 0 where the sum is 0.
+
+    The sum is one aggregated row beside the table, not a window over all of it.
+    """
+    total = rows.agg(F.sum(value).alias("__total"))
+    share = F.when(F.col("__total") > 0, F.round(F.col(value) / F.col("__total") * 100, 1)).otherwise(0.0)
+    return rows.join(F.broadcast(total), F.lit(True)).withColumn(name, share).drop("__total")
 
 
 def running_offset(by: str, value: str, order: Sequence[str]) -> Column:

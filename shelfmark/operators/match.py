@@ -1,12 +1,15 @@
 """Two-phase matching: a stable identifier first, then the normalized title of what is left.
 
 Sides have one row per record: ``id``, ``ord`` (place in scan order), ``title``
-(normalized, not blank) and ``key`` (identifier or null).
+(normalized, not blank) and ``key`` (identifier or null). Groups are kept as
+rows with a group key and counted, never gathered into lists, as one generic
+title may hold a large part of either side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,21 +21,31 @@ from shelfmark.functions.scalars import is_blank, normalize_title
 CLASSES = ("exact_1to1", "left_1_to_right_n", "left_n_to_right_1", "left_n_to_right_m", "left_only", "right_only")
 
 
+class Matched(NamedTuple):
+    """The outcome of matching.
+
+    groups: group, title, n and m (rows of both sides), left_first and
+    right_first (least order and id of either side), class; lefts and rights:
+    group, id, ord.
+    """
+
+    groups: DataFrame
+    lefts: DataFrame
+    rights: DataFrame
+
+
 def side(records: DataFrame, id: Column, title: Column, key: Column, order: Sequence[Column]) -> DataFrame:
     """The matcher's view of a table: blank titles left out, blank keys null.
 
     ``ord`` is the struct of the order columns, so nothing is numbered or
     sorted before it is needed.
     """
-    return (
-        records.select(
-            id.alias("id"),
-            F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("ord"),
-            normalize_title(title).alias("title"),
-            F.when(~is_blank(key), F.trim(key)).alias("key"),
-        )
-        .where("title <> ''")
-    )
+    return records.select(
+        id.alias("id"),
+        F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("ord"),
+        normalize_title(title).alias("title"),
+        F.when(~is_blank(key), F.trim(key)).alias("key"),
+    ).where("title <> ''")
 
 
 def first_wins(records: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
@@ -47,61 +60,63 @@ def first_wins(records: DataFrame, key: str, order: Sequence[Column]) -> DataFra
     return firsts.unionByName(records.where(F.col(key).isNull()))
 
 
-def _entries(rows: DataFrame, by: str, name: str) -> DataFrame:
-    entry = F.struct("ord", "id", "title")
-    return rows.groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias(name))
+def identifier_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left rows with the right row of the same identifier: key, left_id, left_ord, right_id, right_ord, title.
 
+    The right side must hold each key once; the title is the right one's.
+    """
+    a = left.where("key is not null").select("key", F.col("id").alias("left_id"), F.col("ord").alias("left_ord"))
+    b = right.where("key is not null").select("key", F.col("id").alias("right_id"), F.col("ord").alias("right_ord"), "title")
+    return a.join(b, "key")
 
-def identifier_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Groups of the left rows that share the identifier of a right row.
 
-    The right side must hold each key once. Returns title (the right one's),
-    left_rows, right_rows (arrays in scan order).
-    """
-    lefts = _entries(left.where("key is not null"), "key", "left_rows")
-    rights = right.where("key is not null").select("key", F.array(F.struct("ord", "id", "title")).alias("right_rows"), "title")
-    return lefts.join(rights, "key").select("title", "left_rows", "right_rows")
+def _counted(rows: DataFrame, n: str, first: str) -> DataFrame:
+    return rows.groupBy("group").agg(
+        F.any_value("title").alias("title"), F.count(F.lit(1)).alias(n), F.min(F.struct("ord", "id")).alias(first)
+    )
 
 
-def title_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Full outer join of both sides' rows grouped by title.
+def two_phase(left: DataFrame, right: DataFrame) -> Matched:
+    """Match both sides in two phases.
 
-    Each side is one row per title before the join, so generic titles cannot
-    skew it.
+    The right side is deduplicated by identifier, the first in scan order
+    wins; ties in order go to the lesser id. Both sides are one row per title
+    before the full outer join, so generic titles cannot skew it.
     """
-    lefts = _entries(left, "title", "left_rows")
-    rights = _entries(right, "title", "right_rows")
-    return lefts.join(rights, "title", "full").select("title", "left_rows", "right_rows")
+    right = first_wins(right, "key", [F.col("ord"), F.col("id")])
+    pairs = identifier_pairs(left, right)
+    by_key = F.concat(F.lit("k:"), F.col("key"))
+    lefts1 = pairs.select(by_key.alias("group"), F.col("left_id").alias("id"), F.col("left_ord").alias("ord"), "title")
+    rights1 = right.join(left.where("key is not null").select("key"), "key", "left_semi").select(by_key.alias("group"), "id", "ord", "title")
+    by_title = F.concat(F.lit("t:"), F.col("title"))
+    lefts2 = left.join(lefts1.select("id"), "id", "left_anti").select(by_title.alias("group"), "id", "ord", "title")
+    rights2 = right.join(rights1.select("id"), "id", "left_anti").select(by_title.alias("group"), "id", "ord", "title")
+    lefts, rights = lefts1.unionByName(lefts2), rights1.unionByName(rights2)
+    a, b = _counted(lefts, "n", "left_first"), _counted(rights, "m", "right_first")
+    # The title of a group is the right one's, if it has a right side.
+    both = a.alias("a").join(b.alias("b"), "group", "full").select(
+        "group",
+        F.coalesce("b.title", "a.title").alias("title"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("m", F.lit(0)).alias("m"),
+        "left_first",
+        "right_first",
+    )
+    return Matched(classify(both), lefts.drop("title"), rights.drop("title"))
 
 
 def classify(groups: DataFrame) -> DataFrame:
-    """Add n, m (sizes of both sides) and the group's class."""
-    n = F.when(F.col("left_rows").isNull(), 0).otherwise(F.size("left_rows"))
-    m = F.when(F.col("right_rows").isNull(), 0).otherwise(F.size("right_rows"))
-    out = groups.withColumns({"n": n, "m": m})
+    """Add the class of a group with n left and m right rows."""
+    n, m = F.col("n"), F.col("m")
     cls = (
-        F.when((F.col("n") == 1) & (F.col("m") == 1), CLASSES[0])
-        .when((F.col("n") == 1) & (F.col("m") > 1), CLASSES[1])
-        .when((F.col("n") > 1) & (F.col("m") == 1), CLASSES[2])
-        .when((F.col("n") > 1) & (F.col("m") > 1), CLASSES[3])
-        .when(F.col("m") == 0, CLASSES[4])
+        F.when((n == 1) & (m == 1), CLASSES[0])
+        .when((n == 1) & (m > 1), CLASSES[1])
+        .when((n > 1) & (m == 1), CLASSES[2])
+        .when((n > 1) & (m > 1), CLASSES[3])
+        .when(m == 0, CLASSES[4])
         .otherwise(CLASSES[5])
     )
-    return out.withColumn("class", cls)
-
-
-def two_phase(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All groups of both phases: title, left_rows, right_rows, n, m, class.
-
-    The right side is deduplicated by identifier, the first in scan order
-    wins; its order is the whole row's, so ties are settled.
-    """
-    right = first_wins(right, "key", [F.col("ord"), F.col("id")])
-    by_key = identifier_match(left, right)
-    done_left = by_key.select(F.explode("left_rows.id").alias("id"))
-    done_right = by_key.select(F.explode("right_rows.id").alias("id"))
-    rest = title_match(left.join(done_left, "id", "left_anti"), right.join(done_right, "id", "left_anti"))
-    return classify(by_key.unionByName(rest))
+    return groups.withColumn("class", cls)
 
 
 def class_counts(groups: DataFrame) -> DataFrame:

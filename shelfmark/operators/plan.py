@@ -8,40 +8,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfmark.operators.match import Matched
+from shelfmark.operators.ranking import numbered
 from shelfmark.session import stored
 
 
-def action_plan(groups: DataFrame, create_all: bool = False) -> DataFrame:
+def action_plan(matched: Matched, create_all: bool = False) -> DataFrame:
     """One row per action: action (update, create, delete), right_id, left_id.
 
     Both sides of a group are paired by position: a pair updates, a left row
     alone is deleted, a right row alone is created. Of a group with right rows
     only just the first is created unless ``create_all``. A right id that is
-    planned twice keeps the update with the last left id.
+    planned twice keeps the update with the greatest left id.
     """
-    paired = groups.select(
-        "class", F.posexplode(F.arrays_zip(F.col("left_rows.id").alias("l"), F.col("right_rows.id").alias("r"))).alias("pos", "x")
-    ).select("class", "pos", F.col("x.l").alias("left_id"), F.col("x.r").alias("right_id"))
-    one_sided = groups.where("left_rows is null or right_rows is null").select(
-        "class",
-        F.posexplode(
-            F.coalesce(
-                F.transform("left_rows", lambda e: F.struct(e["id"].alias("l"), F.lit(None).cast("bigint").alias("r"))),
-                F.transform("right_rows", lambda e: F.struct(F.lit(None).cast("bigint").alias("l"), e["id"].alias("r"))),
-            )
-        ).alias("pos", "x"),
-    ).select("class", "pos", F.col("x.l").alias("left_id"), F.col("x.r").alias("right_id"))
-    rows = paired.unionByName(one_sided)
-    if not create_all:
-        rows = rows.where("class <> 'right_only' or pos = 0")
-    action = (
-        F.when(F.col("left_id").isNotNull() & F.col("right_id").isNotNull(), "update")
-        .when(F.col("left_id").isNotNull(), "delete")
-        .otherwise("create")
+    none = F.lit(None).cast("bigint")
+    # Each is used several times below.
+    groups = stored(matched.groups, "groups")
+    lefts, rights = stored(matched.lefts, "lefts"), stored(matched.rights, "rights")
+    two_sided = groups.where("n > 0 and m > 0").select("group")
+    in_both = lambda rows: rows.join(two_sided, "group", "left_semi")
+    a = numbered(in_both(lefts), ["group"], [F.col("ord"), F.col("id")])
+    b = numbered(in_both(rights), ["group"], [F.col("ord"), F.col("id")])
+    paired = (
+        a.select("group", "pos", F.col("id").alias("left_id"))
+        .join(b.select("group", "pos", F.col("id").alias("right_id")), ["group", "pos"], "full")
+        .select("left_id", "right_id")
+    )
+    updates = (
+        paired.where("left_id is not null and right_id is not null")
+        .groupBy("right_id")
+        .agg(F.max("left_id").alias("left_id"))
+        .select(F.lit("update").alias("action"), "right_id", "left_id")
+    )
+    left_alone = lefts.join(groups.where("m = 0").select("group"), "group", "left_semi").select(F.col("id").alias("left_id"))
+    if create_all:
+        right_alone = rights.join(groups.where("n = 0").select("group"), "group", "left_semi").select(F.col("id").alias("right_id"))
+    else:
+        right_alone = groups.where("n = 0").select(F.col("right_first.id").alias("right_id"))
+    deleted = left_alone.unionByName(paired.where("right_id is null").select("left_id"))
+    created = right_alone.unionByName(paired.where("left_id is null").select("right_id"))
+    return updates.unionByName(deleted.select(F.lit("delete").alias("action"), none.alias("right_id"), "left_id")).unionByName(
+        created.select(F.lit("create").alias("action"), "right_id", none.alias("left_id"))
     )
-    rows = rows.withColumn("action", action)
-    updates = rows.where("action = 'update'").groupBy("action", "right_id").agg(F.max("left_id").alias("left_id"))
-    return updates.unionByName(rows.where("action <> 'update'").select("action", "right_id", "left_id"))
 
 
 def zip_pairs(left: DataFrame, right: DataFrame, by: str, left_order: Sequence[Column], right_order: Sequence[Column]) -> DataFrame:
@@ -49,8 +57,8 @@ def zip_pairs(left: DataFrame, right: DataFrame, by: str, left_order: Sequence[C
 
     Expects ``left_id`` and ``right_id``; returns by, pos, left_id, right_id.
     """
-    a = left.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(*left_order)))
-    b = right.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(*right_order)))
+    a = numbered(left, [by], left_order)
+    b = numbered(right, [by], right_order)
     return a.select(by, "pos", "left_id").join(b.select(by, "pos", "right_id"), [by, "pos"], "full")
 
 
@@ -69,18 +77,6 @@ def page(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> Da
 
 
 def chunks(rows: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
-    """Add the number of the batch of ``size`` rows that a row falls into, from 0.
-
-    Rows are numbered by range partitions, not in one task: each partition
-    numbers its own rows and starts where the ones before it end.
-    """
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    # The partition ids must not change between the two uses, so the rows are stored.
-    parts = stored(parts.withColumn("__i", F.monotonically_increasing_id()), "chunks")
-    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("base"))
-    starts = sizes.withColumn(
-        "start", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    joined = parts.join(F.broadcast(starts.select("__p", "start", "base")), "__p")
-    place = F.col("start") + F.col("__i") - F.col("base")
-    return joined.withColumn("batch", F.floor(place / size).cast("bigint")).drop("__p", "__i", "start", "base")
+    """Add the number of the batch of ``size`` rows that a row falls into, from 0."""
+    placed = numbered(rows, [], order, "__place")
+    return placed.withColumn("batch", F.floor((F.col("__place") - 1) / size).cast("bigint")).drop("__place")

@@ -27,7 +27,7 @@ def related_to_one(
     pool = items if visible is None else items.where(visible)
     me = items.where(F.col("id") == id_value).select(F.col("publisher").alias("p"), F.col("country").alias("c"))
     own = tags.where(F.col("id") == id_value).select("tag").distinct()
-    others = tags.where(F.col("id") != id_value).join(F.broadcast(own), "tag")
+    others = tags.where(F.col("id") != id_value).join(own, "tag")
     counted = others.groupBy("id").agg((F.count(F.lit(1)) * WEIGHTS["tags"]).alias("tag_points"))
     same = F.lit(0)
     if "publisher" in criteria:

@@ -170,7 +170,7 @@ def topic_json(spark: SparkSession, d: str) -> DataFrame:
 
 def share_of_total(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "part").groupBy("p_type").agg(F.sum("p_size").cast("bigint").alias("total_size"))
-    return t.withColumn("share", derive.share_of_total(t, None, "total_size"))
+    return derive.share_of_total(t, "total_size", "share")
 
 
 def running_offset(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +268,7 @@ def url_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def template_fill(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region").limit(1000)), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = s.fill_template(F.lit("{{nation}}, {{nothing}} in {{region}} - {{nothing}}"), {"nation": F.col("n_name"), "region": F.col("r_name")})
     return n.select("n_nationkey", text.alias("text"))
 

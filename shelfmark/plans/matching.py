@@ -41,16 +41,20 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def groups(spark: SparkSession, d: str) -> DataFrame:
+def matched(spark: SparkSession, d: str) -> match.Matched:
     return match.two_phase(*sides(spark, d))
 
 
+def groups(spark: SparkSession, d: str) -> DataFrame:
+    return matched(spark, d).groups
+
+
 def match_class_counts(spark: SparkSession, d: str) -> DataFrame:
-    return match.class_counts(groups(spark, d)).select("class", F.col("n_groups").cast("bigint").alias("n_groups"))
+    return match.class_counts(groups(spark, d))
 
 
 def match_groups(spark: SparkSession, d: str) -> DataFrame:
-    return groups(spark, d).select("title", F.col("n").cast("bigint").alias("n"), F.col("m").cast("bigint").alias("m"), "class")
+    return groups(spark, d).select("title", "n", "m", "class")
 
 
 def match_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -79,21 +83,17 @@ def title_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 def identifier_match(spark: SparkSession, d: str) -> DataFrame:
     left, right = sides(spark, d)
-    found = match.identifier_match(left, match.first_wins(right, "key", [F.col("ord"), F.col("id")]))
-    return found.select(
-        F.explode("left_rows.id").alias("topic_id"), F.get("right_rows.id", F.lit(0)).alias("unified_id"), "title"
-    )
+    found = match.identifier_pairs(left, match.first_wins(right, "key", [F.col("ord"), F.col("id")]))
+    return found.select(F.col("left_id").alias("topic_id"), F.col("right_id").alias("unified_id"), "title")
 
 
 def _unmatched(spark: SparkSession, d: str, which: int) -> DataFrame:
     left, right = sides(spark, d)
     right = match.first_wins(right, "key", [F.col("ord"), F.col("id")])
-    pairs = left.where("key is not null").select("key", F.col("id").alias("l")).join(
-        right.where("key is not null").select("key", F.col("id").alias("r")), "key"
-    )
+    pairs = match.identifier_pairs(left, right)
     if which == 0:
-        return left.join(pairs.select(F.col("l").alias("id")), "id", "left_anti").select("id", "title")
-    return right.join(pairs.select(F.col("r").alias("id")), "id", "left_anti").select("id", "title")
+        return left.join(pairs.select(F.col("left_id").alias("id")), "id", "left_anti").select("id", "title")
+    return right.join(pairs.select(F.col("right_id").alias("id")), "id", "left_anti").select("id", "title")
 
 
 def semi_in_scope(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def semi_in_scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def action_plan(spark: SparkSession, d: str) -> DataFrame:
-    return plan.action_plan(groups(spark, d))
+    return plan.action_plan(matched(spark, d))
 
 
 def plan_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -110,13 +110,12 @@ def plan_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def details_capped(spark: SparkSession, d: str) -> DataFrame:
-    order = [F.col("title"), F.coalesce(F.array_min(F.col("left_rows.id")), F.lit(0)), F.coalesce(F.array_min(F.col("right_rows.id")), F.lit(0))]
-    kept = plan.capped(groups(spark, d), "class", order, CAP)
-    return kept.select("class", "title", F.col("n").cast("bigint").alias("n"), F.col("m").cast("bigint").alias("m"))
+    order = [F.col("title"), F.coalesce("left_first.id", F.lit(0)), F.coalesce("right_first.id", F.lit(0))]
+    return plan.capped(groups(spark, d), "class", order, CAP).select("class", "title", "n", "m")
 
 
 def details_page(spark: SparkSession, d: str) -> DataFrame:
-    only = groups(spark, d).where("class = 'left_only'").select("title", F.col("n").cast("bigint").alias("n"))
+    only = groups(spark, d).where("class = 'left_only'").select("title", "n")
     return plan.page(only, [F.col("title")], number=2, size=50)
 
 
@@ -124,7 +123,7 @@ def zip_pairs(spark: SparkSession, d: str) -> DataFrame:
     left = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("left_id")).withColumnRenamed("c_nationkey", "nation")
     right = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("right_id")).withColumnRenamed("s_nationkey", "nation")
     out = plan.zip_pairs(left, right, "nation", [F.col("left_id")], [F.col("right_id")])
-    return out.select("nation", F.col("pos").cast("bigint").alias("pos"), "left_id", "right_id")
+    return out.select("nation", "pos", "left_id", "right_id")
 
 
 def intersect_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -242,7 +241,7 @@ def class_percentages(spark: SparkSession, d: str) -> DataFrame:
     g = stored(groups(spark, d).select("class", "n", "m"), "class-sizes")
     per = g.groupBy("class").agg(F.sum("n").alias("n_left"), F.sum("m").alias("n_right"))
     total = g.agg(F.sum("n").alias("t_left"), F.sum("m").alias("t_right"))
-    joined = per.join(F.broadcast(total.limit(1)), F.lit(True))
+    joined = per.join(F.broadcast(total), F.lit(True))  # one row
     part = F.when(F.col("class") == "right_only", F.col("n_right")).otherwise(F.col("n_left"))
     whole = F.when(F.col("class") == "right_only", F.col("t_right")).otherwise(F.col("t_left"))
     return joined.select("class", F.round(F.when(whole > 0, part / whole * 100).otherwise(0.0), 2).alias("percent"))
@@ -328,7 +327,7 @@ def _sql() -> dict[str, str]:
         "semi_in_scope": f"SELECT name, count(*) AS n_rows FROM topic_custom_fields WHERE topic_id IN (SELECT topic_id FROM ({SCOPE})) GROUP BY name",
         "action_plan": f"WITH {PLAN} SELECT action, right_id, left_id FROM plan",
         "plan_counts": f"WITH {PLAN} SELECT v.outcome, count(p.action) AS n FROM (VALUES ('update'), ('create'), ('delete')) AS v(outcome) LEFT JOIN plan p ON p.action = v.outcome GROUP BY 1",
-        "details_capped": f"WITH {GROUPS} SELECT class, title, n, m FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY title, coalesce(list_min(ls), 0), coalesce(list_min(rs), 0)) AS rn FROM c) WHERE rn <= {CAP}",
+        "details_capped": f"WITH {GROUPS} SELECT class, title, n, m FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY title, coalesce(ls[1], 0), coalesce(rs[1], 0)) AS rn FROM c) WHERE rn <= {CAP}",
         "details_page": f"WITH {GROUPS} SELECT title, n FROM c WHERE class = 'left_only' ORDER BY title LIMIT 50 OFFSET 50",
         "zip_pairs": "WITH a AS (SELECT c_nationkey AS nation, c_custkey AS left_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos FROM customer), b AS (SELECT s_nationkey AS nation, s_suppkey AS right_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS pos FROM supplier) SELECT coalesce(a.nation, b.nation) AS nation, coalesce(a.pos, b.pos) AS pos, left_id, right_id FROM a FULL JOIN b ON a.nation = b.nation AND a.pos = b.pos",
         "intersect_keys": f"WITH {SIDES} SELECT key FROM l WHERE key IS NOT NULL INTERSECT SELECT key FROM r0 WHERE key IS NOT NULL",

@@ -19,7 +19,7 @@ RIGHT = [
 ]
 
 
-def groups(spark, left, right):
+def matched(spark, left, right):
     a = spark.createDataFrame(left, "id bigint, title string, key string")
     b = spark.createDataFrame([(i, *r) for i, r in enumerate(right)], "pos int, id bigint, title string, key string")
     cols = [F.col("id"), F.col("title"), F.col("key")]
@@ -27,12 +27,12 @@ def groups(spark, left, right):
 
 
 def test_scenario_classes(spark):
-    counts = {r["class"]: r["n_groups"] for r in match.class_counts(groups(spark, LEFT, RIGHT)).collect()}
+    counts = {r["class"]: r["n_groups"] for r in match.class_counts(matched(spark, LEFT, RIGHT).groups).collect()}
     assert counts == dict(zip(match.CLASSES, (2, 1, 2, 1, 1, 3), strict=True))
 
 
 def test_scenario_plan(spark):
-    rows = plan.action_plan(groups(spark, LEFT, RIGHT)).collect()
+    rows = plan.action_plan(matched(spark, LEFT, RIGHT)).collect()
     updates = {r["right_id"]: r["left_id"] for r in rows if r["action"] == "update"}
     assert updates == {101: 1, 102: 3, 103: 4, 104: 6, 106: 7, 107: 8, 115: 11}
     assert sorted(r["right_id"] for r in rows if r["action"] == "create") == [105, 108, 109, 112, 114]
@@ -40,7 +40,7 @@ def test_scenario_plan(spark):
 
 
 def test_scenario_plan_with_all_created(spark):
-    rows = plan.action_plan(groups(spark, LEFT, RIGHT), create_all=True).collect()
+    rows = plan.action_plan(matched(spark, LEFT, RIGHT), create_all=True).collect()
     assert 110 in [r["right_id"] for r in rows if r["action"] == "create"]
 
 
@@ -50,7 +50,7 @@ def test_plan_uses_every_id_once(spark):
     key = lambda: rng.choice([None, None, "k1", "k2", "k3", "k4"])
     left = [(i, title(), key()) for i in range(40)]
     right = [(100 + i, title(), key()) for i in range(40)]
-    g = groups(spark, left, right)
+    g = matched(spark, left, right)
     rows = plan.action_plan(g, create_all=True).collect()
     used_left = sorted(r["left_id"] for r in rows if r["left_id"] is not None)
     used_right = sorted(r["right_id"] for r in rows if r["right_id"] is not None)
@@ -64,7 +64,7 @@ def test_plan_uses_every_id_once(spark):
 
 
 def test_empty_sides(spark):
-    counts = match.class_counts(groups(spark, [(1, None, None)], [(2, " ", "k")])).collect()
+    counts = match.class_counts(matched(spark, [(1, None, None)], [(2, " ", "k")]).groups).collect()
     assert [r["n_groups"] for r in counts] == [0] * 6
 
 
@@ -104,3 +104,19 @@ def test_chunks_are_full_but_the_last(spark):
     rows = plan.chunks(spark.range(0, 1003, 1, 7).toDF("id"), [F.col("id")], 100)
     sizes = [r["count"] for r in rows.groupBy("batch").count().orderBy("batch").collect()]
     assert sizes == [100] * 10 + [3]
+
+
+def test_numbering_of_a_hot_group(spark):
+    from shelfmark.operators.ranking import numbered
+
+    rows = spark.range(0, 5000, 1, 9).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"), "id")
+    got = numbered(rows, ["k"], [F.desc("id")])
+    places = {}
+    for r in got.collect():
+        places.setdefault(r.k, []).append((r.pos, r.id))
+    for v in places.values():
+        v.sort()
+        assert [p for p, _ in v] == list(range(1, len(v) + 1))
+        assert [i for _, i in v] == sorted((i for _, i in v), reverse=True)
+    nulls = spark.createDataFrame([(None, 2), (None, 1), ("a", 1)], "k string, id int")
+    assert {(r.k, r.id, r.pos) for r in numbered(nulls, ["k"], [F.col("id")]).collect()} == {(None, 1, 1), (None, 2, 2), ("a", 1, 1)}
