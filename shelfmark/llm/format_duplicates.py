@@ -239,6 +239,7 @@ def groups(names: DataFrame) -> DataFrame:
     # Only members that are not written exactly like the first need the comparison.
     same = met.where("id = first_id or name = first_name").withColumn("clash", F.lit(None).cast("string"))
     other = met.where("id <> first_id and name <> first_name").withColumn("clash", clash("name", "first_name"))
+    other = stored(other, "compared")
     done = same.unionByName(other.where("clash is null"))
     # Different names under one hash: exact groups of their own.
     rest = other.where("clash is not null")
