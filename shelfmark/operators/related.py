@@ -49,31 +49,58 @@ def related_to_one(
     )
 
 
+MOST_FEATURES = 10  # of one item, for which all combinations are listed
+
+
 def related_to_all(items: DataFrame, features: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best related items of every item: id, other_id, score, place.
 
     ``features`` has id, feature, points: what two items share is worth the
-    points. Items with equal feature sets are collapsed to one profile first,
-    so a feature that a third of all items have costs pairs of profiles, not
-    pairs of items; the members of the best profiles are then joined back, and
-    of each profile only its ``k`` + 1 most recent members can be among the best.
+    points. Items with equal features are collapsed to one profile first.
+
+    While no item has more than MOST_FEATURES features, every profile is
+    listed under each combination of its features, and only the ``k`` + 1 most
+    recent items under a combination are kept: whoever shares just that
+    combination and is older has ``k`` better ones before it. So a feature that
+    a third of all items have costs one row per item, not all pairs of them.
+    Tables with richer items are scored pair by pair over shared features.
     """
     profiles = features.groupBy("id").agg(
         F.array_sort(F.collect_set(F.struct("feature", "points"))).alias("features")
     ).withColumn("profile", F.xxhash64("features"))
     members = profiles.select("id", "profile").join(items.select("id", "recency"), "id")
-    order = Window.partitionBy("profile").orderBy(F.desc_nulls_last("recency"), "id")
-    ranked = members.withColumn("m", F.row_number().over(order)).where(F.col("m") <= k + 1)
-    flat = profiles.groupBy("profile").agg(F.any_value("features").alias("features")).select("profile", F.explode("features").alias("f")).select("profile", "f.feature", "f.points")
-    a, b = flat.alias("a"), flat.alias("b")
-    scores = _scores(
-        a.join(b, F.col("a.feature") == F.col("b.feature")).select(
-            F.col("a.profile").alias("profile"), F.col("b.profile").alias("other"), F.col("a.points").alias("points")
-        ),
-        ("profile", "other"),
-    )
-    # For each profile the best candidates over all profiles; k + 1, as one may be the item itself.
-    cand = scores.join(ranked.select(F.col("profile").alias("other"), F.col("id").alias("other_id"), "recency"), "other")
+    newest = (F.desc_nulls_last("recency"), "id")
+    ranked = members.withColumn("m", F.row_number().over(Window.partitionBy("profile").orderBy(*newest))).where(F.col("m") <= k + 1)
+    flat = profiles.groupBy("profile").agg(F.any_value("features").alias("features"))
+    most = flat.agg(F.max(F.size("features"))).first()[0] or 0
+    if most <= MOST_FEATURES:
+        listed = F.expr(
+            "transform(sequence(1, shiftleft(1, size(features)) - 1),"
+            " mask -> filter(features, (x, i) -> (shiftright(mask, i) & 1) = 1))"
+        )
+        subsets = flat.select("profile", F.explode(listed).alias("s"))
+        keyed = subsets.select(
+            "profile",
+            F.xxhash64(F.transform("s", lambda x: x["feature"])).alias("combination"),
+            F.aggregate("s", F.lit(0).cast("bigint"), lambda total, x: total + x["points"]).alias("score"),
+        )
+        under = keyed.select("combination", "profile").join(ranked.select("profile", F.col("id").alias("other_id"), "recency"), "profile")
+        first = Window.partitionBy("combination").orderBy(F.desc_nulls_last("recency"), "other_id")
+        tops = under.withColumn("t", F.row_number().over(first)).where(F.col("t") <= k + 1).select("combination", "other_id", "recency")
+        # The greatest score under which two meet is that of all they share.
+        cand = keyed.join(tops, "combination").groupBy("profile", "other_id").agg(F.max("score").alias("score"), F.any_value("recency").alias("recency"))
+        cand = cand.where("score > 0")
+    else:
+        long = flat.select("profile", F.explode("features").alias("f")).select("profile", "f.feature", "f.points")
+        a, b = long.alias("a"), long.alias("b")
+        scores = _scores(
+            a.join(b, F.col("a.feature") == F.col("b.feature")).select(
+                F.col("a.profile").alias("profile"), F.col("b.profile").alias("other"), F.col("a.points").alias("points")
+            ),
+            ("profile", "other"),
+        )
+        cand = scores.join(ranked.select(F.col("profile").alias("other"), F.col("id").alias("other_id"), "recency"), "other")
+    # For each profile the best over all; one more than k, as one may be the item itself.
     best = Window.partitionBy("profile").orderBy(F.desc("score"), F.desc_nulls_last("recency"), "other_id")
     top = cand.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     mine = members.select("id", "profile").join(top.select("profile", "other_id", "score", "recency"), "profile").where("id <> other_id")

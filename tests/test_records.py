@@ -67,18 +67,20 @@ def test_related_scenario(spark):
     assert [(r.other_id, r.score) for r in got.collect()] == [(2, 6), (3, 5), (4, 3)]
 
 
-def test_related_all_equals_one_by_one(spark):
+def test_related_all_equals_one_by_one(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "id bigint, publisher string, country string, recency int")
     labels = spark.createDataFrame(TAGS, "id bigint, tag string")
     features = labels.select("id", F.concat(F.lit("t"), "tag").alias("feature"), F.lit(3).alias("points")).unionByName(
         items.select("id", F.concat(F.lit("p"), "publisher").alias("feature"), F.lit(2).alias("points"))
     )
-    every = {}
-    for r in related.related_to_all(items, features, k=3).orderBy("id", "place").collect():
-        every.setdefault(r.id, []).append((r.other_id, r.score))
-    for i, *_ in ITEMS:
-        one = [(r.other_id, r.score) for r in related.related_to_one(items, labels, i, k=3).collect()]
-        assert every.get(i, []) == one
+    for most in (10, 0):
+        monkeypatch.setattr(related, "MOST_FEATURES", most)
+        every = {}
+        for r in related.related_to_all(items, features, k=3).orderBy("id", "place").collect():
+            every.setdefault(r.id, []).append((r.other_id, r.score))
+        for i, *_ in ITEMS:
+            one = [(r.other_id, r.score) for r in related.related_to_one(items, labels, i, k=3).collect()]
+            assert every.get(i, []) == one
 
 
 def test_json_ld_leaves_out_what_is_unknown(spark, data):
