@@ -26,9 +26,10 @@ Defined cases
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 MASKS = ("11111", "1101011", "110011", "1010111")
 COVERED = 0.5  # of the item's own words
 LEAST_PIECE = 8  # words
+LEAST_AGREED = 0.74  # of a piece's words, weighted by rarity among the items
 LEAST_HITS = 3
 _DROP = 5
 _LOW = 2**22 - 1
@@ -108,10 +110,11 @@ def own_text(text: str, stock: set[str]) -> str:
     return rest if more and rest.strip() and head.strip() in stock else text
 
 
-def _extend(a: list, b: list, i: int, j: int, step: int) -> tuple[int, int]:
-    """How far both run together from a hit, tolerating small edits."""
-    score = best = 0
+def _extend(a: list, b: list, i: int, j: int, step: int) -> tuple[int, int, list[int]]:
+    """How far both run together from a hit, tolerating small edits, and which words of ``a`` agree."""
+    score = best = kept = 0
     at_i, at_j = i, j
+    agreed: list[int] = []
     while True:
         ni, nj = i + step, j + step
         if not (0 <= ni < len(a) and 0 <= nj < len(b)):
@@ -119,31 +122,40 @@ def _extend(a: list, b: list, i: int, j: int, step: int) -> tuple[int, int]:
         if a[ni] == b[nj]:
             score += 1
             i, j = ni, nj
+            agreed.append(ni)
         else:
             score -= 1
             for da, db in ((1, 0), (0, 1), (2, 0), (0, 2)):
                 p, q = ni + step * da, nj + step * db
                 if 0 <= p + step < len(a) and 0 <= q + step < len(b) and a[p] == b[q] and a[p + step] == b[q + step]:
                     i, j = p, q
+                    agreed.append(p)
                     break
             else:
                 i, j = ni, nj
         if score > best:
-            best, at_i, at_j = score, i, j
+            best, at_i, at_j, kept = score, i, j, len(agreed)
         elif score < best - _DROP:
             break
-    return at_i, at_j
+    return at_i, at_j, agreed[:kept]
 
 
-def coverage(a: list, b: list, hits: list[tuple[int, int]]) -> tuple[float, int]:
-    """The share of item ``a`` found in ``b`` in order, and in how many pieces."""
+def coverage(a: list, b: list, hits: list[tuple[int, int]], weights: list[float]) -> tuple[float, int]:
+    """The share of item ``a`` found in ``b`` in order, and in how many pieces.
+
+    A piece counts if most of its words agree, rare words counting more: where
+    only the stock phrases of two texts agree, names and numbers do not.
+    """
     pieces: list[tuple[int, int, int, int]] = []
     for i, j in sorted(hits):
         if any(p[0] <= i <= p[1] and p[2] <= j <= p[3] and abs((j - i) - (p[2] - p[0])) <= 8 for p in pieces):
             continue
-        end_i, end_j = _extend(a, b, i, j, 1)
-        start_i, start_j = _extend(a, b, i, j, -1)
-        if end_i - start_i + 1 >= LEAST_PIECE:
+        end_i, end_j, after = _extend(a, b, i, j, 1)
+        start_i, start_j, before = _extend(a, b, i, j, -1)
+        if end_i - start_i + 1 < LEAST_PIECE:
+            continue
+        agreed = sum(weights[k] for k in before) + sum(weights[k] for k in after) + (weights[i] if a[i] == b[j] else 0.0)
+        if agreed >= LEAST_AGREED * sum(weights[start_i : end_i + 1]):
             pieces.append((start_i, end_i, start_j, end_j))
     pieces.sort(key=lambda p: (p[1], p[3]))
     best: list[tuple[int, int]] = []
@@ -167,6 +179,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], stock: set[str]):
         hasher = Hasher()
         self.words = {n: hasher(words(own_text(t, stock))).tolist() for n, t in items}
+        df = Counter(w for ws in self.words.values() for w in set(ws))
+        self.weights = {n: [math.log(1 + len(self.words) / df[w]) for w in ws] for n, ws in self.words.items()}
         hashes, owners, places = [], [], []
         for number, ws in self.words.items():
             for s in seeds(np.array(ws, np.uint64)):
@@ -204,19 +218,17 @@ class Index:
 def leaks_in(text: str, index: Index, hasher: Hasher) -> list[tuple[int, float, int]]:
     """The items that leaked into a text, with coverage and number of pieces."""
     hashes = hasher(words(text))
-    out = []
     if len(hashes) < LEAST_PIECE:
-        return out
-    found = index.find(hashes)
-    if not found:
-        return out
-    ws = hashes.tolist()
-    for number, hits in found.items():
+        return []
+    out, ws = [], None
+    for number, hits in index.find(hashes).items():
         own = index.words[number]
         # Hits must lie densely enough to cover half of the item at all.
         if len({i for i, _ in hits}) * 8 < len(own) * COVERED:
             continue
-        share, count = coverage(own, ws, hits)
+        if ws is None:
+            ws = hashes.tolist()
+        share, count = coverage(own, ws, hits, index.weights[number])
         if share >= COVERED:
             out.append((number, share, count))
     return out
