@@ -158,6 +158,46 @@ def chart_series(record: DataFrame) -> DataFrame:
     return long.withColumn("n", n).where("n >= 2").drop("n")
 
 
+def topic_cloud(record: DataFrame) -> DataFrame:
+    """The topics of a record with a weight of 1 to 5 by their count: unified_id, topic, weight."""
+    topics = F.col("subjects_topics.topics")
+    top = F.array_max(F.transform(topics, lambda t: F.coalesce(t["count"], F.lit(0))))
+    top = F.when(top > 0, top).otherwise(1)
+    weight = lambda t: clamp(F.ceil(F.coalesce(t["count"], F.lit(0)) / top * 5), 1, 5).cast("int")
+    rows = F.transform(topics, lambda t: F.struct(t["name"].alias("topic"), weight(t).alias("weight")))
+    return record.select("unified_id", F.explode(rows).alias("x")).select("unified_id", "x.topic", "x.weight")
+
+
+def topic_donut(record: DataFrame) -> DataFrame:
+    """Topic shares as segments: unified_id, topic, percent and what comes before; two shares or more."""
+    shares = F.col("subjects_topics.topic_shares")
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x["value"])
+    before = lambda i: F.aggregate(F.slice(shares, F.lit(1), i), F.lit(0.0), lambda a, x: a + x["value"])
+    percent = lambda v: F.when(total > 0, F.round(v / total * 100, 1)).otherwise(0.0)
+    rows = F.transform(shares, lambda x, i: F.struct(x["name"].alias("topic"), percent(x["value"]).alias("percent"), percent(before(i)).alias("offset")))
+    return record.where(F.size(shares) >= 2).select("unified_id", F.explode(rows).alias("x")).select("unified_id", "x.*")
+
+
+def coverage_bars(record: DataFrame) -> DataFrame:
+    """Metadata coverage in long form: unified_id, part, percent."""
+    return record.where("crossref_quality.coverage is not null").select(
+        "unified_id", F.explode("crossref_quality.coverage").alias("part", "percent")
+    )
+
+
+# Warning levels and how severe they are shown.
+SEVERITY = {"高": "high", "中": "med"}
+
+
+def warning_timeline(record: DataFrame) -> DataFrame:
+    """Warnings by year, oldest first: unified_id, place, year, level, severity."""
+    oldest = F.reverse(F.col("warning"))
+    table = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))
+    long = record.where("warning is not null").select("unified_id", F.posexplode(oldest).alias("place", "w"))
+    severity = F.coalesce(F.try_element_at(table, F.col("w.level")), F.lit("low"))
+    return long.select("unified_id", "place", "w.year", "w.level", severity.alias("severity"))
+
+
 def json_ld(record: DataFrame, updated: Column | None = None) -> DataFrame:
     """unified_id and a schema.org Periodical as JSON, without what is unknown."""
     p, i = F.col("publication"), F.col("identity")

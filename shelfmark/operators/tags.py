@@ -64,6 +64,17 @@ RETIRED_GROUPS = ("影响因子", "H指数", "SJR值", "篇均被引", "审稿
 WOS_INDEXES = ("scie", "ssci", "esci", "ahci")
 
 
+# The tags that related items show, by prefix or as a whole, and how many.
+HIGHLIGHT_PREFIXES = ("jcr:", "sjr:", "ccf:", "中科院:")
+HIGHLIGHTS = 3
+
+
+def highlighted(names: Column) -> Column:
+    """The first tags of a list that are worth showing."""
+    shown = lambda x: F.exists(F.array(*map(F.lit, HIGHLIGHT_PREFIXES)), lambda p: F.startswith(x, p)) | x.isin(*WOS_INDEXES)
+    return F.slice(F.filter(names, shown), 1, HIGHLIGHTS)
+
+
 def quartile_tag(quartile: Column, prefix: str) -> Column:
     """``prefix:qN`` for Q1 to Q4 in any case, else null."""
     return F.when(F.upper(quartile).isin("Q1", "Q2", "Q3", "Q4"), F.concat(F.lit(f"{prefix}:"), F.lower(quartile)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars as s
-from shelfmark.operators import derive, normalize, related, tags
+from shelfmark.operators import audit, derive, normalize, related, tags
 from shelfmark.plans.matching import CATEGORY
 from shelfmark.session import scratch_folder
 from shelfmark.sources.tables import table
@@ -314,6 +314,32 @@ def record_charts(spark: SparkSession, d: str) -> DataFrame:
     return derive.chart_series(normalize.canonical_record(c)).groupBy("chart").agg(F.count(F.lit(1)).alias("n_points"))
 
 
+def record_topic_cloud(spark: SparkSession, d: str) -> DataFrame:
+    return derive.topic_cloud(records(spark, d))
+
+
+def record_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return derive.warning_timeline(records(spark, d)).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def leaf_audit(spark: SparkSession, d: str) -> DataFrame:
+    used = ("page", "pos", "fetched_at")
+    return audit.filled_leaves(table(spark, d, "catalogue"), used).where("path in ('unified.id', 'unified.canonical_name', 'issn_details', 'sources.openalex.topics', 'unified.doaj_has_apc')")
+
+
+def progress_text(spark: SparkSession, d: str) -> DataFrame:
+    """Progress and time left of runs made up from events."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 997).alias("done"), F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit("match")), (F.col("event_id") % 3 + 1).cast("int")).alias("phase"))
+    return e.select("event_id", audit.progress_percent(F.col("phase"), F.col("done"), F.lit(997)).alias("percent"), s.eta_text(audit.eta_seconds(F.lit(60), F.col("done"), F.lit(997))).alias("eta"))
+
+
+def tag_highlights(spark: SparkSession, d: str) -> DataFrame:
+    """The tags of each record that related items would show."""
+    t = tags.tag_assignments(records(spark, d)).distinct()
+    lists = t.groupBy("unified_id").agg(F.array_sort(F.collect_set("tag")).alias("names"))
+    return lists.select("unified_id", F.array_join(tags.highlighted(F.col("names")), "|").alias("shown")).where("shown <> ''")
+
+
 def jsonld(spark: SparkSession, d: str) -> DataFrame:
     return derive.json_ld(records(spark, d))
 
@@ -438,6 +464,9 @@ def oracle_sql() -> dict[str, str]:
         "digest_features": "SELECT p_partkey, sha1(p_name) AS sha1, md5(p_name) AS md5, ('0x' || h[1:2])::BIGINT % 12 AS palette, (('0x' || h[3:4])::BIGINT * 256 + ('0x' || h[5:6])::BIGINT) % 40 AS icon FROM (SELECT *, sha256(p_name) AS h FROM part)",
         "cover_changed": "WITH v AS (SELECT topic_id, max(CASE WHEN name = 'cover_url' THEN value END) AS u, max(CASE WHEN name = 'cover_url_hash' THEN value END) AS h FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, name ORDER BY id DESC) AS rn FROM topic_custom_fields) WHERE rn = 1 GROUP BY 1) SELECT topic_id, sha1(f) AS new_hash FROM (SELECT topic_id, h, CASE WHEN starts_with(u, 'http') THEN u ELSE 'https://covers.example' || u END AS f FROM v WHERE u IS NOT NULL) WHERE sha1(f) IS DISTINCT FROM h",
         "excerpt": "SELECT doc_id, CASE WHEN length(t) > 45 THEN left(t, 45) || '…' ELSE t END AS short FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS t FROM documents WHERE text IS NOT NULL)",
+        "record_topic_cloud": f"SELECT unified_id, t.display_name AS topic, least(greatest(ceil(coalesce(t.count, 0)::DOUBLE / CASE WHEN top > 0 THEN top ELSE 1 END * 5), 1), 5)::INTEGER AS weight FROM (SELECT unified_id, unnest(ts) AS t, list_max(list_transform(ts, lambda x: coalesce(x.count, 0))) AS top FROM (SELECT unified.id AS unified_id, list_filter(sources.openalex.topics, lambda x: x.display_name IS NOT NULL)[1:8] AS ts FROM {CAT}))",
+        "leaf_audit": "SELECT 'unified.id' AS path, count(unified.id) AS n_rows FROM catalogue UNION ALL SELECT 'unified.canonical_name', count(*) FILTER (WHERE unified.canonical_name NOT IN ('', '—')) FROM catalogue UNION ALL SELECT 'issn_details', count(*) FILTER (WHERE len(issn_details) > 0) FROM catalogue UNION ALL SELECT 'sources.openalex.topics', count(*) FILTER (WHERE len(sources.openalex.topics) > 0) FROM catalogue UNION ALL SELECT 'unified.doaj_has_apc', count(unified.doaj_has_apc) FROM catalogue",
+        "progress_text": "SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN done / 997.0::DOUBLE * 20 WHEN 1 THEN 20 + done / 997.0::DOUBLE * 70 ELSE 90 + done / 997.0::DOUBLE * 10 END, 1) AS percent, CASE WHEN s IS NULL OR s <= 0 THEN '' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN (s % 60) || 's' ELSE '' END ELSE (s // 3600) || 'h' || CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || 'm' ELSE '' END END AS eta FROM (SELECT event_id, event_id % 997 AS done, CASE WHEN event_id % 997 > 0 THEN ceil((997 - event_id % 997) * 60 / (event_id % 997)::DOUBLE)::BIGINT END AS s FROM events)",
         "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
         "stream_upsert": "SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",
     }
@@ -452,7 +481,7 @@ def queries() -> dict[str, Query]:
         running_offset, weight_1_5, chart_points, tick_thinning, axis_ticks, recent_window_topn, sitemap_page, sitemap_recent,
         latest_bump, scalar_numbers, bool_first_truthy, thousands_fmt, axis_label, eta_text, initials, url_strip,
         template_fill, digest_features, cover_changed, excerpt, record_excerpt, record_text, record_narrative, record_flags,
-        record_charts, jsonld, stream_dedupe, stream_upsert,
+        record_charts, record_topic_cloud, record_warnings, leaf_audit, progress_text, tag_highlights, jsonld, stream_dedupe, stream_upsert,
     )
     return {f.__name__: f for f in named}
 

@@ -100,3 +100,19 @@ def test_thinned_ticks(spark):
     rows = spark.range(30).select(F.lit("s").alias("s"), F.col("id").alias("m"))
     kept = sorted(r.i for r in derive.thinned_ticks(rows, "s", "m").collect())
     assert kept == [0, 5, 10, 15, 20, 25, 29]
+
+
+def test_donut_coverage_and_warnings(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.sql(
+        "select 1L as unified_id, named_struct('topic_shares', array(named_struct('name', 'a', 'value', 1.0D),"
+        " named_struct('name', 'b', 'value', 3.0D))) as subjects_topics,"
+        " named_struct('coverage', map('orcids', 40)) as crossref_quality,"
+        " array(named_struct('year', 2022L, 'level', '高', 'reason', 'r'), named_struct('year', 2020L, 'level', '低', 'reason', 'r')) as warning"
+    )
+    assert [(r.topic, r.percent, r.offset) for r in derive.topic_donut(rows).collect()] == [("a", 25.0, 0.0), ("b", 75.0, 25.0)]
+    assert [(r.part, r.percent) for r in derive.coverage_bars(rows).collect()] == [("orcids", 40)]
+    assert [(r.year, r.severity) for r in derive.warning_timeline(rows).collect()] == [(2020, "low"), (2022, "high")]
+    names = spark.createDataFrame([(["x", "scie", "jcr:q1", "ccf:a", "sjr:q1"],), (None,)], "n array<string>")
+    assert [r[0] for r in names.select(tags.highlighted(F.col("n"))).collect()] == [["scie", "jcr:q1", "ccf:a"], None]
