@@ -228,6 +228,8 @@ def read_name(name: str | None) -> dict | None:
         if initial and len(found) > 1:
             out["given"] = initial[0]
             found = [x for x in found if len(x[0]) > 1]
+    if kinds - {"legal", "house"} == {"scientific"} and not any(w.startswith(("sci", "wis")) for w, _ in words):
+        kinds.discard("scientific")  # "Sc." alone may as well be a society
     if "group" in kinds and len(found) == 1 and not kinds - {"group", "legal"}:
         return out | {"alias": found[0][0], "alias_only": "group"}
     if "sons" in kinds:

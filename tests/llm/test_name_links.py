@@ -24,6 +24,7 @@ SAME = [
     ("Zasa & Penope Publishing Ltd.", "Zasa & Penope"),
     ("Durarigafa Scientific Verlag GmbH", "Durarigafa Wissenschaftsverlag"),
     ("Dilo Lebefu Society for Mechanics", "Society for Mechanics (Dilo Lebefu)"),
+    ("Ruko Dasemu Society for Geology", "Ruko Dasemu Sc. for Geology"),
     ("Dilo Lebefu Society for Mechanics (Turkey)", "The Dilo Lebefu Mechanics Society"),
 ]
 DIFFERENT = [
