@@ -14,6 +14,7 @@ _SERIES = re.compile(r"\b(?:series|serie|ser|part|section|sect)\b[\W_]+([a-z]|[i
 _SERIES_MISSPELT = re.compile(r"[:,-]\s*([a-z]{5,7})\s+([a-z]|\d{1,2})(?![^\W_])")
 # Abbreviations too short to show what they stand for.
 SHORT = {"j.": "journal", "jl.": "journal", "jnl.": "journal", "z.": "zeitschrift", "q.": "quarterly"}
+_POSSESSIVE = re.compile(r"['’]s(?![^\W_])")
 _TOKEN = re.compile(r"([^\W_]+)(\.?)")
 
 
@@ -25,7 +26,7 @@ def read_title(title: str | None) -> list[dict]:
     """
     if not title:
         return []
-    text = ascii_fold(plain(title)).replace("’s", "s").replace("'s", "s").replace("_", " ")
+    text = _POSSESSIVE.sub("", ascii_fold(plain(title)).replace("_", " "))
     out = []
     for part in _PARTS.split(text):
         series = ""
