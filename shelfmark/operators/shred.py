@@ -109,6 +109,7 @@ def shred_body(
     roots: frozenset[str] | None = None,
     labels: frozenset[str] | None = None,
     leave: frozenset[str] = frozenset(),
+    numbered: bool = False,
 ) -> Iterator[tuple]:
     """The nodes of one body inside its catalogue rows, in document order.
 
@@ -118,7 +119,8 @@ def shred_body(
     below the row to the node. Only members in ``roots`` of a row are entered
     and only scalars with one of ``labels`` are kept, if given; elements of
     arrays and members named by a year always are. Members in ``leave`` are not
-    entered; they still count towards the number of members.
+    entered; they still count towards the number of members. With ``numbered``
+    the paths hold the places of array elements, such as ``[3]`` for ``[]``.
     """
     root = _parsed(body) if body else None
     if root is None:
@@ -143,7 +145,7 @@ def shred_body(
             entered = [(k, v) for k, v in children if roots is None or k in roots]
         else:
             if row is not None:
-                path, nodes = (*path, label), (*nodes, node)
+                path, nodes = (*path, f"[{ordinal}]" if numbered and label == ELEMENT else label), (*nodes, node)
                 if kind in ("object", "array"):
                     yield row, node, parent, label, ordinal, kind, None, len(children), path, nodes
                 elif labels is None or label in labels or label == ELEMENT or (len(label) == 4 and label.isdigit()):
@@ -163,6 +165,7 @@ def shred(
     roots: Collection[str] | None = None,
     labels: Collection[str] | None = None,
     leave: Collection[str] = (),
+    numbered: bool = False,
 ) -> DataFrame:
     """The adjacency table of all bodies; see :func:`shred_body` for its columns."""
     leave = frozenset(leave)
@@ -178,7 +181,7 @@ def shred(
         rows: list[tuple] = []
         for batch in batches:
             for rid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.extend((rid, *row) for row in shred_body(body, row_member, roots, labels, leave))
+                rows.extend((rid, *row) for row in shred_body(body, row_member, roots, labels, leave, numbered))
                 if len(rows) >= 50_000:
                     yield batch_of([list(c) for c in zip(*rows, strict=True)])
                     rows = []
@@ -197,7 +200,7 @@ def _filled(col: Column) -> Column:
 _WRAPPERS = ("items", "total", "count", "data", "rows", "results", "values", "note", "next", "page")
 
 
-# What the entity tables are made from.
+# What p2_found is made from; the flat tables keep all values of their entities.
 ROOTS = ("unified", "sources", "issn_details")
 LABELS = ("id", "issn", "display_name", "year", "source")
 # Parts of sources that hold none of the children.
@@ -243,17 +246,17 @@ def entities(adjacency: DataFrame) -> DataFrame:
 
 def _source_name(path: Column, own: Column) -> Column:
     label = F.get(path, F.lit(1))
-    named = F.when(~label.rlike(r"^(\[\]|\d+)$") & ~label.isin(*_WRAPPERS), label)
+    named = F.when(~label.rlike(r"^(\[\d*\]|\d+)$") & ~label.isin(*_WRAPPERS), label)
     return F.coalesce(named, own)
 
 
-def children(records: DataFrame, id_col: str = "record_id", body_col: str = "body") -> DataFrame:
-    """One distinct row per child of each catalogue row in a body.
+def _located(e: DataFrame) -> DataFrame:
+    """Entities with the catalogue row, source and container that they belong to.
 
-    Returns record_id, unified_id, child, child_key as TESTDATA defines them
-    for ``p2_found``.
+    Adds unified_id, source_node, source_name, is_source, container, first (the
+    depth of the container), below (0: the container itself; 1: its elements;
+    2: those of a wrapper) and own_key, the key of an object in a container.
     """
-    e = entities(shred(records, id_col, body_col, roots=ROOTS, labels=LABELS, leave=LEAVE))
     row = Window.partitionBy("record_id", "row_node")
     depth = F.size("path")
     in_sources = F.get("path", F.lit(0)) == "sources"
@@ -261,17 +264,18 @@ def children(records: DataFrame, id_col: str = "record_id", body_col: str = "bod
     wrapped = in_sources & F.get("path", F.lit(1)).isin("items", "data", "rows", "results")
     level = F.when(wrapped, F.lit(2)).otherwise(F.lit(1))
     e = e.withColumn("source_node", F.when(in_sources, F.get(F.col("nodes"), level)))
-    is_source = in_sources & (F.col("object") == F.col("source_node")) & (F.col("kind") == "object")
+    e = e.withColumn("is_source", in_sources & (F.col("object") == F.col("source_node")) & (F.col("kind") == "object"))
     of_source = Window.partitionBy("record_id", "row_node", "source_node")
     e = e.withColumn("unified_text", F.max(F.when((depth == 1) & (F.get("path", F.lit(0)) == "unified"), F.col("id"))).over(row))
     e = e.withColumn("unified_id", F.expr("try_cast(regexp_extract(unified_text, '^\\\\s*(-?[0-9]+)\\\\s*$', 1) as bigint)"))
-    e = e.withColumn("source_name", F.max(F.when(is_source, _source_name(F.col("path"), F.col("source")))).over(of_source))
+    e = e.withColumn("source_name", F.max(F.when(F.col("is_source"), _source_name(F.col("path"), F.col("source")))).over(of_source))
     container = F.when(F.get("path", F.lit(0)) == "issn_details", F.lit("issn_details")).when(
         in_sources & (F.col("source_name") == "openalex"), F.get(F.col("path"), level + 1)
     )
     e = e.withColumn("container", F.when(container.isin("issn_details", "topics", "counts_by_year"), container))
     first = F.when(F.col("container") == "issn_details", F.lit(1)).otherwise(level + 2)
-    below = depth - first  # 0: the container itself; 1: its elements; 2: those of a wrapper
+    e = e.withColumn("first", first).withColumn("below", depth - F.col("first"))
+    below = F.col("below")
     label_key = F.when(
         (F.col("kind") == "object") & below.between(1, 2),
         F.when((F.col("container") == "counts_by_year") & F.col("label").rlike(r"^\d{4}$"), F.col("label"))
@@ -291,11 +295,22 @@ def children(records: DataFrame, id_col: str = "record_id", body_col: str = "bod
         .when(F.col("container") == "topics", F.col("display_name"))
         .when(F.col("container") == "counts_by_year", year)
     )
+    return e.withColumn("own_key", F.coalesce(own_key, label_key))
+
+
+def children(records: DataFrame, id_col: str = "record_id", body_col: str = "body") -> DataFrame:
+    """One distinct row per child of each catalogue row in a body.
+
+    Returns record_id, unified_id, child, child_key as TESTDATA defines them
+    for ``p2_found``.
+    """
+    e = _located(entities(shred(records, id_col, body_col, roots=ROOTS, labels=LABELS, leave=LEAVE)))
+    below = F.col("below")
     inside = F.col("container").isNotNull() & below.between(0, 2)
     many = F.when(
         inside,
         F.concat(
-            F.array_compact(F.array(F.coalesce(own_key, label_key))),
+            F.array_compact(F.array("own_key")),
             F.when((F.col("kind") == "array") & (F.col("container") != "counts_by_year"), F.col("plain")).otherwise(
                 F.filter(F.col("plain"), lambda x: x.rlike(r"^\d{4}$"))
             ),
@@ -305,7 +320,7 @@ def children(records: DataFrame, id_col: str = "record_id", body_col: str = "bod
         ),
     )
     sources = F.when(
-        is_source & (F.col("members") > 0) & F.col("source_name").isNotNull(), F.array(F.col("source_name"))
+        F.col("is_source") & (F.col("members") > 0) & F.col("source_name").isNotNull(), F.array(F.col("source_name"))
     )
     out = e.where("unified_id is not null").select(
         "record_id",
@@ -323,6 +338,131 @@ def children(records: DataFrame, id_col: str = "record_id", body_col: str = "bod
     return out.select("record_id", "unified_id", "x.child", "x.child_key").where("length(trim(child_key)) > 0").distinct()
 
 
-def flat_table(records: DataFrame, child: str) -> DataFrame:
-    """One of the flat tables: ``sources``, ``issn_details``, ``topics`` or ``counts_by_year``."""
-    return children(records).where(F.col("child") == child).select("record_id", "unified_id", F.col("child_key").alias("key"))
+# Scalar children of an entity that get a column of their own: column, label, type.
+COLUMNS = {
+    "sources": (),
+    "issn_details": (),
+    "topics": (
+        ("count", "count", "bigint"),
+        ("score", "score", "double"),
+        ("field", "field_display_name", "string"),
+        ("domain", "domain_display_name", "string"),
+    ),
+    "counts_by_year": (
+        ("works_count", "works_count", "bigint"),
+        ("oa_works_count", "oa_works_count", "bigint"),
+        ("cited_by_count", "cited_by_count", "bigint"),
+    ),
+}
+
+
+def _described(adjacency: DataFrame, child: str) -> DataFrame:
+    """Every node below a catalogue row that may be a child, with all values below it.
+
+    The columns of :func:`entities` that place a node, for leaves too; besides
+    them parent, ordinal, scalar, direct (the scalar children by label) and
+    values. ``adjacency`` is uncut, with numbered paths.
+    """
+    root = "issn_details" if child == "issn_details" else "sources"
+    depth = F.size("path")
+    # A child lies under its container, which is below a source or the wrapper of one.
+    needed = F.get("path", F.lit(0)).isin("unified", root)
+    if child == "issn_details":
+        under = F.col("at") < 4
+    elif child == "sources":
+        under = F.col("at").isin(1, 2)
+    else:
+        container = F.coalesce((F.get("path", F.lit(2)) == child) | (F.get("path", F.lit(3)) == child), F.lit(False))
+        under = container & F.col("at").between(2, 7)
+        # Besides the containers: the ids of rows, and sources with their names.
+        needed = needed & (container | (depth <= 3) | ((depth == 4) & (F.col("label") == "source")))
+    parts = (
+        adjacency.where(needed)
+        .repartition("record_id")
+        .select("*", F.posexplode("nodes").alias("at", "object"))
+        .withColumn("under", under)
+        .where((F.col("at") >= depth - 2) | F.col("under"))
+    )
+    own, near = F.col("object") == F.col("node"), F.col("at") == depth - 2
+    leaf = F.col("kind").isin("scalar", "null")
+
+    def of_own(name: str) -> Column:
+        return F.max(F.when(own, F.col(name))).alias(name)
+
+    def scalar(label: str) -> Column:
+        return F.max(F.when(near & (F.col("kind") == "scalar") & (F.col("label") == label), _filled(F.col("scalar")))).alias(label)
+
+    value = F.struct(
+        "node", "parent", F.array_join(F.slice("path", F.col("at") + 2, depth), ".").alias("path"), F.col("scalar").alias("value")
+    )
+    columns = [label for _, label, _ in COLUMNS[child]]
+    return (
+        parts.groupBy("record_id", "row_node", "object")
+        .agg(
+            *map(of_own, ("label", "kind", "path", "nodes", "size", "parent", "ordinal", "scalar")),
+            *map(scalar, ("issn", "display_name", "year", "source", "id", *columns)),
+            F.array_sort(F.collect_list(F.when(leaf & F.col("under"), value))).alias("values"),
+        )
+        .withColumn("members", F.col("size") - F.col("source").isNotNull().cast("int"))
+    )
+
+
+def flat_table(records: DataFrame, child: str, id_col: str = "record_id", body_col: str = "body") -> DataFrame:
+    """One of the flat tables: ``sources``, ``issn_details``, ``topics`` or ``counts_by_year``.
+
+    One row per child as it stands in a body, so that repeated siblings stay
+    apart. Returns record_id, unified_id, row_node (the catalogue row),
+    source_node (the source that it is or lies in; null for issn_details),
+    node, parent, ordinal, key, the columns of ``COLUMNS`` and values: every
+    scalar at any depth below the child, or the child itself if it is one, as
+    (node, parent, path, value) in document order. Nodes are numbered within a
+    record; a value that doesn't fit its column's type is in values only.
+    """
+    e = _located(_described(shred(records, id_col, body_col, numbered=True), child))
+    if child == "sources":
+        e = e.withColumn("key", F.when(F.col("is_source") & (F.col("members") > 0), F.col("source_name")))
+    else:
+        below, text = F.col("below"), _filled(F.col("scalar"))
+        siblings = Window.partitionBy("record_id", "row_node", "parent")
+        year_beside = F.max(F.when((F.col("kind") == "scalar") & (F.col("label") == "year"), text)).over(siblings)
+        e = e.withColumn("year_beside", year_beside)
+        year = F.lit(child == "counts_by_year")
+        key = (
+            F.when(F.col("kind").isin("object", "array") & below.between(0, 2), F.col("own_key"))
+            # A plain value in an array.
+            .when(
+                (F.col("kind") == "scalar") & (F.col("label") == ELEMENT) & below.between(1, 3),
+                F.when(~year | text.rlike(r"^\d{4}$"), text),
+            )
+            # A plain value named by its year.
+            .when(
+                (F.col("kind") == "scalar") & year & below.between(1, 2) & F.col("label").rlike(r"^\d{4}$") & F.col("year_beside").isNull(),
+                F.col("label"),
+            )
+        )
+        # Parts of an element that names itself are no children, nor is what lies in LEAVE.
+        name = F.col({"topics": "display_name", "counts_by_year": "year", "issn_details": "issn"}[child])
+
+        def named(level: int) -> Column:
+            """Whether the node's ancestor at ``below`` = level has a key of its own."""
+            group = Window.partitionBy("record_id", "row_node", F.get("nodes", F.col("first") + (level - 1)))
+            found = F.max(F.when((F.col("kind") == "object") & (below == level) & name.isNotNull(), F.lit(True))).over(group)
+            return F.coalesce(found, F.lit(False)) & (below > level)
+
+        wrapped = F.coalesce(F.get("path", F.col("first")).isin(*_WRAPPERS), F.lit(False))
+        e = e.withColumn("inside", named(1) | (named(0) & ~wrapped))
+        skipped = F.slice("path", F.col("first") + 1, F.greatest(below - 1, F.lit(0)))
+        aside = F.arrays_overlap(skipped, F.array(*map(F.lit, LEAVE)))
+        e = e.withColumn("key", F.when((F.col("container") == child) & ~F.col("inside") & ~aside, key))
+    return e.where("unified_id is not null and length(trim(key)) > 0").select(
+        "record_id",
+        "unified_id",
+        "row_node",
+        "source_node",
+        F.col("object").alias("node"),
+        "parent",
+        "ordinal",
+        "key",
+        *(F.col(label).try_cast(kind).alias(name) for name, label, kind in COLUMNS[child]),
+        "values",
+    )

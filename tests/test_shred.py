@@ -1,8 +1,9 @@
 """Nested records against a plain reading of each body, and defined cases."""
 
 import json
+from collections import Counter
 
-from shelfmark.operators.shred import children, shred, shred_body
+from shelfmark.operators.shred import COLUMNS, _text, children, flat_table, shred, shred_body
 
 
 def inner(v):
@@ -116,3 +117,75 @@ def test_long_body_and_empty_table(spark):
     assert len(run(spark, [long])) == 1
     none = spark.createDataFrame([], "record_id bigint, body string")
     assert children(none).count() == 0 and shred(none).count() == 0
+
+
+def leaves(value, path=""):
+    value = inner(value)
+    if isinstance(value, dict | list):
+        pairs = value.items() if isinstance(value, dict) else ((f"[{i}]", x) for i, x in enumerate(value))
+        for label, x in pairs:
+            yield from leaves(x, f"{path}.{label}" if path else label)
+    else:
+        yield path, value
+
+
+def test_flat_tables_hold_the_children_of_the_whole_table(spark, data):
+    raw = spark.read.parquet(f"{data}/raw_records.parquet")
+    want = children(raw).collect()
+    for child in COLUMNS:
+        rows = flat_table(raw, child).collect()
+        assert {(r.record_id, r.unified_id, r.key) for r in rows} == {tuple(r)[:2] + (r.child_key,) for r in want if r.child == child}
+        assert len({(r.record_id, r.node) for r in rows}) == len(rows) and rows
+
+
+def test_flat_sources_hold_every_value_of_the_whole_table(spark, data):
+    raw = spark.read.parquet(f"{data}/raw_records.parquet")
+    got, want = Counter(), Counter()
+    for r in flat_table(raw, "sources").collect():
+        got.update((r.record_id, r.unified_id, r.key, v.path, v.value) for v in r["values"])
+    for rid, body in [(r.record_id, r.body) for r in raw.collect()]:
+        try:
+            j = inner(json.loads(body))
+        except (ValueError, TypeError):
+            continue
+        found = (inner(j.get("data")) or {}).get("rows") or [] if isinstance(j, dict) and "success" in j else j if isinstance(j, list) else [j]
+        for x in found:
+            u, s = (inner(x.get(k)) if isinstance(x, dict) else None for k in ("unified", "sources"))
+            if isinstance(u, dict) and u.get("id") is not None:
+                pairs = s.items() if isinstance(s, dict) else [(y["source"], y) for y in s or [] if isinstance(y, dict) and len(y) > 1]
+                for name, v in pairs:
+                    v = inner(v)
+                    if v:
+                        want.update((rid, int(u["id"]), name, p, _text(z)) for p, z in leaves(v))
+    assert got == want and got
+
+
+def test_flat_tables_keep_values_siblings_and_links(spark):
+    topic = {"display_name": "T", "count": 3, "score": 0.5, "field_display_name": "F", "domain_display_name": "D", "x": {"y": ["z"]}}
+    row = {
+        "unified": {"id": 7},
+        "issn_details": ["1111-1111", {"issn": "2222-2222", "note": "print"}],
+        "sources": {
+            "openalex": {
+                "main": {"h": 1},
+                "topics": [topic, topic],
+                "counts_by_year": {"2014": {"works_count": "1", "oa_works_count": None, "cited_by_count": 9}, "2015": 4},
+            }
+        },
+    }
+    rows = spark.createDataFrame([(1, json.dumps(row))], "record_id bigint, body string")
+    flat = {child: flat_table(rows, child).orderBy("node").collect() for child in COLUMNS}
+    (source,) = flat["sources"]
+    at = {v.path: v.node for v in source["values"]}
+    topics, years, issns = flat["topics"], flat["counts_by_year"], flat["issn_details"]
+    assert source.key == "openalex" and at["main.h"] and at["topics.[1].x.y.[0]"]
+    assert [(t.key, t.ordinal, t["count"], t.score, t.field, t.domain) for t in topics] == [("T", i, 3, 0.5, "F", "D") for i in (0, 1)]
+    assert topics[0].parent == topics[1].parent and topics[0].node != topics[1].node
+    assert {t.source_node for t in topics + years} == {source.node} and {i.row_node for i in issns} == {source.row_node}
+    assert [(v.path, v.value) for v in topics[1]["values"]][-1] == ("x.y.[0]", "z")
+    assert [(y.key, y.works_count, y.oa_works_count, y.cited_by_count) for y in years] == [("2014", 1, None, 9), ("2015", None, None, None)]
+    assert [(v.path, v.value) for v in years[1]["values"]] == [("", "4")]
+    assert [(i.key, [(v.path, v.value) for v in i["values"]]) for i in issns] == [
+        ("1111-1111", [("", "1111-1111")]),
+        ("2222-2222", [("issn", "2222-2222"), ("note", "print")]),
+    ]
