@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators.apply import upsert
-
 
 def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 4) -> DataFrame:
     """A stream of Parquet files, so many to a micro-batch."""
@@ -29,19 +27,19 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
 def upsert_sink(spark: SparkSession, folder: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
     """A sink that merges each batch into a versioned Parquet table.
 
+    Of all rows of a key, stored or new, the one with the greatest ``order``
+    stays, in whatever order and batches they arrive.
     A batch writes the version that bears its number and reads the one before
     it, so a batch that is repeated after a failure gives the same table.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
         values = [c for c in batch.columns if c != key]
-        last = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(order, *(c for c in values if c != order))).alias("x"))
-        incoming = last.select(key, *(F.col(f"x.{c}").alias(c) for c in values))
-        if number == 0:
-            merged = incoming
-        else:
-            stored = spark.read.schema(batch.schema).parquet(f"{folder}/v{number - 1}")
-            merged = upsert(stored, incoming, key).drop("outcome")
+        rows = batch.where(F.col(key).isNotNull())
+        if number > 0:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/v{number - 1}"))
+        last = rows.groupBy(key).agg(F.max(F.struct(order, *(c for c in values if c != order))).alias("x"))
+        merged = last.select(key, *(F.col(f"x.{c}").alias(c) for c in values))
         merged.write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     return sink

@@ -60,6 +60,16 @@ def test_stream_upsert_resumes(spark, tmp_path):
     assert seen == [0, 1]
 
 
+def test_stream_upsert_keeps_the_greatest_of_all_batches(spark, tmp_path):
+    schema = "k bigint, n bigint, v string"
+    sink = incremental.upsert_sink(spark, str(tmp_path), "k", "n")
+    batches = [[(1, 5, "a"), (2, 1, "b")], [(1, 3, "older"), (2, 2, "c"), (3, 1, "d")], [(2, 1, "older"), (None, 9, "z")]]
+    for i, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, schema), i)
+        sink(spark.createDataFrame(rows, schema), i)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "v2")).collect()} == {(1, 5, "a"), (2, 2, "c"), (3, 1, "d")}
+
+
 def test_first_seen_in_a_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:05"), (2, "2024-01-01 00:00:01")], "k bigint, t string")
     rows.select("k", F.to_timestamp("t").alias("t")).write.parquet(str(tmp_path / "in"))
