@@ -87,6 +87,11 @@ def tag_assignments(spark: SparkSession, d: str) -> DataFrame:
     return tags.tag_assignments(records(spark, d)).where("tag_group in ('oa_status', 'doaj', 'ccf_rank', 'jcr_quartile', 'sjr_quartile')")
 
 
+def tag_assignments_all(spark: SparkSession, d: str) -> DataFrame:
+    """The tags of all groups; :func:`tag_assignments` has the groups of its SQL."""
+    return tags.tag_assignments(records(spark, d))
+
+
 def tag_group_counts(spark: SparkSession, d: str) -> DataFrame:
     return tags.tag_assignments(records(spark, d)).groupBy("tag_group").agg(F.count(F.lit(1)).alias("n_tags"), F.count_distinct("unified_id").alias("n_records"))
 
@@ -327,6 +332,11 @@ def leaf_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.filled_leaves(table(spark, d, "catalogue"), used).where("path in ('unified.id', 'unified.canonical_name', 'issn_details', 'sources.openalex.topics', 'unified.doaj_has_apc')")
 
 
+def leaf_audit_all(spark: SparkSession, d: str) -> DataFrame:
+    """All leaves; :func:`leaf_audit` has the paths of its SQL."""
+    return audit.filled_leaves(table(spark, d, "catalogue"), ("page", "pos", "fetched_at"))
+
+
 def progress_text(spark: SparkSession, d: str) -> DataFrame:
     """Progress and time left of runs made up from events."""
     e = table(spark, d, "events").select("event_id", (F.col("event_id") % 997).alias("done"), F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit("match")), (F.col("event_id") % 3 + 1).cast("int")).alias("phase"))
@@ -475,13 +485,13 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     named = (
         section_identity, section_publication, section_metrics, history_top15, section_open_access, section_scimago,
-        section_jcr_latest, section_topics, section_keywords, section_crossref, section_presence, tag_assignments,
+        section_jcr_latest, section_topics, section_keywords, section_crossref, section_presence, tag_assignments, tag_assignments_all,
         tag_group_counts, tag_memberships_missing, contains_first_match, related_topk_one, related_topk_all, related_in_order,
         latest_per_entity, unpivot_slots, find_first, distinct_keep_first, json_extract, topic_json, share_of_total,
         running_offset, weight_1_5, chart_points, tick_thinning, axis_ticks, recent_window_topn, sitemap_page, sitemap_recent,
         latest_bump, scalar_numbers, bool_first_truthy, thousands_fmt, axis_label, eta_text, initials, url_strip,
         template_fill, digest_features, cover_changed, excerpt, record_excerpt, record_text, record_narrative, record_flags,
-        record_charts, record_topic_cloud, record_warnings, leaf_audit, progress_text, tag_highlights, jsonld, stream_dedupe, stream_upsert,
+        record_charts, record_topic_cloud, record_warnings, leaf_audit, leaf_audit_all, progress_text, tag_highlights, jsonld, stream_dedupe, stream_upsert,
     )
     return {f.__name__: f for f in named}
 

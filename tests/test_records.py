@@ -1,6 +1,8 @@
 """Canonical records, related items and series on small fixtures."""
 
 import json
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,3 +118,56 @@ def test_donut_coverage_and_warnings(spark):
     assert [(r.year, r.severity) for r in derive.warning_timeline(rows).collect()] == [(2020, "low"), (2022, "high")]
     names = spark.createDataFrame([(["x", "scie", "jcr:q1", "ccf:a", "sjr:q1"],), (None,)], "n array<string>")
     assert [r[0] for r in names.select(tags.highlighted(F.col("n"))).collect()] == [["scie", "jcr:q1", "ccf:a"], None]
+
+
+def brute_tags(r):
+    """The tags of a canonical record by plain rules."""
+    first = lambda rows: rows[0] if rows else None
+    clean = lambda t: re.sub(r"\s+", "-", t.strip(" ").lower()) or None if t is not None else None
+    blank = lambda t: t is None or not t.strip()
+    quartile = lambda q, p: f"{p}:{q.lower()}" if q and q.upper() in ("Q1", "Q2", "Q3", "Q4") else None
+    jcr, sjr, cas, warn, pub, oa = first(r.jcr), first(r.scimago), first(r.cas_partition), first(r.warning), r.publication, r.open_access
+    digits = re.search("[0-9]+", (cas and cas.major_quartile) or "")
+    index = ((cas and cas.web_of_science) or "").strip(" ").lower()
+    rank = re.sub(r"\s+", "", ((r.ccf and r.ccf.rank) or "").upper())
+    house = next((p for p in tags.MAJOR_PUBLISHERS if p.lower() in (pub.publisher_name or "").lower()), None)
+    found = {
+        "jcr_quartile": quartile(jcr and jcr.quartile, "jcr"),
+        "sjr_quartile": quartile(sjr and sjr.best_quartile, "sjr"),
+        "cas_zone": f"中科院:{digits[0]}区" if digits and 1 <= int(digits[0]) <= 4 else None,
+        "cas_top": "中科院:top" if cas and cas.top in ("true", "是", "yes", "1") else None,
+        "ccf_rank": f"ccf:{rank.lower()}" if rank in ("A", "B", "C") else None,
+        "wos_index": index if index in tags.WOS_INDEXES else None,
+        "oa_status": "diamond-oa" if oa.diamond_oa else {True: "oa", False: "非oa", None: None}[oa.is_oa],
+        "doaj": "doaj收录" if oa.is_in_doaj else None,
+        "warning": clean("预警:" + warn.level.strip(" ")) if warn and not blank(warn.level) else None,
+        "subject": clean(cas.major_category) if cas else None,
+        "country": clean(pub.country_code if blank(pub.country_name) else pub.country_name),
+        "publisher": tags.PUBLISHER_TAGS.get(house, clean(house)),
+    }
+    return [(r.unified_id, g, t) for g, t in found.items() if t is not None]
+
+
+def test_tags_of_all_groups_against_brute_force(spark, data):
+    from shelfmark.plans import derived
+
+    got = Counter(tuple(r) for r in derived.queries()["tag_assignments_all"](spark, data).collect())
+    assert got == Counter(t for r in derived.records(spark, data).collect() for t in brute_tags(r))
+    assert len({g for _, g, _ in got}) > 5
+
+
+def test_all_leaves_against_brute_force(spark, data):
+    from shelfmark.plans import derived
+
+    def filled(value, path=""):
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield from filled(v, f"{path}.{k}" if path else k)
+        elif value is not None and value not in ("", "—", []):
+            yield path
+
+    want = Counter()
+    for r in spark.read.parquet(f"{data}/catalogue.parquet").collect():
+        want.update(set(filled({k: v for k, v in r.asDict(recursive=True).items() if k not in ("page", "pos", "fetched_at")})))
+    got = {r.path: r.n_rows for r in derived.queries()["leaf_audit_all"](spark, data).collect()}
+    assert {p: n for p, n in got.items() if n} == dict(want) and len(got) > 5
