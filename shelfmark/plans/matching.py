@@ -204,6 +204,13 @@ def polymorphic_delete(spark: SparkSession, d: str) -> DataFrame:
     return apply.without_typed(fields, ids, "topic_id", "name", "cover_url").groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def polymorphic_delete_scope(spark: SparkSession, d: str) -> DataFrame:
+    """For the whole scope; :func:`polymorphic_delete` has the ids of its SQL."""
+    ids = scope(spark, d).select("topic_id")
+    fields = table(spark, d, "topic_custom_fields")
+    return apply.without_typed(fields, ids, "topic_id", "name", "cover_url").groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def like_delete(spark: SparkSession, d: str) -> DataFrame:
     return apply.without_like(table(spark, d, "topic_custom_fields"), "name", "cover_%").select("id", "topic_id", "name")
 
@@ -341,6 +348,7 @@ def _sql() -> dict[str, str]:
         "resolve_targets": f"WITH {SIDES}, e AS (SELECT s.topic_id AS id, lower(s.title) AS low_title, l.key FROM scope s LEFT JOIN l ON l.id = s.topic_id), k AS (SELECT key, min(id) AS id FROM e WHERE key IS NOT NULL GROUP BY key), t AS (SELECT low_title, min(id) AS id FROM e WHERE low_title IS NOT NULL GROUP BY low_title) SELECT r0.page || '-' || r0.pos AS rid, coalesce(k.id, t.id) AS target_id, CASE WHEN k.id IS NOT NULL THEN 'key' WHEN t.id IS NOT NULL THEN 'title' ELSE 'new' END AS found_by FROM r0 LEFT JOIN k ON k.key = r0.key LEFT JOIN t ON t.low_title = r0.title",
         "cascade_delete": "WITH g AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P') SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders WHERE o_orderkey NOT IN (SELECT id FROM g) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM g) AND l_partkey NOT IN (SELECT id FROM g)",
         "polymorphic_delete": f"SELECT name, count(*) AS n_rows FROM topic_custom_fields WHERE NOT (coalesce(name, '') = 'cover_url' AND coalesce(topic_id, -1) IN (SELECT topic_id FROM ({SCOPE}) WHERE topic_id % 7 = 0)) GROUP BY name",
+        "polymorphic_delete_scope": f"SELECT name, count(*) AS n_rows FROM topic_custom_fields WHERE NOT (coalesce(name, '') = 'cover_url' AND coalesce(topic_id, -1) IN (SELECT topic_id FROM ({SCOPE}))) GROUP BY name",
         "like_delete": "SELECT id, topic_id, name FROM topic_custom_fields WHERE NOT coalesce(name LIKE 'cover_%', false)",
         "delete_existing": f"WITH {PLAN} SELECT left_id AS topic_id FROM plan WHERE action = 'delete' AND left_id IN (SELECT topic_id FROM topics)",
         "category_stats": "WITH t AS (SELECT category_id, topic_id, coalesce(visible, false) AND deleted_at IS NULL AS v FROM topics), p AS (SELECT category_id, count(*) AS n FROM documents d JOIN t USING (topic_id) WHERE t.v GROUP BY category_id) SELECT t.category_id, count(*) FILTER (WHERE v) AS n_topics, coalesce(any_value(p.n), 0) AS n_posts FROM t LEFT JOIN p ON p.category_id = t.category_id GROUP BY t.category_id",
@@ -357,7 +365,7 @@ def queries() -> dict[str, Query]:
         match_class_counts, match_groups, match_totals, dedupe_first_wins, dedupe_lineitem, title_normalize, identifier_match,
         semi_in_scope, action_plan, plan_counts, details_capped, details_page, zip_pairs, intersect_keys, union_keys,
         except_keys, eav_pivot, eav_last_wins, eav_maps, eav_changed_only, upsert_merge, resolve_targets, cascade_delete,
-        polymorphic_delete, like_delete, delete_existing, category_stats, outcome_counters, quarantine_split, chunk_ids,
+        polymorphic_delete, polymorphic_delete_scope, like_delete, delete_existing, category_stats, outcome_counters, quarantine_split, chunk_ids,
         class_percentages, blank_titles,
     )
     out: dict[str, Query] = {f.__name__: f for f in named}
