@@ -198,7 +198,7 @@ def title_clusters(named: DataFrame) -> DataFrame:
     keys = keys.withColumn("key", F.xxhash64("key", "series", "n")).drop("series")
     df = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
-    # One damaged word spoils n - 1 keys; among the n rarest one is left that both have.
+    # One damaged word spoils n - 1 keys; among the n rarest one is left that both have, if n is 3 or more.
     kept = keys.join(df, "key").withColumn("rank", rank).where("rank <= n and df > 1").select("node", "key")
     side = kept.join(nodes, "node")
     a = side.select("key", *(F.col(c).alias(f"{c}_a") for c in nodes.columns))
