@@ -20,7 +20,7 @@ Defined cases
 * a text longer than the container is divided: whole containers first, the rest
   is packed like any other text; no other text is divided;
 * an empty text has no tokens and takes no room, but is assigned; a null text is
-  no text and is not assigned;
+  no text and is not assigned, nor is one whose doc_id is null;
 * repeated rows are packed as rows of their own; capacities that are null or
   below one are ignored; empty tables give an empty result.
 """
@@ -163,7 +163,7 @@ def containers(
         ]
         return pd.DataFrame(rows, columns=["capacity_id", "container_id", "doc_id", "piece", "start", "tokens"])
 
-    # Rows without an id, or of one repeated id, spread like any others.
+    # Rows of one repeated id spread like any others.
     spread = F.pmod(F.xxhash64("doc_id", "tokens", "source", "cluster"), F.lit(blocks))
     if not wanted:
         return documents.sparkSession.createDataFrame([], schema)
