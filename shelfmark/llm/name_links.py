@@ -3,8 +3,8 @@
 Spellings are read once each into a kind of organisation, its content words, a
 given name and a short form. Distinct readings are the records of a
 set-similarity join: their sets are the q-grams of their content words, a gram
-weighs more the rarer it is, and only the prefix of rarest grams that any
-similar set must touch is joined. Candidate pairs are verified by a soft
+weighs more the rarer it is, and only the prefix of rarest grams of the smaller
+set, which any similar set must touch, is joined with the larger one. Candidate pairs are verified by a soft
 weighted token similarity that knows abbreviations, misspellings and
 nicknames, and that turns a different kind or subject into a conflict.
 Verified pairs are closed to components, one an organisation.
@@ -80,21 +80,25 @@ def candidates(nodes: DataFrame) -> DataFrame:
     # Squared, so that rare grams outweigh the common ones of subjects.
     weighed = grams.join(df, "gram").withColumn("w", F.pow(F.lit(total + 0.1) - F.log("df"), 2))
     order = Window.partitionBy("node").orderBy(F.col("df"), F.col("gram"))
-    prefix = (
-        weighed.withColumn("before", F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("all", F.sum("w").over(Window.partitionBy("node")))
-        .where(F.col("before") <= (1 - LEAST_OVERLAP) * F.col("all"))
-        .select("node", "gram", "w", "all")
+    whole = weighed.withColumn("all", F.sum("w").over(Window.partitionBy("node")))
+    # What lies beyond the prefix is too little for the smaller set's share, so its prefix meets the larger set.
+    prefix = whole.withColumn("before", F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).where(
+        F.col("before") <= (1 - LEAST_OVERLAP) * F.col("all")
     )
-    side = prefix.join(nodes, "node")
-    a = side.select("gram", "w", F.col("all").alias("all_a"), *(F.col(c).alias(f"{c}_a") for c in nodes.columns))
-    b = side.select("gram", F.col("all").alias("all_b"), *(F.col(c).alias(f"{c}_b") for c in nodes.columns))
-    met = a.join(b, "gram").where(
-        "node_a < node_b and (kind_a = kind_b or kind_a = '' or kind_b = '')"
+    kinds = nodes.select("node", "kind")
+    small = prefix.join(kinds, "node").select("gram", *(F.col(c).alias(f"{c}_s") for c in ("node", "kind", "all")))
+    large = whole.join(kinds, "node").select("gram", *(F.col(c).alias(f"{c}_l") for c in ("node", "kind", "all")))
+    met = small.join(large, "gram").where(
+        "(all_s < all_l or (all_s = all_l and node_s < node_l)) and (kind_s = kind_l or kind_s = '' or kind_l = '')"
     )
-    rest = [c for c in met.columns if c not in ("gram", "w", "node_a", "node_b")]
-    pairs = met.groupBy("node_a", "node_b").agg(F.sum("w").alias("shared"), *(F.any_value(c).alias(c) for c in rest))
-    return pairs.where(F.col("shared") >= LEAST_OVERLAP * F.least("all_a", "all_b"))
+    pairs = met.select(F.least("node_s", "node_l").alias("node_a"), F.greatest("node_s", "node_l").alias("node_b")).distinct()
+    sets = whole.groupBy("node").agg(F.any_value("all").alias("all"), F.collect_list(F.struct("gram", "w")).alias("grams"))
+    side = sets.join(nodes, "node")
+    for x in ("a", "b"):
+        pairs = pairs.join(side.select(*(F.col(c).alias(f"{c}_{x}") for c in side.columns)), f"node_{x}")
+    both = F.array_intersect("grams_a", "grams_b")
+    pairs = pairs.withColumn("shared", F.aggregate(both, F.lit(0.0), lambda t, g: t + g["w"]))
+    return pairs.where(F.col("shared") >= LEAST_OVERLAP * F.least("all_a", "all_b")).drop("grams_a", "grams_b")
 
 
 def _similarity(n_nodes: int):

@@ -2,9 +2,11 @@
 
 import itertools
 import math
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm import name_links
 from shelfmark.llm.name_rules import alias_fits, compare, is_filled, read_name, within_one
@@ -123,3 +125,17 @@ def test_formatting_only_pairs(spark):
     assert name_links.variant_pairs(c).count() == 3
     rows = {r.name: (r.n, r.n_names) for r in name_links.variants(c).collect()}
     assert rows["Maga Batese UP"] == (3, 3)
+
+
+def test_candidates_against_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(40)]
+    rows = [(i, "", "", rng.choices(words[: rng.choice((6, 40))], k=rng.choice((1, 2, 9)))) for i in range(120)]
+    nodes = spark.createDataFrame([(*r, [1] * len(r[3])) for r in rows], "node bigint, kind string, given string, tokens array<string>, dfs array<int>")
+    grams = {r.node: set(r.g) for r in nodes.select("node", name_links._grams(F.col("tokens")).alias("g")).collect()}
+    df = Counter(g for x in grams.values() for g in x)
+    weight = lambda x: sum((math.log(len(rows)) + 0.1 - math.log(df[g])) ** 2 for g in sorted(x) if df[g] > 1)
+    share = lambda a, b: weight(grams[a] & grams[b]) - name_links.LEAST_OVERLAP * min(weight(grams[a]), weight(grams[b]))
+    pairs = {p: share(*p) for p in itertools.combinations(sorted(grams), 2) if any(df[g] > 1 for g in grams[p[0]] & grams[p[1]])}
+    got = {(r.node_a, r.node_b) for r in name_links.candidates(nodes).collect()}
+    assert {p for p, x in pairs.items() if x > 1e-9} <= got <= {p for p, x in pairs.items() if x > -1e-9}
