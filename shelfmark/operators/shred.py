@@ -11,7 +11,7 @@ Defined cases
 -------------
 * null, empty, broken or incomplete bodies and bodies that are no JSON: no rows;
 * a string that itself holds a JSON object or array is read as that value, the
-  body included, at any depth;
+  body included, at any depth; a byte-order mark before it is no part of it;
 * an empty input table gives empty tables; extra columns are ignored;
 * a body delivered again is shredded again under its own record id;
 * repeated members of one object: the last one counts;
@@ -62,14 +62,17 @@ _ARROW = pa.schema(
 )
 
 ELEMENT = "[]"  # the label of an array's elements
+SOURCE_WRAPPERS = ("items", "data", "rows", "results")  # members of ``sources`` that hold the sources
+
+
+MARK = "\ufeff"  # the byte-order mark
 
 
 def _parsed(text: str):
     """The value of a JSON text, read again while it is a string; None if broken."""
     value = text
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):  # every reading is shorter than the text it was read from
+        value = value.lstrip(MARK)
         if not value.strip():
             return None
         try:
@@ -82,10 +85,10 @@ def _parsed(text: str):
 def _inner(value):
     """A string that holds an object or array becomes that value."""
     if isinstance(value, str):
-        head = value.lstrip()[:1]
+        head = value.lstrip(MARK).lstrip()[:1]
         if head in ("{", "["):
             try:
-                inner = json.loads(value)
+                inner = json.loads(value.lstrip(MARK))
             except (ValueError, RecursionError):
                 return value
             if isinstance(inner, dict | list):
@@ -103,6 +106,13 @@ def _text(value) -> str | None:
     return str(value)
 
 
+def _at_source(path: tuple) -> bool:
+    """Whether a path leads to a source itself: below ``sources``, or below a wrapper in it."""
+    if len(path) < 2 or path[0] != "sources":
+        return False
+    return len(path) == (3 if path[1] in SOURCE_WRAPPERS else 2)
+
+
 def shred_body(
     body: str | None,
     row_member: str,
@@ -118,8 +128,9 @@ def shred_body(
     with the number of members and the labels and numbers of the nodes from
     below the row to the node. Only members in ``roots`` of a row are entered
     and only scalars with one of ``labels`` are kept, if given; elements of
-    arrays and members named by a year always are. Members in ``leave`` are not
-    entered; they still count towards the number of members. With ``numbered``
+    arrays and members named by a year always are. Members in ``leave`` of a
+    source itself are not entered; they still count towards the number of
+    members, and their names mean nothing anywhere else. With ``numbered``
     the paths hold the places of array elements, such as ``[3]`` for ``[]``.
     """
     root = _parsed(body) if body else None
@@ -151,8 +162,9 @@ def shred_body(
                 elif labels is None or label in labels or label == ELEMENT or (len(label) == 4 and label.isdigit()):
                     yield row, node, parent, label, ordinal, kind, _text(value), 0, path, nodes
             entered = list(children)
+        is_source = bool(leave) and kind == "object" and row is not None and _at_source(path)
         for i in range(len(entered) - 1, -1, -1):
-            if entered[i][0] in leave:
+            if is_source and entered[i][0] in leave:
                 continue
             stack.append((entered[i][1], node, entered[i][0], i, row, path, nodes))
 
@@ -261,7 +273,7 @@ def _located(e: DataFrame) -> DataFrame:
     depth = F.size("path")
     in_sources = F.get("path", F.lit(0)) == "sources"
     # The node of the source that a node belongs to: below a wrapper if there is one.
-    wrapped = in_sources & F.get("path", F.lit(1)).isin("items", "data", "rows", "results")
+    wrapped = in_sources & F.get("path", F.lit(1)).isin(*SOURCE_WRAPPERS)
     level = F.when(wrapped, F.lit(2)).otherwise(F.lit(1))
     e = e.withColumn("source_node", F.when(in_sources, F.get(F.col("nodes"), level)))
     e = e.withColumn("is_source", in_sources & (F.col("object") == F.col("source_node")) & (F.col("kind") == "object"))
@@ -440,7 +452,7 @@ def flat_table(records: DataFrame, child: str, id_col: str = "record_id", body_c
                 F.col("label"),
             )
         )
-        # Parts of an element that names itself are no children, nor is what lies in LEAVE.
+        # Parts of an element that names itself are no children.
         name = F.col({"topics": "display_name", "counts_by_year": "year", "issn_details": "issn"}[child])
 
         def named(level: int) -> Column:
@@ -451,9 +463,7 @@ def flat_table(records: DataFrame, child: str, id_col: str = "record_id", body_c
 
         wrapped = F.coalesce(F.get("path", F.col("first")).isin(*_WRAPPERS), F.lit(False))
         e = e.withColumn("inside", named(1) | (named(0) & ~wrapped))
-        skipped = F.slice("path", F.col("first") + 1, F.greatest(below - 1, F.lit(0)))
-        aside = F.arrays_overlap(skipped, F.array(*map(F.lit, LEAVE)))
-        e = e.withColumn("key", F.when((F.col("container") == child) & ~F.col("inside") & ~aside, key))
+        e = e.withColumn("key", F.when((F.col("container") == child) & ~F.col("inside"), key))
     return e.where("unified_id is not null and length(trim(key)) > 0").select(
         "record_id",
         "unified_id",

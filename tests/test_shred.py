@@ -9,7 +9,7 @@ from shelfmark.operators.shred import COLUMNS, _text, children, flat_table, shre
 def inner(v):
     while isinstance(v, str):
         try:
-            w = json.loads(v)
+            w = json.loads(v.removeprefix("\ufeff"))
         except ValueError:
             return v
         if not isinstance(w, dict | list | str):
@@ -44,8 +44,8 @@ def brute(rows):
     out = set()
     for rid, body in rows:
         try:
-            j = inner(json.loads(body))
-        except (ValueError, TypeError):
+            j = inner(json.loads(body.removeprefix("\ufeff")))
+        except (ValueError, AttributeError):
             continue
         found = [j]
         if isinstance(j, dict) and "success" in j:
@@ -104,6 +104,24 @@ def test_shapes(spark):
     assert got == {(i, 7, *w) for i in (0, 1) for w in want}
 
 
+def test_byte_order_marks(spark):
+    row = {"unified": {"id": 7}, "issn_details": "\ufeff[{\"issn\": \"1111-1111\"}]", "sources": {"jcr": {"main": 1}}}
+    body = json.dumps(row, ensure_ascii=False)
+    bodies = ["\ufeff" + body, json.dumps("\ufeff" + body), "\ufeff", "\ufeff{", "\ufeff null"]
+    assert run(spark, bodies) == {(i, 7, *w) for i in (0, 1) for w in [("issn_details", "1111-1111"), ("sources", "jcr")]}
+
+
+def test_children_named_like_other_parts_of_a_source(spark):
+    """Topics, years and sources that bear the name of a part that holds no children."""
+    from shelfmark.operators.shred import LEAVE
+
+    topics = {name: {"count": 1} for name in LEAVE}
+    sources = {"openalex": {"topics": topics, "main": {"x": 1}}} | {name: {"y": 1} for name in LEAVE}
+    got = run(spark, [json.dumps({"unified": {"id": 1}, "sources": sources})])
+    want = {("topics", n) for n in LEAVE} | {("sources", n) for n in ("openalex", *LEAVE)}
+    assert got == {(0, 1, *w) for w in want}
+
+
 def test_adjacency_links_every_node_to_its_parent():
     body = json.dumps({"unified": {"id": 1, "a": [1, {"b": None}]}, "x": "[2]"})
     rows = list(shred_body(body, "unified"))
@@ -145,7 +163,7 @@ def test_flat_sources_hold_every_value_of_the_whole_table(spark, data):
         got.update((r.record_id, r.unified_id, r.key, v.path, v.value) for v in r["values"])
     for rid, body in [(r.record_id, r.body) for r in raw.collect()]:
         try:
-            j = inner(json.loads(body))
+            j = inner(json.loads(body.removeprefix("\ufeff")))
         except (ValueError, TypeError):
             continue
         found = (inner(j.get("data")) or {}).get("rows") or [] if isinstance(j, dict) and "success" in j else j if isinstance(j, list) else [j]
