@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -12,31 +13,40 @@ from pyspark.sql import functions as F
 # White space of every kind, also for DuckDB's regular expressions.
 SPACES = r"[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]+"
 
-# The named character references that titles hold.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+# The named character references that titles hold; no others are decoded.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+_REFERENCE = re.compile("&(?:(lt|gt|quot|apos|amp)|#([0-9]+)|#[xX]([0-9A-Fa-f]+));")
 
 
-def unescape_named(text: Column) -> Column:
-    """Decode the named references, ``&amp;`` last so that nothing is decoded twice."""
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+def _character(m: re.Match) -> str:
+    """What a reference stands for; one that is no character stays as it is."""
+    if m[1]:
+        return ENTITIES[m[0]]
+    code = int(m[2]) if m[2] else int(m[3], 16)
+    return chr(code) if code < 0xD800 or 0xE000 <= code <= 0x10FFFF else m[0]
 
 
-def unescape_all(text: Column) -> Column:
-    """Decode named and numeric references, in batches; only rows with one go to Python."""
+def unescape_title(text: Column) -> Column:
+    """Decode the five named references and all decimal and hexadecimal ones, each once.
+
+    ``&amp;`` comes last where only names occur; a text with a numeric
+    reference, and no other, is read by a pattern in Python batches.
+    """
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(html.unescape, na_action="ignore")
+            yield texts.map(lambda t: _REFERENCE.sub(_character, t), na_action="ignore")
 
-    return F.when(text.contains("&"), decode(text)).otherwise(text)
+    named = text
+    for entity, char in ENTITIES.items():
+        named = F.replace(named, F.lit(entity), F.lit(char))
+    return F.when(text.contains("&#"), decode(text)).otherwise(named)
 
 
 def normalize_title(title: Column) -> Column:
     """Decoded, white space collapsed, trimmed, lower case; '' for null and blank."""
-    return F.coalesce(F.lower(F.trim(F.regexp_replace(unescape_named(title), SPACES, " "))), F.lit(""))
+    return F.coalesce(F.lower(F.trim(F.regexp_replace(unescape_title(title), SPACES, " "))), F.lit(""))
 
 
 def is_blank(text: Column) -> Column:
@@ -73,6 +83,12 @@ def leading_int(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def leading_number(value: Column) -> Column:
+    """The number at the start of a text, or the number itself; 0 for null and garbage."""
+    head = F.regexp_extract(value.cast("string"), r"^\s*([+-]?\d+(\.\d+)?([eE][+-]?\d+)?)", 1)
+    return F.coalesce(head.try_cast("double"), F.lit(0.0))
+
+
 def first_digits(text: Column) -> Column:
     """The first group of digits, or null."""
     return F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit(""))
@@ -83,6 +99,20 @@ def matched_or(text: Column, pattern: str, default: str) -> Column:
     return F.coalesce(F.upper(F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))), F.lit(default))
 
 
+def localized(key: Column, locale: Column, labels: Mapping[str, Mapping[str, str]], fallback: str, **values: Column) -> Column:
+    """The label of a key in a locale, else in the fallback locale, else the key; ``%{name}`` takes a value.
+
+    ``labels`` is a small literal table of locale to key to label.
+    """
+    pairs = [x for lang, words in labels.items() for k, v in words.items() for x in (F.lit(f"{lang}\t{k}"), F.lit(v))]
+    table = F.create_map(*pairs)
+    found = lambda lang: F.try_element_at(table, F.concat(lang, F.lit("\t"), key))
+    text = F.coalesce(found(locale), found(F.lit(fallback)), key)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("%{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return text
+
+
 def escape_html(text: Column) -> Column:
     """The five markup characters as references, ``&`` first."""
     for char, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
@@ -127,13 +157,22 @@ def absolute_url(url: Column, base: str) -> Column:
 
 
 def fill_template(template: Column, values: Mapping[str, Column]) -> Column:
-    """Replace ``{{key}}``; unknown keys vanish, and so do separators left dangling."""
-    for key, value in values.items():
-        template = F.replace(template, F.lit("{{" + key + "}}"), F.coalesce(value.cast("string"), F.lit("")))
-    template = F.regexp_replace(template, r"\{\{\w+\}\}", "")
-    template = F.regexp_replace(F.regexp_replace(template, r"\s+([,;])", "$1"), r"\s{2,}", " ")
-    template = F.regexp_replace(template, r"([,;-]\s*){2,}", "$1")
-    return F.trim(F.regexp_replace(template, r"^[\s,;-]+|[\s,;-]+$", ""))
+    """Replace ``{{key}}`` in one pass, so that a value is never read as a template.
+
+    Unknown keys and null values vanish. Two commas or two dashes in a row
+    become one, and commas, dashes and white space go at the ends of each line;
+    whatever else is left dangling stays.
+    """
+    table = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))))
+    pieces = F.regexp_extract_all(template, F.lit(r"(\{\{\w+\}\}|[^{]+|\{)"), F.lit(1))
+    key = lambda x: F.substring(x, 3, F.length(x) - 4)
+    filled = F.transform(
+        pieces,
+        lambda x: F.when(x.rlike(r"^\{\{\w+\}\}$"), F.coalesce(F.try_element_at(table, key(x)), F.lit(""))).otherwise(x),
+    )
+    text = F.array_join(filled, "")
+    text = F.regexp_replace(F.regexp_replace(text, r",\s*,", ","), r"\s*-\s*-", " -")
+    return F.regexp_replace(F.regexp_replace(text, r"(?dm)^[,\s-]+|[,\s-]+$", ""), r"^\s+|\s+$", "")
 
 
 def split_setting(text: Column) -> Column:
@@ -146,13 +185,18 @@ def clamp(value: Column, low: float, high: float) -> Column:
 
 
 def axis_label(value: Column) -> Column:
-    """Millions and thousands with one decimal and a letter; whole numbers plain; else one decimal."""
-    size = F.abs(value)
+    """Millions with one decimal, thousands from 10,000 whole and below with one; whole numbers plain; else one decimal.
+
+    Letters stand for millions (M) and thousands (K); a half is rounded away
+    from zero before a letter and to the even digit without one.
+    """
+    size, v = F.abs(value), value.cast("double")
     return (
-        F.when(size >= 1_000_000, F.concat(F.format_string("%.1f", value / 1_000_000.0), F.lit("M")))
-        .when(size >= 1_000, F.concat(F.format_string("%.1f", value / 1_000.0), F.lit("K")))
+        F.when(size >= 1_000_000, F.concat(F.format_string("%.1f", v / 1_000_000.0), F.lit("M")))
+        .when(size >= 10_000, F.concat(F.format_string("%.0f", v / 1_000.0), F.lit("K")))
+        .when(size >= 1_000, F.concat(F.format_string("%.1f", v / 1_000.0), F.lit("K")))
         .when(value == F.floor(value), F.floor(value).cast("string"))
-        .otherwise(F.format_string("%.1f", value.cast("double")))
+        .otherwise(F.format_string("%.1f", F.when(v * 4 == F.floor(v * 4), F.bround(v, 1)).otherwise(v)))
     )
 
 

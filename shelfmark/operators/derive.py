@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmark.functions.scalars import clamp, first_digits, is_blank, iso8601, thousands, truncated
+from shelfmark.functions.scalars import clamp, first_digits, is_blank, iso8601, leading_number, thousands, truncated
 
 
 def recent_history(rows: DataFrame, entity: str, year: str, most: int = 15) -> DataFrame:
@@ -46,49 +46,60 @@ def weight_1_to_5(by: str, value: str) -> Column:
     return clamp(F.ceil(F.col(value) / top * 5), 1, 5).cast("int")
 
 
+def value_range(low: Column, high: Column) -> tuple[Column, Column]:
+    """The range of an axis: 0 always lies in it, and it is at least 1 wide where it is empty."""
+    low, high = F.least(low, F.lit(0)), F.greatest(high, F.lit(0))
+    return low, F.when(high == low, low + 1).otherwise(high)
+
+
 def chart_points(rows: DataFrame, series: str, order: str, value: str, width: float = 100.0, height: float = 100.0) -> DataFrame:
-    """Add x and y of each point: even steps in x; y scaled from the greatest (0) to the least."""
+    """Add x and y of each point: even steps in x; y from the top of the range (0) down to its bottom.
+
+    A series of a single point has no line and gives x = 0.
+    """
     w = Window.partitionBy(series)
-    lo, hi = F.least(F.min(value).over(w), F.lit(0)), F.max(value).over(w)
-    span = F.when(hi == lo, 1.0).otherwise(hi - lo)
+    lo, hi = value_range(F.min(value).over(w), F.max(value).over(w))
+    rows = rows.withColumns({"__lo": lo, "__hi": hi})
     x = F.percent_rank().over(Window.partitionBy(series).orderBy(order)) * width
-    y = (hi - F.col(value)) / span * height
-    return rows.withColumns({"x": F.round(x, 4), "y": F.round(y, 4)})
+    y = (F.lit(1.0) - (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))) * height
+    return rows.withColumns({"x": F.round(x, 4), "y": F.round(y, 4)}).drop("__lo", "__hi")
 
 
 def axis_ticks(low: Column, high: Column) -> Column:
-    """Five evenly spaced values from low to high."""
+    """Five evenly spaced values over the range of an axis that shows ``low`` to ``high``."""
+    low, high = value_range(low, high)
     return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: low + i / 4.0 * (high - low))
 
 
 def thinned_ticks(rows: DataFrame, series: str, order: str) -> DataFrame:
-    """The labels of an axis that fit: every step-th and the last, without one just before it.
+    """The labels of an axis that fit: every step-th and the last, without one less than a step before it.
 
     The step is 1 up to 8 labels, 2 up to 15, 3 up to 25, then a seventh of them.
     """
     w = Window.partitionBy(series)
-    i = F.row_number().over(w.orderBy(order)) - 1
-    n = F.count(F.lit(1)).over(w)
-    step = F.when(F.col("n") <= 8, 1).when(F.col("n") <= 15, 2).when(F.col("n") <= 25, 3).otherwise(F.ceil(F.col("n") / 7))
-    out = rows.withColumns({"i": i, "n": n}).withColumn("step", step.cast("int"))
-    last = F.col("n") - 1
-    on_step = (F.col("i") % F.col("step") == 0) & ((last - F.col("i")) * 2 >= F.col("step"))
-    return out.where(on_step | (F.col("i") == last)).drop("n", "step")
+    rows = rows.withColumns({"i": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count(F.lit(1)).over(w)})
+    n, i = F.col("__n"), F.col("i")
+    rows = rows.withColumn("__step", F.when(n <= 8, 1).when(n <= 15, 2).when(n <= 25, 3).otherwise(F.ceil(n / 7)).cast("int"))
+    on_step = (i % F.col("__step") == 0) & (n - 1 - i >= F.col("__step"))
+    return rows.where(on_step | (i == n - 1)).drop("__n", "__step")
 
 
-def plain_text(record: DataFrame) -> DataFrame:
-    """unified_id and one line of the record's main facts."""
+def _plain_line() -> Column:
     jcr = F.get("jcr", F.lit(0))
-    line = F.concat_ws(
+    return F.concat_ws(
         " | ",
         F.col("identity.title"),
         F.concat(F.lit("ISSN-L: "), F.coalesce("identity.issn_l", F.lit(""))),
         F.concat(F.lit("Publisher: "), F.col("publication.publisher_name")),
-        F.concat(F.lit("IF: "), jcr["impact_factor"], F.lit(" ("), jcr["year"].cast("string"), F.lit(")")),
+        F.concat(F.lit("IF: "), jcr["impact_factor"], F.lit(" ("), F.coalesce(jcr["year"].cast("string"), F.lit("")), F.lit(")")),
         F.concat(F.lit("Works: "), F.col("metrics.works_count").cast("string")),
         F.concat(F.lit("Cited by: "), F.col("metrics.cited_by_count").cast("string")),
     )
-    return record.select("unified_id", line.alias("plain_text"))
+
+
+def plain_text(record: DataFrame) -> DataFrame:
+    """unified_id and one line of the record's main facts."""
+    return record.select("unified_id", _plain_line().alias("plain_text"))
 
 
 def seo_excerpt(record: DataFrame, most: int = 300) -> DataFrame:
@@ -115,7 +126,7 @@ def seo_excerpt(record: DataFrame, most: int = 300) -> DataFrame:
     sentences = F.concat_ws(
         ". ", head, F.nullif(ranks, F.lit("")), F.nullif(stats, F.lit("")), F.when(F.col("open_access.is_oa"), "Open access")
     )
-    text = F.trim(sentences)
+    text = F.regexp_replace(sentences, r"^[\s\x00]+|[\s\x00]+$", "")
     text = F.when(text.endswith("."), text).otherwise(F.concat(text, F.lit(".")))
     return record.select("unified_id", truncated(text, most, "...", mark_counts=True).alias("excerpt"))
 
@@ -130,32 +141,57 @@ def status_flags(record: DataFrame) -> DataFrame:
     return record.select("unified_id", F.explode(rows).alias("x")).select("unified_id", "x.flag", "x.value").where("value is not null")
 
 
+# The charts of a record in their order, the section that each is drawn from, and its fields.
+CHARTS = {
+    "sjr": ("scimago", ("sjr",)),
+    "total_docs": ("scimago", ("total_docs_year",)),
+    "cites_per_doc": ("scimago", ("citations_per_doc_2years",)),
+    "female_pct": ("scimago", ("female_pct",)),
+    "refs_per_doc": ("scimago", ("ref_per_doc",)),
+    "policy_docs": ("scimago", ("overton",)),
+    "sdg_docs": ("scimago", ("sdg",)),
+    "annual_citations": ("counts", ("cited_by_count",)),
+    "works_vs_oa": ("counts", ("works_count", "oa_works_count")),
+    "total_citations_wide": ("counts", ("cited_by_count",)),
+    "dois_by_year": ("dois", ("count",)),
+    "oa_works_trend": ("counts", ("oa_works_count",)),
+    "jcr_if": ("jcr", ("impact_factor",)),
+}
+
+
 def chart_series(record: DataFrame) -> DataFrame:
-    """The yearly series of a record in long form: unified_id, chart, year, value; two points or more."""
-    def rows(section: str, values: dict[str, str]) -> Column:
-        return F.flatten(
-            F.transform(
-                F.coalesce(F.col(section), F.array().cast(record.select(section).schema[0].dataType)),
-                lambda x: F.array(*(F.struct(F.lit(c).alias("chart"), x["year"].cast("bigint").alias("year"), x[f].try_cast("double").alias("value")) for c, f in values.items())),
-            )
-        )
+    """The thirteen yearly charts of a record in long form: unified_id, chart, field, place, year, value.
 
+    Places count from 1 for the oldest year. A chart needs two years of its
+    section or more; values that are missing or no numbers are 0, as texts
+    count the number at their start. Years without an impact factor are no
+    part of ``jcr_if``.
+    """
     parts = record.select(
-        "unified_id",
-        F.col("metrics.counts_by_year").alias("counts"),
-        F.col("crossref_quality.dois_by_year").alias("dois"),
-        "jcr", "scimago",
+        "unified_id", "scimago", F.col("metrics.counts_by_year").alias("counts"), F.col("crossref_quality.dois_by_year").alias("dois"),
+        F.filter("jcr", lambda x: x["impact_factor"].isNotNull()).alias("jcr"),
     )
-    record = parts
-    every = F.concat(
-        rows("counts", {"works": "works_count", "oa_works": "oa_works_count", "citations": "cited_by_count"}),
-        rows("dois", {"dois": "count"}),
-        rows("jcr", {"impact_factor": "impact_factor"}),
-        rows("scimago", {"sjr": "sjr"}),
-    )
-    long = parts.select("unified_id", F.explode(every).alias("x")).select("unified_id", "x.*").where("value is not null and year is not null")
-    n = F.count(F.lit(1)).over(Window.partitionBy("unified_id", "chart"))
-    return long.withColumn("n", n).where("n >= 2").drop("n")
+
+    def rows(chart: str, section: str, fields: Sequence[str]) -> Column:
+        one = lambda f: F.transform(
+            F.reverse(section),
+            lambda x, i: F.struct(
+                F.lit(chart).alias("chart"), F.lit(f).alias("field"), (i + 1).alias("place"),
+                x["year"].cast("bigint").alias("year"), leading_number(x[f]).alias("value"),
+            ),
+        )
+        none = F.array().cast("array<struct<chart: string, field: string, place: int, year: bigint, value: double>>")
+        return F.when(F.size(section) >= 2, F.concat(*map(one, fields))).otherwise(none)
+
+    every = F.concat(*(rows(c, *of) for c, of in CHARTS.items()))
+    return parts.select("unified_id", F.explode(every).alias("x")).select("unified_id", "x.*")
+
+
+def chart_table(record: DataFrame) -> DataFrame:
+    """The rows below each chart, the latest year first: unified_id, chart, field, row (from 1), year, value."""
+    series = chart_series(record).groupBy("unified_id", "chart", "field", "year", "value", "place").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("unified_id", "chart", "field").orderBy(F.desc("year"), "place", "value")
+    return series.select("unified_id", "chart", "field", F.row_number().over(w).alias("row"), "year", "value", "n")
 
 
 def topic_cloud(record: DataFrame) -> DataFrame:
@@ -190,7 +226,7 @@ SEVERITY = {"高": "high", "中": "med"}
 
 
 def warning_timeline(record: DataFrame) -> DataFrame:
-    """Warnings by year, oldest first: unified_id, place, year, level, severity."""
+    """Warnings by year, oldest first: unified_id, place (from 0), year, level, severity."""
     oldest = F.reverse(F.col("warning"))
     table = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))
     long = record.where("warning is not null").select("unified_id", F.posexplode(oldest).alias("place", "w"))
@@ -198,25 +234,74 @@ def warning_timeline(record: DataFrame) -> DataFrame:
     return long.select("unified_id", "place", "w.year", "w.level", severity.alias("severity"))
 
 
-def json_ld(record: DataFrame, updated: Column | None = None) -> DataFrame:
-    """unified_id and a schema.org Periodical as JSON, without what is unknown."""
-    p, i = F.col("publication"), F.col("identity")
+def json_ld(
+    record: DataFrame,
+    url: Column | None = None,
+    description: Column | None = None,
+    keywords: Column | None = None,
+    created: Column | None = None,
+    updated: Column | None = None,
+) -> DataFrame:
+    """unified_id and a schema.org Periodical as JSON, without what is unknown.
+
+    The metrics are added to a description only where there is one.
+    """
+    p, i, m = F.col("publication"), F.col("identity"), F.col("metrics")
+    jcr = F.get("jcr", F.lit(0))
+    present = lambda c: F.when(~is_blank(c), c)
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    place = F.coalesce(present(p["country_name"]), present(p["country_code"]))
+    numbers = F.concat_ws(
+        ", ",
+        F.concat(F.lit("Works: "), m["works_count"].cast("string")),
+        F.concat(F.lit("Citations: "), m["cited_by_count"].cast("string")),
+        F.concat(F.lit("H-Index: "), m["h_index"].cast("string")),
+    )
+    told = present(text(description))
+    thing = lambda x: F.struct(F.lit("Thing").alias("@type"), x.alias("name"))
+    subjects = F.col("subjects_topics.subjects")
+    moment = lambda c: text(None) if c is None else iso8601(c)
     doc = F.struct(
         F.lit("https://schema.org").alias("@context"),
         F.lit("Periodical").alias("@type"),
         i["title"].alias("name"),
-        i["issn_l"].alias("issn"),
-        F.when(F.size(i["alternate_titles"]) > 0, i["alternate_titles"]).alias("alternateName"),
+        text(url).alias("url"),
+        present(i["issn_l"]).alias("issn"),
         F.when(~is_blank(p["publisher_name"]), F.struct(F.lit("Organization").alias("@type"), p["publisher_name"].alias("name"))).alias("publisher"),
-        i["homepage_url"].alias("url"),
-        i["cover_url"].alias("image"),
-        F.col("open_access.is_oa").alias("isAccessibleForFree"),
-        F.slice(F.col("subjects_topics.subjects"), 1, 5).alias("about"),
-        *([iso8601(updated).alias("dateModified")] if updated is not None else []),
+        present(i["cover_url"]).alias("image"),
+        present(text(keywords)).alias("keywords"),
+        F.when(place.isNotNull(), F.struct(F.lit("Country").alias("@type"), place.alias("name"))).alias("countryOfOrigin"),
+        moment(created).alias("dateCreated"),
+        moment(updated).alias("dateModified"),
+        F.when(numbers != "", F.concat(told, F.lit(". "), numbers)).otherwise(told).alias("description"),
+        present(i["abbreviation"]).alias("alternateName"),
+        p["first_publication_year"].cast("string").alias("startDate"),
+        F.when(F.col("open_access.is_oa"), F.lit(True)).alias("isAccessibleForFree"),
+        F.concat(F.lit("Impact Factor: "), jcr["impact_factor"], F.lit(" ("), F.coalesce(jcr["year"].cast("string"), F.lit("")), F.lit(")")).alias("award"),
+        F.when(F.size(subjects) > 0, F.transform(F.slice(subjects, 1, 5), thing)).alias("about"),
     )
     return record.select("unified_id", F.to_json(doc).alias("json_ld"))
 
 
+def record_json(record: DataFrame) -> DataFrame:
+    """unified_id and the whole canonical record as JSON, with what is unknown as null."""
+    sections = [c for c in record.columns if c != "unified_id"]
+    return record.select("unified_id", F.to_json(F.struct(*sections), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def prepared_records(record: DataFrame) -> DataFrame:
+    """What is written out for a record: unified_id, title, raw_text, record, issn_l, publisher, cover_url, country.
+
+    Records without a title are left out.
+    """
+    i, p = F.col("identity"), F.col("publication")
+    line, whole = _plain_line(), F.to_json(F.struct(*(c for c in record.columns if c != "unified_id")), {"ignoreNullFields": "false"})
+    return record.where(~is_blank(i["title"])).select(
+        "unified_id", i["title"].alias("title"), line.alias("raw_text"), whole.alias("record"), i["issn_l"].alias("issn_l"),
+        p["publisher_name"].alias("publisher"), i["cover_url"].alias("cover_url"), F.coalesce(p["country_name"], p["country_code"]).alias("country"),
+    )
+
+
 def cas_zone_text(record: DataFrame) -> DataFrame:
     """unified_id and the digits of the latest zone."""
     return record.select("unified_id", first_digits(F.get("cas_partition", F.lit(0))["major_quartile"]).alias("zone"))
@@ -236,9 +321,11 @@ def narrative(record: DataFrame) -> DataFrame:
         F.when(oa["is_in_doaj"], " and listed in DOAJ.").otherwise(" and not listed in DOAJ."),
     )
     impact = F.concat(F.lit("Impact factor "), jcr["impact_factor"], F.lit(" in "), jcr["year"].cast("string"), F.coalesce(F.concat(F.lit(", "), jcr["quartile"]), F.lit("")), F.lit("."))
-    rank = F.concat(F.lit("SJR "), F.format_string("%.3f", sjr["sjr"]), F.lit("."))
+    rank = F.concat(F.lit("SJR "), F.format_string("%.3f", sjr["sjr"]), F.coalesce(F.concat(F.lit(", "), sjr["best_quartile"]), F.lit("")), F.lit("."))
     rank = F.when(sjr["sjr"].isNotNull(), rank)
-    return record.select("unified_id", F.concat_ws(" ", volume, years, access, impact, rank).alias("narrative"))
+    cas = F.get("cas_partition", F.lit(0))
+    zone = F.concat(F.lit("Zone "), first_digits(cas["major_quartile"]), F.coalesce(F.concat(F.lit(" in "), cas["major_category"]), F.lit("")), F.lit("."))
+    return record.select("unified_id", F.concat_ws(" ", volume, years, access, impact, rank, zone).alias("narrative"))
 
 
 def sitemap_page(topics: DataFrame, number: int, size: int) -> DataFrame:

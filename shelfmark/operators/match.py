@@ -8,14 +8,17 @@ title may hold a large part of either side.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from shelfmark.functions.scalars import is_blank, normalize_title
+from shelfmark.session import stored
 
 # The six classes by the sizes of both sides of a group.
 CLASSES = ("exact_1to1", "left_1_to_right_n", "left_n_to_right_1", "left_n_to_right_m", "left_only", "right_only")
@@ -25,13 +28,12 @@ class Matched(NamedTuple):
     """The outcome of matching.
 
     groups: group, title, n and m (rows of both sides), left_first and
-    right_first (least order and id of either side), class; lefts and rights:
-    group, id, ord.
+    right_first (least order and id of either side), class; rows: side (l or
+    r), group, id, ord of every record of both sides.
     """
 
     groups: DataFrame
-    lefts: DataFrame
-    rights: DataFrame
+    rows: DataFrame
 
 
 def side(records: DataFrame, id: Column, title: Column, key: Column, order: Sequence[Column]) -> DataFrame:
@@ -48,16 +50,18 @@ def side(records: DataFrame, id: Column, title: Column, key: Column, order: Sequ
     ).where("title <> ''")
 
 
-def first_wins(records: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+def first_wins(records: DataFrame, key: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the first row of every key in the given order; rows without a key all stay.
 
-    The rows with a key are split off, so that the window's limit of one row
-    is pushed below the exchange.
+    The key is a column or several; a row has none if any of them is null. The
+    rows with a key are split off, so that the window's limit of one row is
+    pushed below the exchange.
     """
-    keyed = records.where(F.col(key).isNotNull())
-    w = Window.partitionBy(key).orderBy(*order)
-    firsts = keyed.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    return firsts.unionByName(records.where(F.col(key).isNull()))
+    keys = [key] if isinstance(key, str) else list(key)
+    none = functools.reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    firsts = records.where(~none).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return firsts.unionByName(records.where(none))
 
 
 def identifier_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -70,20 +74,33 @@ def identifier_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "key")
 
 
-def _counted(rows: DataFrame, n: str, first: str) -> DataFrame:
-    return rows.groupBy("group").agg(
-        F.any_value("title").alias("title"), F.count(F.lit(1)).alias(n), F.min(F.struct("ord", "id")).alias(first)
-    )
+def _aligned(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with orders of one type, so that they can be one table: missing parts are null."""
+    kinds: dict[str, T.DataType] = {}
+    for field in [*left.schema["ord"].dataType.fields, *right.schema["ord"].dataType.fields]:
+        known = kinds.setdefault(field.name, field.dataType)
+        if known != field.dataType:
+            if not isinstance(known, T.IntegralType) or not isinstance(field.dataType, T.IntegralType):
+                raise ValueError(f"orders of {known} and {field.dataType} cannot be compared")
+            kinds[field.name] = T.LongType()
+
+    def cast(rows: DataFrame) -> DataFrame:
+        own = rows.schema["ord"].dataType.names
+        parts = (F.col(f"ord.{n}") if n in own else F.lit(None) for n in kinds)
+        return rows.withColumn("ord", F.struct(*(p.cast(t).alias(n) for p, (n, t) in zip(parts, kinds.items(), strict=True))))
+
+    return cast(left), cast(right)
 
 
-def two_phase(left: DataFrame, right: DataFrame) -> Matched:
+def two_phase(left: DataFrame, right: DataFrame, keep: bool = False) -> Matched:
     """Match both sides in two phases.
 
     The right side is deduplicated by identifier, the first in scan order
-    wins; ties in order go to the lesser id. Both sides are one row per title
-    before the full outer join, so generic titles cannot skew it.
+    wins; ties in order go to the lesser id. A group is counted by one partial
+    aggregate over both sides, so generic titles cannot skew it. With ``keep``
+    the matched rows are stored, for callers that use them more than once.
     """
-    right = first_wins(right, "key", [F.col("ord"), F.col("id")])
+    left, right = _aligned(left, first_wins(right, "key", [F.col("ord"), F.col("id")]))
     pairs = identifier_pairs(left, right)
     by_key = F.concat(F.lit("k:"), F.col("key"))
     lefts1 = pairs.select(by_key.alias("group"), F.col("left_id").alias("id"), F.col("left_ord").alias("ord"), "title")
@@ -91,18 +108,23 @@ def two_phase(left: DataFrame, right: DataFrame) -> Matched:
     by_title = F.concat(F.lit("t:"), F.col("title"))
     lefts2 = left.join(lefts1.select("id"), "id", "left_anti").select(by_title.alias("group"), "id", "ord", "title")
     rights2 = right.join(rights1.select("id"), "id", "left_anti").select(by_title.alias("group"), "id", "ord", "title")
-    lefts, rights = lefts1.unionByName(lefts2), rights1.unionByName(rights2)
-    a, b = _counted(lefts, "n", "left_first"), _counted(rights, "m", "right_first")
-    # The title of a group is the right one's, if it has a right side.
-    both = a.alias("a").join(b.alias("b"), "group", "full").select(
-        "group",
-        F.coalesce("b.title", "a.title").alias("title"),
-        F.coalesce("n", F.lit(0)).alias("n"),
-        F.coalesce("m", F.lit(0)).alias("m"),
-        "left_first",
-        "right_first",
+    rows = (
+        lefts1.unionByName(lefts2).withColumn("side", F.lit("l"))
+        .unionByName(rights1.unionByName(rights2).withColumn("side", F.lit("r")))
+    )
+    if keep:
+        rows = stored(rows, "matched")
+    of = lambda side: F.when(F.col("side") == side, F.struct("ord", "id"))
+    title = lambda side: F.max(F.when(F.col("side") == side, F.col("title")))
+    groups = rows.groupBy("group").agg(
+        # The title of a group is the right one's, if it has a right side.
+        F.coalesce(title("r"), title("l")).alias("title"),
+        F.count_if(F.col("side") == "l").alias("n"),
+        F.count_if(F.col("side") == "r").alias("m"),
+        F.min(of("l")).alias("left_first"),
+        F.min(of("r")).alias("right_first"),
     )
-    return Matched(classify(both), lefts.drop("title"), rights.drop("title"))
+    return Matched(classify(groups), rows.drop("title"))
 
 
 def classify(groups: DataFrame) -> DataFrame:

@@ -260,15 +260,18 @@ def subjects_topics(p: Payload) -> Column:
 COVERAGE = ("abstracts", "references", "orcids", "funders", "licenses", "affiliations")
 
 
+def whole_percents(shares: Column) -> Column:
+    """A map of shares as whole per cents, without those that are missing or not positive."""
+    return F.transform_values(F.map_filter(shares, lambda _, v: F.coalesce(v > 0, F.lit(False))), lambda _, v: F.round(v * 100, 0).cast("int"))
+
+
 def crossref_quality(p: Payload) -> Column:
     dois = p.items("sources.crossref.dois_by_year", {"year": "bigint", "count": "bigint"})
     dois = F.slice(latest_first(F.filter(dois, lambda x: x["count"].isNotNull()), lambda x: x["year"]), 1, RECENT_YEARS)
     types = p.items("sources.crossref.coverage_types", {"type_name": "string"} | dict.fromkeys(COVERAGE, "double"))
     every = F.get(F.filter(types, lambda x: x["type_name"] == "all"), F.lit(0))
-    percents = F.map_filter(
-        F.map_from_arrays(F.array(*map(F.lit, COVERAGE)), F.array(*(every[c] for c in COVERAGE))), lambda _, v: v > 0
-    )
-    coverage = F.when(every.isNotNull(), F.transform_values(percents, lambda _, v: F.round(v * 100, 0).cast("int")))
+    shares = F.map_from_arrays(F.array(*map(F.lit, COVERAGE)), F.array(*(every[c] for c in COVERAGE)))
+    coverage = F.when(every.isNotNull(), whole_percents(shares))
     return F.when(
         p.get("sources.crossref").isNotNull(),
         F.struct(

@@ -20,36 +20,35 @@ def action_plan(matched: Matched, create_all: bool = False) -> DataFrame:
     alone is deleted, a right row alone is created. Of a group with right rows
     only just the first is created unless ``create_all``. A right id that is
     planned twice keeps the update with the greatest left id.
+
+    Groups with one row on either side pair their first rows, without being
+    numbered. Match with ``keep``, as the rows are used several times.
     """
     none = F.lit(None).cast("bigint")
-    # Each is used several times below.
-    groups = stored(matched.groups, "groups")
-    lefts, rights = stored(matched.lefts, "lefts"), stored(matched.rights, "rights")
-    two_sided = groups.where("n > 0 and m > 0").select("group")
-    in_both = lambda rows: rows.join(two_sided, "group", "left_semi")
-    a = numbered(in_both(lefts), ["group"], [F.col("ord"), F.col("id")])
-    b = numbered(in_both(rights), ["group"], [F.col("ord"), F.col("id")])
-    paired = (
-        a.select("group", "pos", F.col("id").alias("left_id"))
-        .join(b.select("group", "pos", F.col("id").alias("right_id")), ["group", "pos"], "full")
-        .select("left_id", "right_id")
-    )
+    groups = matched.groups
+    rows = matched.rows.join(groups.select("group", "n", "m", "left_first", "right_first"), "group")
+    place = F.struct("ord", "id")
+    is_left, two_sided, numbered_one = F.col("side") == "l", (F.col("n") > 0) & (F.col("m") > 0), (F.col("n") > 1) & (F.col("m") > 1)
+    many = numbered(rows.where(numbered_one).select("group", "side", "ord", "id"), ["group", "side"], [F.col("ord"), F.col("id")])
+    met = many.groupBy("group", "pos").agg(
+        F.max(F.when(is_left, F.col("id"))).alias("left_id"), F.max(F.when(~is_left, F.col("id"))).alias("right_id")
+    ).select("left_id", "right_id")
+    firsts = groups.where(two_sided & ~numbered_one).select(F.col("left_first.id").alias("left_id"), F.col("right_first.id").alias("right_id"))
+    first = F.when(is_left, F.col("left_first")).otherwise(F.col("right_first"))
+    # Of two-sided groups what comes after the first, of one-sided ones everything that counts.
+    counts = F.when(two_sided, ~numbered_one & (place != first)).otherwise(is_left | F.lit(create_all) | (place == first))
+    alone = rows.where(counts).select(F.when(is_left, F.col("id")).alias("left_id"), F.when(~is_left, F.col("id")).alias("right_id"))
+    every = stored(met.unionByName(firsts).unionByName(alone), "positions")
     updates = (
-        paired.where("left_id is not null and right_id is not null")
+        every.where("left_id is not null and right_id is not null")
         .groupBy("right_id")
         .agg(F.max("left_id").alias("left_id"))
         .select(F.lit("update").alias("action"), "right_id", "left_id")
     )
-    left_alone = lefts.join(groups.where("m = 0").select("group"), "group", "left_semi").select(F.col("id").alias("left_id"))
-    if create_all:
-        right_alone = rights.join(groups.where("n = 0").select("group"), "group", "left_semi").select(F.col("id").alias("right_id"))
-    else:
-        right_alone = groups.where("n = 0").select(F.col("right_first.id").alias("right_id"))
-    deleted = left_alone.unionByName(paired.where("right_id is null").select("left_id"))
-    created = right_alone.unionByName(paired.where("left_id is null").select("right_id"))
-    return updates.unionByName(deleted.select(F.lit("delete").alias("action"), none.alias("right_id"), "left_id")).unionByName(
-        created.select(F.lit("create").alias("action"), "right_id", none.alias("left_id"))
+    others = every.where("left_id is null or right_id is null").select(
+        F.when(F.col("right_id").isNull(), "delete").otherwise("create").alias("action"), F.coalesce("right_id", none).alias("right_id"), "left_id"
     )
+    return updates.unionByName(others)
 
 
 def zip_pairs(left: DataFrame, right: DataFrame, by: str, left_order: Sequence[Column], right_order: Sequence[Column]) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars as s
-from shelfmark.operators import audit, derive, normalize, related, tags
+from shelfmark.operators import audit, cards, derive, normalize, related, tags
+from shelfmark.plans import record_sql
 from shelfmark.plans.matching import CATEGORY
 from shelfmark.session import scratch_folder
 from shelfmark.sources.tables import table
@@ -39,22 +40,23 @@ def section_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history_top15(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "catalogue").where("unified.id is not null")
-    r = normalize.canonical_record(c.dropDuplicates(["page", "pos"])).select("unified_id", F.posexplode("metrics.counts_by_year").alias("rank", "y"))
+    r = records(spark, d).select("unified_id", F.posexplode("metrics.counts_by_year").alias("rank", "y"))
     return r.select("unified_id", F.col("rank").cast("bigint").alias("rank"), "y.year", "y.works_count", "y.cited_by_count")
 
 
 def section_open_access(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).select("unified_id", *(f"open_access.{c}" for c in ("is_oa", "is_in_doaj", "has_apc", "diamond_oa", "boai", "publication_time_weeks")))
+    return records(spark, d).select("unified_id", *(f"open_access.{c}" for c in ("is_oa", "is_in_doaj", "has_apc", "diamond_oa", "boai", "publication_time_weeks", "cas_review", "cas_oaj", "cas_top")))
 
 
 def section_scimago(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d).select("unified_id", F.explode("scimago").alias("y"))
-    return r.select("unified_id", "y.year", "y.sjr", "y.best_quartile")
+    return r.select("unified_id", "y.*")
 
 
 def section_jcr_latest(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).where("jcr is not null").select("unified_id", F.get("jcr", F.lit(0))["year"].alias("year"), F.size("jcr").cast("bigint").alias("n_years"))
+    latest = F.get("jcr", F.lit(0))
+    fields = ("year", "impact_factor", "quartile", "rank", "category")
+    return records(spark, d).where("jcr is not null").select("unified_id", *(latest[f].alias(f) for f in fields), F.size("jcr").cast("bigint").alias("n_years"))
 
 
 def section_topics(spark: SparkSession, d: str) -> DataFrame:
@@ -84,11 +86,6 @@ def section_presence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_assignments(spark: SparkSession, d: str) -> DataFrame:
-    return tags.tag_assignments(records(spark, d)).where("tag_group in ('oa_status', 'doaj', 'ccf_rank', 'jcr_quartile', 'sjr_quartile')")
-
-
-def tag_assignments_all(spark: SparkSession, d: str) -> DataFrame:
-    """The tags of all groups; :func:`tag_assignments` has the groups of its SQL."""
     return tags.tag_assignments(records(spark, d))
 
 
@@ -97,14 +94,37 @@ def tag_group_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_memberships_missing(spark: SparkSession, d: str) -> DataFrame:
-    assigned = tags.tag_assignments(records(spark, d)).where("tag_group in ('oa_status', 'doaj')")
-    members = spark.createDataFrame([("oa_status", "oa"), ("doaj", "other")], "tag_group string, tag string")
+    """The memberships that are missing if the tags of the records with even ids are there."""
+    assigned = tags.tag_assignments(records(spark, d))
+    members = assigned.where("unified_id % 2 = 0").select("tag_group", "tag").distinct()
     return tags.ensure_memberships(members, assigned)
 
 
+def tag_lists(spark: SparkSession, d: str) -> DataFrame:
+    """All tags of each record in one text."""
+    t = tags.tag_assignments(records(spark, d))
+    return t.groupBy("unified_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("tags"))
+
+
+def tags_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The tags after the records with odd ids were tagged anew; stored are those of all records under other names."""
+    t = tags.tag_assignments(records(spark, d)).select("unified_id", "tag")
+    current = t.select("unified_id", F.concat(F.lit("old-"), "tag").alias("tag")).distinct()
+    return tags.replace_tags(current, t.where("unified_id % 2 = 1"), "unified_id")
+
+
+def retired_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Tag groups without those of earlier versions: the present ones and the retired ones are stored."""
+    names = [*tags.TAG_GROUPS.values(), *tags.RETIRED_GROUPS]
+    stored = table(spark, d, "part").select(F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int")).alias("name"))
+    return tags.without_retired(stored).groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def contains_first_match(spark: SparkSession, d: str) -> DataFrame:
-    names = ("peer review", "open", "index", "review")
-    return table(spark, d, "documents").select("doc_id", s.contains_first(F.col("text"), names).alias("found")).where("found is not null")
+    """The first of the listed publishers that each name in the publisher fields contains."""
+    c = table(spark, d, "catalogue")
+    names = c.select("page", "pos", F.explode(F.array("unified.crossref_publisher", "unified.doaj_publisher", "sources.openalex.main.host_organization_name")).alias("name"))
+    return names.select("page", "pos", "name", s.contains_first(F.col("name"), tags.MAJOR_PUBLISHERS).alias("found")).where("name is not null")
 
 
 def _part_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -188,23 +208,26 @@ def weight_1_5(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("weight", derive.weight_1_to_5("p_type", "n"))
 
 
-def _monthly(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    m = o.groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    return m
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    """Series of 2 to 41 points by customer group: positive, negative, mixed and all-zero ones."""
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("series"), F.col("o_orderkey"), "o_totalprice")
+    step = o.select("series", (F.col("o_orderkey") % (F.col("series") + 2)).alias("step"), F.floor("o_totalprice").cast("bigint").alias("n"))
+    n = F.sum("n")
+    sign = F.when(F.col("series") % 4 == 0, n).when(F.col("series") % 4 == 1, -n).when(F.col("series") % 4 == 2, n % 2001 - 1000).otherwise(n * 0)
+    return step.groupBy("series", "step").agg(sign.cast("bigint").alias("n"))
 
 
 def chart_points(spark: SparkSession, d: str) -> DataFrame:
-    return derive.chart_points(_monthly(spark, d), "o_orderpriority", "month", "n")
+    return derive.chart_points(_series(spark, d), "series", "step", "n")
 
 
 def tick_thinning(spark: SparkSession, d: str) -> DataFrame:
-    return derive.thinned_ticks(_monthly(spark, d), "o_orderpriority", "month").select("o_orderpriority", "month", F.col("i").cast("bigint").alias("i"))
+    return derive.thinned_ticks(_series(spark, d), "series", "step").select("series", "step", F.col("i").cast("bigint").alias("i"))
 
 
 def axis_ticks(spark: SparkSession, d: str) -> DataFrame:
-    t = _monthly(spark, d).groupBy("o_orderpriority").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    return t.select("o_orderpriority", F.posexplode(derive.axis_ticks(F.col("lo"), F.col("hi"))).alias("i", "tick"))
+    t = _series(spark, d).groupBy("series").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return t.select("series", F.posexplode(derive.axis_ticks(F.col("lo"), F.col("hi"))).alias("i", "tick"))
 
 
 def recent_window_topn(spark: SparkSession, d: str) -> DataFrame:
@@ -253,8 +276,13 @@ def thousands_fmt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def axis_label(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", s.axis_label(F.floor("o_totalprice").cast("bigint") * 1000 + 7).alias("label"))
+    """Values of every band, whole and broken, of both signs."""
+    k, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("double")
+    value = (
+        F.when(k % 6 == 0, price * 1000 + 7).when(k % 6 == 1, price).when(k % 6 == 2, price % 1000)
+        .when(k % 6 == 3, (k % 4000) / 4.0).when(k % 6 == 4, -(price % 20000)).otherwise(price % 100000)
+    )
+    return table(spark, d, "orders").select("o_orderkey", s.axis_label(value).alias("label"))
 
 
 def eta_text(spark: SparkSession, d: str) -> DataFrame:
@@ -272,16 +300,30 @@ def url_strip(spark: SparkSession, d: str) -> DataFrame:
     return c.select("page", "pos", s.bare_url(F.col("sources.openalex.main.homepage_url")).alias("shown"))
 
 
+# Templates with unknown keys, keys in a row, separators left dangling, and what is no key.
+TEMPLATES = (
+    "{{name}}, {{nothing}}, {{segment}} - {{nothing}} - end",
+    " - {{segment}}  ;  {{name}} ,",
+    "{{nothing}}-{{segment}}\n{{name}}, ,\n",
+    "{{ name }} {{{segment}}} {{name}}{{name}}",
+)
+
+
 def template_fill(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    text = s.fill_template(F.lit("{{nation}}, {{nothing}} in {{region}} - {{nothing}}"), {"nation": F.col("n_name"), "region": F.col("r_name")})
-    return n.select("n_nationkey", text.alias("text"))
+    """Templates over customers; some values are null and some look like keys."""
+    k = F.col("c_custkey")
+    template = F.element_at(F.array(*map(F.lit, TEMPLATES)), (k % 4 + 1).cast("int"))
+    values = {
+        "name": F.when(k % 3 != 0, F.col("c_name")),
+        "segment": F.when(k % 5 == 0, F.lit("{{name}}")).otherwise(F.col("c_mktsegment")),
+    }
+    return table(spark, d, "customer").select("c_custkey", s.fill_template(template, values).alias("text"))
 
 
 def digest_features(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     f = s.digest_features(F.col("p_name"), 12, 40)
-    return p.select("p_partkey", F.sha1("p_name").alias("sha1"), F.md5("p_name").alias("md5"), f["palette"].alias("palette"), f["icon"].alias("icon"))
+    return p.select("p_partkey", F.sha1("p_name").alias("sha1"), F.md5("p_name").alias("md5"), f["palette"].alias("palette"), f["icon"].alias("icon"), f["grid"].alias("grid"))
 
 
 def cover_changed(spark: SparkSession, d: str) -> DataFrame:
@@ -311,12 +353,15 @@ def record_narrative(spark: SparkSession, d: str) -> DataFrame:
 
 
 def record_flags(spark: SparkSession, d: str) -> DataFrame:
-    return derive.status_flags(records(spark, d)).groupBy("flag", "value").agg(F.count(F.lit(1)).alias("n"))
+    return derive.status_flags(records(spark, d))
 
 
 def record_charts(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "catalogue").where("unified.id is not null").dropDuplicates(["page", "pos"])
-    return derive.chart_series(normalize.canonical_record(c)).groupBy("chart").agg(F.count(F.lit(1)).alias("n_points"))
+    return derive.chart_series(records(spark, d))
+
+
+def record_chart_table(spark: SparkSession, d: str) -> DataFrame:
+    return derive.chart_table(records(spark, d))
 
 
 def record_topic_cloud(spark: SparkSession, d: str) -> DataFrame:
@@ -324,16 +369,11 @@ def record_topic_cloud(spark: SparkSession, d: str) -> DataFrame:
 
 
 def record_warnings(spark: SparkSession, d: str) -> DataFrame:
-    return derive.warning_timeline(records(spark, d)).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    return derive.warning_timeline(records(spark, d))
 
 
 def leaf_audit(spark: SparkSession, d: str) -> DataFrame:
-    used = ("page", "pos", "fetched_at")
-    return audit.filled_leaves(table(spark, d, "catalogue"), used).where("path in ('unified.id', 'unified.canonical_name', 'issn_details', 'sources.openalex.topics', 'unified.doaj_has_apc')")
-
-
-def leaf_audit_all(spark: SparkSession, d: str) -> DataFrame:
-    """All leaves; :func:`leaf_audit` has the paths of its SQL."""
+    """How many rows fill each leaf of the catalogue."""
     return audit.filled_leaves(table(spark, d, "catalogue"), ("page", "pos", "fetched_at"))
 
 
@@ -350,8 +390,71 @@ def tag_highlights(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("unified_id", F.array_join(tags.highlighted(F.col("names")), "|").alias("shown")).where("shown <> ''")
 
 
+LD_FIELDS = (
+    "name", "url", "issn", "publisher.name", "image", "keywords", "countryOfOrigin.name", "dateCreated", "dateModified",
+    "description", "alternateName", "startDate", "isAccessibleForFree", "award",
+)
+
+
 def jsonld(spark: SparkSession, d: str) -> DataFrame:
-    return derive.json_ld(records(spark, d))
+    """The structured data of each record, field by field, as its JSON gives them back."""
+    described = F.when(F.col("unified_id") % 2 == 0, F.concat(F.lit("About "), F.col("identity.title")))
+    ld = derive.json_ld(records(spark, d), url=F.concat(F.lit("https://journals.example/t/"), F.col("unified_id")), description=described)
+    names = F.from_json(F.get_json_object("json_ld", "$.about"), "array<struct<name: string, `@type`: string>>")
+    about = F.array_join(F.transform(names, lambda x: F.concat(x["@type"], F.lit(":"), x["name"])), "|")
+    return ld.select("unified_id", *(F.get_json_object("json_ld", f"$.{f}").alias(f.split(".")[0]) for f in LD_FIELDS), about.alias("about"))
+
+
+def record_json(spark: SparkSession, d: str) -> DataFrame:
+    """The stored form of each record, read back."""
+    j = derive.record_json(records(spark, d))
+    get = lambda p: F.get_json_object("record", f"$.{p}")
+    return j.select(
+        "unified_id", get("identity.title").alias("title"), get("publication.publisher_name").alias("publisher"),
+        get("metrics.h_index").try_cast("bigint").alias("h_index"), get("jcr[0].impact_factor").alias("impact_factor"),
+        get("subjects_topics.topics[0].name").alias("topic"), F.contains("record", F.lit('"scirev":')).alias("keeps_nulls"),
+    )
+
+
+def prepared_records(spark: SparkSession, d: str) -> DataFrame:
+    return derive.prepared_records(records(spark, d)).drop("record")
+
+
+def record_cards(spark: SparkSession, d: str) -> DataFrame:
+    return cards.info_cards(records(spark, d))
+
+
+def record_metric_cards(spark: SparkSession, d: str) -> DataFrame:
+    return cards.metric_cards(records(spark, d))
+
+
+def record_hero(spark: SparkSession, d: str) -> DataFrame:
+    return cards.hero(records(spark, d)).drop("initials")
+
+
+def record_indexing(spark: SparkSession, d: str) -> DataFrame:
+    return cards.indexing_panel(records(spark, d))
+
+
+def record_stars(spark: SparkSession, d: str) -> DataFrame:
+    """How full the stars and the bar of each rated record are."""
+    r = records(spark, d).select("unified_id", F.col("scirev.overall_rating").cast("double").alias("rating")).where("rating is not null")
+    return r.select("unified_id", F.array_join(cards.stars(F.col("rating")), "/").alias("stars"), cards.bar_width(F.col("rating") * 20).alias("width"))
+
+
+def topic_donut(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of each record's topics by their counts."""
+    share = lambda t: F.struct(t["name"].alias("name"), F.coalesce(t["count"], F.lit(0)).cast("double").alias("value"))
+    r = records(spark, d).select("unified_id", F.struct(F.transform("subjects_topics.topics", share).alias("topic_shares")).alias("subjects_topics"))
+    return derive.topic_donut(r)
+
+
+def coverage_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of each record's first topics as whole per cents, the positive ones."""
+    names = ("abstracts", "references", "orcids", "funders", "licenses", "affiliations")
+    scores = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.get("subjects_topics.topics", F.lit(i))["score"] for i in range(len(names)))))
+    r = records(spark, d).select("unified_id", F.struct(normalize.whole_percents(scores).alias("coverage")).alias("crossref_quality"))
+    return derive.coverage_bars(r)
 
 
 # --- ingest ---------------------------------------------------------------------------
@@ -400,28 +503,14 @@ CAT = "catalogue WHERE unified.id IS NOT NULL"
 FILL_BLANK = r"'^[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{3000}\x{FEFF}]*$'"
 
 
-def _quartile_sql(source: str, prefix: str, group: str) -> str:
-    main_year = "sources.jcr.main.year" if source == "jcr" else "NULL"
-    return (
-        f"SELECT unified_id, '{group}' AS tag_group, '{prefix}:' || lower(q) AS tag FROM (SELECT page, pos, unified.id AS unified_id,"
-        f" list_sort(list_transform(list_filter(sources.{source}.all_years, lambda y: y.year IS NOT NULL), lambda y, i: {{'y': -y.year, 'i': i, 'q': y.quartile}}))[1].q AS q,"
-        f" {main_year} AS my FROM {CAT}) WHERE upper(q) IN ('Q1', 'Q2', 'Q3', 'Q4')"
-    )
-
-
-def _tags_sql() -> str:
-    oa = "CASE WHEN coalesce(sources.scimago.main.open_access_diamond, false) THEN 'diamond-oa' WHEN o THEN 'oa' WHEN NOT o THEN '非oa' END"
-    rows = f"(SELECT *, CASE WHEN unified.openalex_is_oa THEN true ELSE sources.openalex.main.is_oa END AS o FROM {CAT})"
-    return (
-        f"SELECT unified.id AS unified_id, 'oa_status' AS tag_group, {oa} AS tag FROM {rows} WHERE {oa} IS NOT NULL"
-        f" UNION ALL SELECT unified.id, 'doaj', 'doaj收录' FROM {CAT} AND unified.doaj_is_in_doaj"
-        " UNION ALL SELECT unified.id, 'ccf_rank', 'ccf:' || lower(regexp_replace(sources.ccf.main.rank, '\\s+', '', 'g'))"
-        f" FROM {CAT} AND upper(regexp_replace(sources.ccf.main.rank, '\\s+', '', 'g')) IN ('A', 'B', 'C')"
-        f" UNION ALL {_quartile_sql('jcr', 'jcr', 'jcr_quartile')} UNION ALL {_quartile_sql('scimago', 'sjr', 'sjr_quartile')}"
-    )
-
-
-MONTHLY = "SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1, 2"
+SERIES = (
+    "(SELECT series, step, (CASE series % 4 WHEN 0 THEN n WHEN 1 THEN -n WHEN 2 THEN n % 2001 - 1000 ELSE 0 END)::BIGINT AS n FROM"
+    " (SELECT o_custkey % 40 AS series, o_orderkey % (o_custkey % 40 + 2) AS step, sum(floor(o_totalprice)::BIGINT)::BIGINT AS n FROM orders GROUP BY 1, 2))"
+)
+RANGED = (
+    f"(SELECT *, CASE WHEN hi0 = lo THEN lo + 1 ELSE hi0 END AS hi FROM (SELECT *, least(min(n) OVER (PARTITION BY series), 0) AS lo,"
+    f" greatest(max(n) OVER (PARTITION BY series), 0) AS hi0 FROM {SERIES}))"
+)
 TYPE_BRAND = "SELECT p_type, p_brand, sum(p_size)::BIGINT AS total_size, count(*) AS n FROM part GROUP BY 1, 2"
 FEATURES = (
     "(SELECT DISTINCT p_partkey AS id, 't:size' || p_size AS f, 3 AS pts FROM part UNION ALL SELECT p_partkey, 't:name ' || p_name, 3 FROM part"
@@ -429,21 +518,37 @@ FEATURES = (
 )
 
 
+AXIS = (
+    "CASE WHEN abs(v) >= 1000000 THEN printf('%.1f', round(v / 1000000.0::DOUBLE, 1)) || 'M' WHEN abs(v) >= 10000 THEN round(v / 1000.0::DOUBLE)::BIGINT || 'K'"
+    " WHEN abs(v) >= 1000 THEN printf('%.1f', round(v / 1000.0::DOUBLE, 1)) || 'K' WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE printf('%.1f', v) END"
+)
+AXIS_VALUES = (
+    "CASE o_orderkey % 6 WHEN 0 THEN p * 1000 + 7 WHEN 1 THEN p WHEN 2 THEN p % 1000 WHEN 3 THEN (o_orderkey % 4000) / 4.0::DOUBLE"
+    " WHEN 4 THEN -(p % 20000) ELSE p % 100000 END"
+)
+# Unknown keys go first, and the segments come last, as they may look like keys.
+FILLED = (
+    "replace(replace(replace(t, '{{nothing}}', ''), '{{name}}', CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE '' END), '{{segment}}', CASE WHEN c_custkey % 5 = 0 THEN '{{name}}' ELSE c_mktsegment END)"
+)
+_TEMPLATE_LIST = ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in TEMPLATES)
+TEMPLATE_SQL = (
+    f"SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace({FILLED}, ',\\s*,', ',', 'g'), '\\s*-\\s*-', ' -', 'g'),"
+    f" '(?m)^[,\\s-]+|[,\\s-]+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT c_custkey, c_name, c_mktsegment, [{_TEMPLATE_LIST}][c_custkey % 4 + 1] AS t FROM customer)"
+)
+GRID = (
+    "array_to_string([" + ", ".join("||".join(f"((b >> {3 * r + min(c, 4 - c)}) & 1)::VARCHAR" for c in range(5)) for r in range(5)) + "], '/')"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     dec = "try_cast(nullif(regexp_extract(replace(t, ',', '.'), '^\\s*([+-]?\\d+(\\.\\d+)?([eE][+-]?\\d+)?)', 1), '') AS DOUBLE)"
-    return {
+    return record_sql.oracle_sql() | {
         "section_identity": f"SELECT unified.id AS unified_id, unified.canonical_name AS title, coalesce(sources.wikidata.main.iso4_abbreviation, sources.openalex.alternate_titles[1].title) AS abbreviation, unified.issn_l AS issn_l, coalesce(unified.openalex_type, sources.openalex.main.type) AS openalex_type, coalesce(sources.openalex.main.homepage_url, sources.wikidata.websites[1].url) AS homepage_url, coalesce(array_to_string(list_distinct_first[1:5], '|'), '') AS alternates FROM (SELECT *, list_transform(list_filter(list_transform(coalesce(sources.openalex.alternate_titles, []), lambda x, i: {{'i': i, 't': x.title}}), lambda e: e.t IS NOT NULL AND list_position(list_transform(sources.openalex.alternate_titles, lambda z: z.title), e.t) = e.i), lambda e: e.t) AS list_distinct_first FROM {CAT})",
         "section_publication": f"SELECT unified.id AS unified_id, coalesce(unified.crossref_publisher, unified.doaj_publisher, sources.openalex.main.host_organization_name) AS publisher_name, sources.openalex.main.host_organization AS publisher_id, coalesce(unified.openalex_country, unified.doaj_country, sources.openalex.main.country_code) AS country_code, coalesce(unified.wikidata_country, unified.scimago_country, sources.wikidata.main.country_label) AS country_name, sources.openalex.main.first_publication_year AS first_publication_year, sources.openalex.main.last_publication_year AS last_publication_year FROM {CAT}",
         "section_metrics": f"SELECT unified.id AS unified_id, coalesce(unified.openalex_works_count, sources.openalex.main.works_count) AS works_count, coalesce(unified.openalex_cited_by_count, sources.openalex.main.cited_by_count) AS cited_by_count, unified.openalex_h_index::BIGINT AS h_index, unified.openalex_i10_index::BIGINT AS i10_index FROM {CAT}",
-        "history_top15": f"SELECT unified_id, rn - 1 AS rank, year::BIGINT AS year, works_count, cited_by_count FROM (SELECT unified_id, y.year AS year, y.works_count AS works_count, coalesce(y.cited_by_count, 0) AS cited_by_count, row_number() OVER (PARTITION BY page, pos ORDER BY y.year DESC, i) AS rn FROM (SELECT page, pos, unified.id AS unified_id, unnest(sources.openalex.counts_by_year) AS y, generate_subscripts(sources.openalex.counts_by_year, 1) AS i FROM {CAT}) WHERE y.year IS NOT NULL AND y.works_count IS NOT NULL) WHERE rn <= 15",
-        "section_open_access": f"SELECT unified.id AS unified_id, CASE WHEN unified.openalex_is_oa THEN true ELSE sources.openalex.main.is_oa END AS is_oa, CASE WHEN unified.doaj_is_in_doaj THEN true END AS is_in_doaj, CASE WHEN unified.doaj_has_apc THEN true ELSE sources.doaj.main.apc_has_apc END AS has_apc, sources.scimago.main.open_access_diamond AS diamond_oa, sources.doaj.main.boai AS boai, sources.doaj.main.publication_time_weeks::BIGINT AS publication_time_weeks FROM {CAT}",
-        "section_scimago": f"SELECT unified_id, y.year::BIGINT AS year, CASE WHEN y.value IS NOT NULL THEN coalesce({dec.replace('t,', 'y.value,')}, 0.0) END AS sjr, y.quartile AS best_quartile FROM (SELECT unified.id AS unified_id, unnest(sources.scimago.all_years) AS y FROM {CAT}) WHERE y.year IS NOT NULL",
-        "section_jcr_latest": f"SELECT unified_id, CASE WHEN len(ay) > 0 THEN list_max(list_transform(ay, lambda y: y.year))::BIGINT ELSE my::BIGINT END AS year, CASE WHEN len(ay) > 0 THEN len(list_filter(ay, lambda y: y.year IS NOT NULL)) WHEN my IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS n_years FROM (SELECT unified.id AS unified_id, list_filter(coalesce(sources.jcr.all_years, []), lambda y: y IS NOT NULL) AS ay, sources.jcr.main.year AS my, sources.jcr.main AS m FROM {CAT}) WHERE len(ay) > 0 OR m IS NOT NULL",
         "section_topics": f"SELECT unified_id, rn - 1 AS pos, name, count, field FROM (SELECT unified_id, t.display_name AS name, t.count AS count, t.field_display_name AS field, row_number() OVER (PARTITION BY page, pos, k ORDER BY i) AS rn FROM (SELECT page, pos, row_number() OVER () AS k, unified.id AS unified_id, unnest(sources.openalex.topics) AS t, generate_subscripts(sources.openalex.topics, 1) AS i FROM (SELECT * FROM {CAT})) WHERE t.display_name IS NOT NULL) WHERE rn <= 8",
         "section_keywords": f"SELECT unified_id, word FROM (SELECT unified.id AS unified_id, unnest(sources.doaj.keywords).keyword AS word FROM {CAT} UNION ALL SELECT unified_id, coalesce(x.term, x.code) FROM (SELECT unified.id AS unified_id, unnest(sources.doaj.subjects) AS x FROM {CAT})) WHERE word IS NOT NULL",
         "section_crossref": f"SELECT unified.id AS unified_id, sources.crossref.main.counts_total_dois AS total_dois, sources.crossref.main.counts_current_dois AS current_dois, least(15, len(list_filter(coalesce(sources.crossref.dois_by_year, []), lambda x: x.year IS NOT NULL AND x.count IS NOT NULL)))::BIGINT AS n_years FROM {CAT} AND sources.crossref IS NOT NULL",
-        "tag_assignments": _tags_sql(),
-        "contains_first_match": "SELECT doc_id, CASE WHEN contains(lower(text), 'peer review') THEN 'peer review' WHEN contains(lower(text), 'open') THEN 'open' WHEN contains(lower(text), 'index') THEN 'index' WHEN contains(lower(text), 'review') THEN 'review' END AS found FROM documents WHERE contains(lower(text), 'open') OR contains(lower(text), 'index') OR contains(lower(text), 'review')",
         "related_topk_one": "WITH o AS (SELECT DISTINCT t FROM (SELECT 'size' || p_size AS t FROM part WHERE p_partkey = 1 UNION ALL SELECT 'name ' || p_name FROM part WHERE p_partkey = 1)), s AS (SELECT p.p_partkey AS other_id, 3 * ((('size' || p.p_size) IN (SELECT t FROM o))::INT + (('name ' || p.p_name) IN (SELECT t FROM o))::INT) + 2 * (p.p_brand = m.p_brand)::INT + (p.p_type = m.p_type)::INT AS score, p.p_retailprice AS recency FROM part p, (SELECT * FROM part WHERE p_partkey = 1) m WHERE p.p_partkey <> 1) SELECT other_id, score::BIGINT AS score FROM s WHERE score > 0 ORDER BY score DESC, recency DESC, other_id LIMIT 5",
         "related_topk_all": f"WITH f AS {FEATURES}, s AS (SELECT a.id, b.id AS other_id, sum(a.pts)::BIGINT AS score FROM f a JOIN f b ON a.f = b.f AND a.id <> b.id GROUP BY 1, 2) SELECT id, other_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.id ORDER BY score DESC, p_retailprice DESC, other_id) AS rn FROM s JOIN part ON p_partkey = other_id) WHERE rn <= 5",
         "related_in_order": "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (5, 3, 9, 1)",
@@ -456,9 +561,12 @@ def oracle_sql() -> dict[str, str]:
         "share_of_total": "SELECT p_type, total_size, round(total_size::DOUBLE / sum(total_size) OVER () * 100, 1) AS share FROM (SELECT p_type, sum(p_size)::BIGINT AS total_size FROM part GROUP BY 1)",
         "running_offset": f"SELECT p_type, p_brand, total_size, coalesce(sum(total_size) OVER (PARTITION BY p_type ORDER BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM ({TYPE_BRAND})",
         "weight_1_5": f"SELECT p_type, p_brand, n, least(greatest(ceil(n::DOUBLE / max(n) OVER (PARTITION BY p_type) * 5), 1), 5)::INTEGER AS weight FROM ({TYPE_BRAND})",
-        "chart_points": f"SELECT o_orderpriority, month, n, round(percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY month) * 100, 4) AS x, round((hi - n) / CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (hi - lo)::DOUBLE END * 100, 4) AS y FROM (SELECT *, least(min(n) OVER (PARTITION BY o_orderpriority), 0) AS lo, max(n) OVER (PARTITION BY o_orderpriority) AS hi FROM ({MONTHLY}))",
-        "tick_thinning": f"SELECT o_orderpriority, month, i FROM (SELECT *, CASE WHEN c <= 8 THEN 1 WHEN c <= 15 THEN 2 WHEN c <= 25 THEN 3 ELSE ceil(c / 7.0)::BIGINT END AS step FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS c FROM ({MONTHLY}))) WHERE i = c - 1 OR (i % step = 0 AND (c - 1 - i) * 2 >= step)",
-        "axis_ticks": f"SELECT o_orderpriority, i::INTEGER AS i, lo + i / 4.0::DOUBLE * (hi - lo) AS tick FROM (SELECT o_orderpriority, min(n) AS lo, max(n) AS hi, unnest(range(0, 5)) AS i FROM ({MONTHLY}) GROUP BY 1)",
+        "axis_label": f"SELECT o_orderkey, {AXIS} AS label FROM (SELECT o_orderkey, ({AXIS_VALUES})::DOUBLE AS v FROM (SELECT o_orderkey, floor(o_totalprice)::DOUBLE AS p FROM orders))",
+        "chart_points": f"SELECT series, step, n, round(percent_rank() OVER (PARTITION BY series ORDER BY step) * 100, 4) AS x, round((1.0::DOUBLE - (n - lo)::DOUBLE / (hi - lo)::DOUBLE) * 100, 4) AS y FROM {RANGED}",
+        "tick_thinning": f"SELECT series, step, i FROM (SELECT *, max(CASE WHEN i % st = 0 AND i < c - 1 THEN i END) OVER (PARTITION BY series) AS before FROM (SELECT *, CASE WHEN c <= 8 THEN 1 WHEN c <= 15 THEN 2 WHEN c <= 25 THEN 3 ELSE ceil(c / 7.0)::BIGINT END AS st FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY step) - 1 AS i, count(*) OVER (PARTITION BY series) AS c FROM {SERIES}))) WHERE i = c - 1 OR (i % st = 0 AND NOT (i = before AND c - 1 - i < st))",
+        "axis_ticks": f"SELECT series, i::INTEGER AS i, lo + i / 4.0::DOUBLE * (hi - lo) AS tick FROM (SELECT series, any_value(lo) AS lo, any_value(hi) AS hi, unnest(range(0, 5)) AS i FROM {RANGED} GROUP BY 1)",
+        "template_fill": TEMPLATE_SQL,
+        "digest_features": f"SELECT p_partkey, sha1(p_name) AS sha1, md5(p_name) AS md5, ('0x' || h[1:2])::BIGINT % 12 AS palette, (('0x' || h[3:4])::BIGINT * 256 + ('0x' || h[5:6])::BIGINT) % 40 AS icon, {GRID} AS grid FROM (SELECT *, ('0x' || h[7:10])::BIGINT AS b FROM (SELECT *, sha256(p_name) AS h FROM part))",
         "recent_window_topn": f"SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 3 DAY ORDER BY ts DESC, event_id LIMIT 1000",
         "sitemap_page": f"SELECT topic_id, updated_at FROM topics WHERE category_id = {CATEGORY} AND visible AND deleted_at IS NULL ORDER BY topic_id LIMIT 100 OFFSET 100",
         "sitemap_recent": "SELECT topic_id, bumped_at FROM topics WHERE visible AND deleted_at IS NULL AND bumped_at > TIMESTAMP '2025-06-01 00:00:00' ORDER BY bumped_at DESC, topic_id LIMIT 500",
@@ -466,16 +574,14 @@ def oracle_sql() -> dict[str, str]:
         "scalar_numbers": f"SELECT c_custkey, coalesce({dec}, 0.0) AS amount, coalesce(try_cast(nullif(regexp_extract(t, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT), 0) AS whole, label FROM (SELECT c_custkey, replace(printf('%.2f', c_acctbal), '.', ',') || ' EUR' AS t, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, c_name) AS label FROM customer)",
         "bool_first_truthy": "SELECT unified.openalex_is_oa AS a, sources.openalex.main.is_oa AS b, CASE WHEN unified.openalex_is_oa THEN true ELSE sources.openalex.main.is_oa END AS result, count(*) AS n FROM catalogue GROUP BY 1, 2, 3",
         "thousands_fmt": "SELECT page, pos, format('{:,}', unified.openalex_cited_by_count) AS text FROM catalogue WHERE unified.openalex_cited_by_count IS NOT NULL",
-        "axis_label": "SELECT o_orderkey, CASE WHEN abs(v) >= 1000000 THEN printf('%.1f', v / 1000000.0::DOUBLE) || 'M' WHEN abs(v) >= 1000 THEN printf('%.1f', v / 1000.0::DOUBLE) || 'K' ELSE v::VARCHAR END AS label FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT * 1000 + 7 AS v FROM orders)",
         "eta_text": "SELECT event_id, CASE WHEN s <= 0 THEN '' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN (s % 60) || 's' ELSE '' END ELSE (s // 3600) || 'h' || CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || 'm' ELSE '' END END AS eta FROM (SELECT event_id, event_id % 9000 AS s FROM events)",
         "initials": "SELECT c_custkey, array_to_string(list_transform(list_filter(string_split_regex(t, '[\\s\\-/]+'), lambda w: regexp_matches(w, '^[A-Za-z]') AND lower(w) NOT IN ('of', 'the', 'and', 'in', 'for', 'on', 'a', 'an', 'to', 'with'))[1:6], lambda w: upper(w[1])), '') AS initials FROM (SELECT c_custkey, c_mktsegment || ' of the ' || replace(c_name, '#', '-x') AS t FROM customer)",
         "url_strip": "SELECT page, pos, regexp_replace(regexp_replace(sources.openalex.main.homepage_url, '^https?://', ''), '/$', '') AS shown FROM catalogue WHERE sources.openalex.main.homepage_url IS NOT NULL",
-        "template_fill": "SELECT n_nationkey, n_name || ', in ' || r_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey",
-        "digest_features": "SELECT p_partkey, sha1(p_name) AS sha1, md5(p_name) AS md5, ('0x' || h[1:2])::BIGINT % 12 AS palette, (('0x' || h[3:4])::BIGINT * 256 + ('0x' || h[5:6])::BIGINT) % 40 AS icon FROM (SELECT *, sha256(p_name) AS h FROM part)",
         "cover_changed": "WITH v AS (SELECT topic_id, max(CASE WHEN name = 'cover_url' THEN value END) AS u, max(CASE WHEN name = 'cover_url_hash' THEN value END) AS h FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, name ORDER BY id DESC) AS rn FROM topic_custom_fields) WHERE rn = 1 GROUP BY 1) SELECT topic_id, sha1(f) AS new_hash FROM (SELECT topic_id, h, CASE WHEN starts_with(u, 'http') THEN u ELSE 'https://covers.example' || u END AS f FROM v WHERE u IS NOT NULL) WHERE sha1(f) IS DISTINCT FROM h",
         "excerpt": "SELECT doc_id, CASE WHEN length(t) > 45 THEN left(t, 45) || '…' ELSE t END AS short FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS t FROM documents WHERE text IS NOT NULL)",
         "record_topic_cloud": f"SELECT unified_id, t.display_name AS topic, least(greatest(ceil(coalesce(t.count, 0)::DOUBLE / CASE WHEN top > 0 THEN top ELSE 1 END * 5), 1), 5)::INTEGER AS weight FROM (SELECT unified_id, unnest(ts) AS t, list_max(list_transform(ts, lambda x: coalesce(x.count, 0))) AS top FROM (SELECT unified.id AS unified_id, list_filter(sources.openalex.topics, lambda x: x.display_name IS NOT NULL)[1:8] AS ts FROM {CAT}))",
-        "leaf_audit": "SELECT 'unified.id' AS path, count(unified.id) AS n_rows FROM catalogue UNION ALL SELECT 'unified.canonical_name', count(*) FILTER (WHERE unified.canonical_name NOT IN ('', '—')) FROM catalogue UNION ALL SELECT 'issn_details', count(*) FILTER (WHERE len(issn_details) > 0) FROM catalogue UNION ALL SELECT 'sources.openalex.topics', count(*) FILTER (WHERE len(sources.openalex.topics) > 0) FROM catalogue UNION ALL SELECT 'unified.doaj_has_apc', count(unified.doaj_has_apc) FROM catalogue",
+        "topic_donut": f"WITH {record_sql.RECORDS}, t AS (SELECT uid, topics, list_sum(list_transform(topics, lambda x: coalesce(x.count, 0)::DOUBLE)) AS total FROM r WHERE len(topics) >= 2), u AS (SELECT *, unnest(topics) AS x, generate_subscripts(topics, 1) AS i FROM t) SELECT uid AS unified_id, x.display_name AS topic, CASE WHEN total > 0 THEN round(coalesce(x.count, 0)::DOUBLE / total * 100, 1) ELSE 0.0 END AS percent, CASE WHEN total > 0 THEN round(coalesce(list_sum(list_transform(topics[1:i - 1], lambda y: coalesce(y.count, 0)::DOUBLE)), 0.0::DOUBLE) / total * 100, 1) ELSE 0.0 END AS \"offset\" FROM u",
+        "coverage_bars": f"WITH {record_sql.RECORDS}, u AS (SELECT uid, unnest(topics[1:6]) AS x, generate_subscripts(topics[1:6], 1) AS i FROM r) SELECT uid AS unified_id, ['abstracts', 'references', 'orcids', 'funders', 'licenses', 'affiliations'][i] AS part, round(x.score * 100)::INTEGER AS percent FROM u WHERE x.score > 0",
         "progress_text": "SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN done / 997.0::DOUBLE * 20 WHEN 1 THEN 20 + done / 997.0::DOUBLE * 70 ELSE 90 + done / 997.0::DOUBLE * 10 END, 1) AS percent, CASE WHEN s IS NULL OR s <= 0 THEN '' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN (s % 60) || 's' ELSE '' END ELSE (s // 3600) || 'h' || CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || 'm' ELSE '' END END AS eta FROM (SELECT event_id, event_id % 997 AS done, CASE WHEN event_id % 997 > 0 THEN ceil((997 - event_id % 997) * 60 / (event_id % 997)::DOUBLE)::BIGINT END AS s FROM events)",
         "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
         "stream_upsert": "SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",
@@ -485,13 +591,13 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     named = (
         section_identity, section_publication, section_metrics, history_top15, section_open_access, section_scimago,
-        section_jcr_latest, section_topics, section_keywords, section_crossref, section_presence, tag_assignments, tag_assignments_all,
-        tag_group_counts, tag_memberships_missing, contains_first_match, related_topk_one, related_topk_all, related_in_order,
+        section_jcr_latest, section_topics, section_keywords, section_crossref, section_presence, tag_assignments,
+        tag_group_counts, tag_memberships_missing, tag_lists, tags_replaced, retired_groups, contains_first_match, related_topk_one, related_topk_all, related_in_order,
         latest_per_entity, unpivot_slots, find_first, distinct_keep_first, json_extract, topic_json, share_of_total,
         running_offset, weight_1_5, chart_points, tick_thinning, axis_ticks, recent_window_topn, sitemap_page, sitemap_recent,
         latest_bump, scalar_numbers, bool_first_truthy, thousands_fmt, axis_label, eta_text, initials, url_strip,
         template_fill, digest_features, cover_changed, excerpt, record_excerpt, record_text, record_narrative, record_flags,
-        record_charts, record_topic_cloud, record_warnings, leaf_audit, leaf_audit_all, progress_text, tag_highlights, jsonld, stream_dedupe, stream_upsert,
+        record_charts, record_chart_table, record_topic_cloud, record_warnings, record_cards, record_metric_cards, record_hero, record_indexing, record_stars, topic_donut, coverage_bars, leaf_audit, progress_text, tag_highlights, jsonld, record_json, prepared_records, stream_dedupe, stream_upsert,
     )
     return {f.__name__: f for f in named}
 

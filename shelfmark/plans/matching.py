@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scalars import ENTITIES, SPACES, is_blank, normalize_title
+from shelfmark.functions.scalars import SPACES, is_blank, normalize_title
 from shelfmark.operators import apply, attributes, match, plan
 from shelfmark.session import stored
 from shelfmark.sources.tables import table
@@ -41,8 +41,8 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def matched(spark: SparkSession, d: str) -> match.Matched:
-    return match.two_phase(*sides(spark, d))
+def matched(spark: SparkSession, d: str, keep: bool = False) -> match.Matched:
+    return match.two_phase(*sides(spark, d), keep)
 
 
 def groups(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +73,7 @@ def dedupe_first_wins(spark: SparkSession, d: str) -> DataFrame:
 def dedupe_lineitem(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem")
     order = [F.col(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")]
-    keyed = rows.withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return match.first_wins(keyed, "key", order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return match.first_wins(rows, ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def title_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +101,7 @@ def semi_in_scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def action_plan(spark: SparkSession, d: str) -> DataFrame:
-    return plan.action_plan(matched(spark, d))
+    return plan.action_plan(matched(spark, d, keep=True))
 
 
 def plan_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -175,12 +174,15 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_targets(spark: SparkSession, d: str) -> DataFrame:
-    """For every catalogue row of the first page where it would be written."""
-    left, right = sides(spark, d)
+    """For every catalogue row where it would be written, by the plan, an identifier of any topic or a title."""
+    _, right = sides(spark, d)
     existing = scope(spark, d).select(F.col("topic_id").alias("id"), F.lower("title").alias("low_title"))
-    existing = existing.join(left.select("id", "key"), "id", "left")
-    prepared = right.select(
-        F.concat_ws("-", "ord.o0", "ord.o1").alias("rid"), F.lit(None).cast("bigint").alias("planned_id"), "key", "title"
+    # Whatever a topic's title is; the value as it is stored, every one of a topic's.
+    keys = attributes.in_scope(table(spark, d, "topic_custom_fields").where("name = 'issn_l'"), scope(spark, d), "topic_id")
+    existing = existing.join(keys.select(F.col("topic_id").alias("id"), F.col("value").alias("key")), "id", "left")
+    planned = action_plan(spark, d).where("action = 'update'").select(F.col("right_id").alias("id"), F.col("left_id").alias("planned_id"))
+    prepared = right.join(planned, "id", "left").select(
+        F.concat_ws("-", "ord.o0", "ord.o1").alias("rid"), "planned_id", "key", "title"
     )
     return apply.resolve_targets(prepared, existing)
 
@@ -261,11 +263,27 @@ def blank_titles(spark: SparkSession, d: str) -> DataFrame:
 # --- SQL side -------------------------------------------------------------------------
 
 
+# Every reference by itself, and what lies between, so that nothing is decoded twice.
+_PIECES = r"&(?:lt|gt|quot|apos|amp|#[0-9]+|#[xX][0-9A-Fa-f]+);|[^&]+|&"
+_CODE = (
+    r"try_cast(CASE WHEN regexp_matches(x, '^&#[0-9]+;$') THEN x[3:-2]"
+    r" WHEN regexp_matches(x, '^&#[xX][0-9A-Fa-f]+;$') THEN '0x' || x[4:-2] END AS BIGINT)"
+)
+
+
+def unescape_sql(col: str) -> str:
+    """The decoding of character references in SQL."""
+    named = "CASE x WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN chr(34) WHEN '&apos;' THEN chr(39) WHEN '&amp;' THEN '&' ELSE x END"
+    one = f"CASE WHEN {_CODE} BETWEEN 0 AND 55295 OR {_CODE} BETWEEN 57344 AND 1114111 THEN chr({_CODE}::INTEGER) ELSE {named} END"
+    return (
+        f"CASE WHEN contains({col}, '&') THEN array_to_string(list_transform(regexp_extract_all({col}, '{_PIECES}', 0, 's'),"
+        f" lambda x: {one}), '') ELSE {col} END"
+    )
+
+
 def norm_sql(col: str) -> str:
     """The title normalization in SQL."""
-    for entity, char in ENTITIES.items():
-        col = "replace({}, '{}', '{}')".format(col, entity.replace("'", "''"), char.replace("'", "''"))
-    return f"coalesce(lower(trim(regexp_replace({col}, '{SPACES}', ' ', 'g'))), '')"
+    return rf"coalesce(lower(trim(regexp_replace({unescape_sql(col)}, '[\s\x{{00A0}}\x{{2000}}-\x{{200B}}\x{{202F}}\x{{3000}}\x{{FEFF}}]+', ' ', 'g'))), '')"
 
 
 def blank_sql(col: str) -> str:
@@ -299,12 +317,18 @@ c AS (SELECT *, CASE WHEN n = 1 AND m = 1 THEN 'exact_1to1' WHEN n = 1 AND m > 1
   WHEN n > 1 AND m = 1 THEN 'left_n_to_right_1' WHEN n > 1 AND m > 1 THEN 'left_n_to_right_m'
   WHEN m = 0 THEN 'left_only' ELSE 'right_only' END AS class FROM g)"""
 PLAN = f"""{GROUPS},
-x AS (SELECT class, unnest(range(1, greatest(n, m) + 1)) AS i, ls, rs FROM c),
-y AS (SELECT class, i, CASE WHEN i <= coalesce(len(ls), 0) THEN ls[i] END AS left_id, CASE WHEN i <= coalesce(len(rs), 0) THEN rs[i] END AS right_id FROM x),
-z AS (SELECT *, CASE WHEN left_id IS NOT NULL AND right_id IS NOT NULL THEN 'update' WHEN left_id IS NOT NULL THEN 'delete' ELSE 'create' END AS action
-  FROM y WHERE class <> 'right_only' OR i = 1),
-plan AS (SELECT 'update' AS action, right_id, max(left_id) AS left_id FROM z WHERE action = 'update' GROUP BY right_id
-  UNION ALL SELECT action, right_id, left_id FROM z WHERE action <> 'update')"""
+mp AS MATERIALIZED (SELECT lid, rid, gk FROM pk),
+lg AS MATERIALIZED (SELECT 'k:' || gk AS grp, lid AS id FROM (SELECT DISTINCT gk, lid FROM mp)
+  UNION ALL SELECT 't:' || title, id FROM l WHERE id NOT IN (SELECT lid FROM mp)),
+rg AS MATERIALIZED (SELECT 'k:' || key AS grp, id, page, pos FROM r WHERE key IN (SELECT gk FROM mp)
+  UNION ALL SELECT 't:' || title, id, page, pos FROM r WHERE id NOT IN (SELECT rid FROM mp)),
+ln AS MATERIALIZED (SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM lg),
+rn AS MATERIALIZED (SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY page, pos, id) AS i FROM rg),
+z AS MATERIALIZED (SELECT coalesce(ln.grp, rn.grp) AS grp, coalesce(ln.i, rn.i) AS i, ln.id AS left_id, rn.id AS right_id
+  FROM ln FULL JOIN rn ON ln.grp = rn.grp AND ln.i = rn.i),
+plan AS (SELECT 'update' AS action, right_id, max(left_id) AS left_id FROM z WHERE left_id IS NOT NULL AND right_id IS NOT NULL GROUP BY right_id
+  UNION ALL SELECT 'delete', NULL, left_id FROM z WHERE right_id IS NULL
+  UNION ALL SELECT 'create', right_id, NULL FROM z WHERE left_id IS NULL AND (i = 1 OR grp IN (SELECT grp FROM lg)))"""
 CLASS_VALUES = "(VALUES " + ", ".join(f"('{c}')" for c in match.CLASSES) + ") AS v(class)"
 UPSERT = """
 WITH s AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 4 <> 0),
@@ -345,7 +369,7 @@ def _sql() -> dict[str, str]:
         "eav_maps": "SELECT topic_id, count(DISTINCT name) AS n_attributes FROM topic_custom_fields GROUP BY topic_id",
         "eav_changed_only": f"WITH d AS ({LAST}), f AS (SELECT topic_id, name, value FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, name ORDER BY id) AS rn FROM topic_custom_fields) WHERE rn = 1 AND name <> 'cover_url') SELECT d.topic_id, d.name, d.value, CASE WHEN f.topic_id IS NULL THEN 'insert' ELSE 'replace' END AS change FROM d LEFT JOIN f ON d.topic_id = f.topic_id AND d.name = f.name WHERE d.topic_id IS NOT NULL AND NOT {blank_sql('d.value')} AND (f.topic_id IS NULL OR f.value IS DISTINCT FROM d.value)",
         "upsert_merge": f"{UPSERT} SELECT p_partkey, p_name, p_size, outcome FROM m",
-        "resolve_targets": f"WITH {SIDES}, e AS (SELECT s.topic_id AS id, lower(s.title) AS low_title, l.key FROM scope s LEFT JOIN l ON l.id = s.topic_id), k AS (SELECT key, min(id) AS id FROM e WHERE key IS NOT NULL GROUP BY key), t AS (SELECT low_title, min(id) AS id FROM e WHERE low_title IS NOT NULL GROUP BY low_title) SELECT r0.page || '-' || r0.pos AS rid, coalesce(k.id, t.id) AS target_id, CASE WHEN k.id IS NOT NULL THEN 'key' WHEN t.id IS NOT NULL THEN 'title' ELSE 'new' END AS found_by FROM r0 LEFT JOIN k ON k.key = r0.key LEFT JOIN t ON t.low_title = r0.title",
+        "resolve_targets": f"WITH {PLAN}, k AS (SELECT value AS key, min(topic_id) AS id FROM topic_custom_fields WHERE name = 'issn_l' AND value IS NOT NULL AND topic_id IN (SELECT topic_id FROM scope) GROUP BY 1), t AS (SELECT lower(title) AS low_title, min(topic_id) AS id FROM scope WHERE title IS NOT NULL GROUP BY 1), u AS (SELECT right_id, left_id FROM plan WHERE action = 'update') SELECT r0.page || '-' || r0.pos AS rid, coalesce(u.left_id, k.id, t.id) AS target_id, CASE WHEN u.left_id IS NOT NULL THEN 'plan' WHEN k.id IS NOT NULL THEN 'key' WHEN t.id IS NOT NULL THEN 'title' ELSE 'new' END AS found_by FROM r0 LEFT JOIN u ON u.right_id = r0.id LEFT JOIN k ON k.key = r0.key LEFT JOIN t ON t.low_title = r0.title",
         "cascade_delete": "WITH g AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P') SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders WHERE o_orderkey NOT IN (SELECT id FROM g) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM g) AND l_partkey NOT IN (SELECT id FROM g)",
         "polymorphic_delete": f"SELECT name, count(*) AS n_rows FROM topic_custom_fields WHERE NOT (coalesce(name, '') = 'cover_url' AND coalesce(topic_id, -1) IN (SELECT topic_id FROM ({SCOPE}) WHERE topic_id % 7 = 0)) GROUP BY name",
         "polymorphic_delete_scope": f"SELECT name, count(*) AS n_rows FROM topic_custom_fields WHERE NOT (coalesce(name, '') = 'cover_url' AND coalesce(topic_id, -1) IN (SELECT topic_id FROM ({SCOPE}))) GROUP BY name",

@@ -101,7 +101,46 @@ def test_excerpts_are_short(spark, data):
 def test_thinned_ticks(spark):
     rows = spark.range(30).select(F.lit("s").alias("s"), F.col("id").alias("m"))
     kept = sorted(r.i for r in derive.thinned_ticks(rows, "s", "m").collect())
-    assert kept == [0, 5, 10, 15, 20, 25, 29]
+    assert kept == [0, 5, 10, 15, 20, 29]  # 25 is less than a step of five before the last
+
+
+def test_ticks_of_every_length(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1, 60).select(F.col("id").alias("s")).select("s", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("step"))
+    kept = {}
+    for r in derive.thinned_ticks(rows, "s", "step").collect():
+        kept.setdefault(r.s, []).append(r.i)
+    for n in range(1, 60):
+        step = 1 if n <= 8 else 2 if n <= 15 else 3 if n <= 25 else -(-n // 7)
+        want = [i for i in range(n) if i % step == 0]
+        if want[-1] != n - 1:
+            want.append(n - 1)
+            if want[-1] - want[-2] < step:
+                del want[-2]
+        assert sorted(kept[n]) == want
+
+
+def test_range_of_an_axis(spark):
+    rows = spark.createDataFrame([("neg", 1, -5), ("neg", 2, -1), ("zero", 1, 0), ("zero", 2, 0), ("pos", 1, 2), ("pos", 2, 4)], "s string, t int, n int")
+    got = {(r.s, r.t): r.y for r in derive.chart_points(rows, "s", "t", "n").collect()}
+    assert got == {("neg", 1): 100.0, ("neg", 2): 20.0, ("zero", 1): 100.0, ("zero", 2): 100.0, ("pos", 1): 50.0, ("pos", 2): 0.0}
+
+
+def test_panels_of_a_record(spark):
+    from shelfmark.operators import cards
+
+    rows = spark.sql(
+        "select 1L as unified_id, named_struct('first_review_months', '2.5', 'total_handling_months', null, 'overall_rating', '3.26', 'avg_review_rounds', '2',"
+        " 'avg_review_reports', '', 'report_difficulty', null, 'review_count', '7') as scirev,"
+        " named_struct('indexed_in', array('A', 'B'), 'languages', array('en'), 'editors', cast(array() as array<string>), 'coden', 'X', 'inception', ' ', 'frequency', '—') as wikidata_meta,"
+        " named_struct('preservation_services', array('P'), 'deposit_services', cast(array() as array<string>)) as preservation"
+    )
+    long = lambda df: {(r.label, r.value) for r in df.collect()}
+    assert long(cards.peer_review(rows)) == {("first_decision", "2.5"), ("rating", "3.3/5"), ("rounds", "2"), ("reviews", "7")}
+    assert long(cards.indexing_panel(rows)) == {("indexed_in", "A, B"), ("preserved_by", "P"), ("languages", "en"), ("coden", "X")}
+    full = spark.range(1).select(*(cards.stars(F.lit(x)).alias(f"s{i}") for i, x in enumerate((3.26, None, 9.0, -1.0)))).first()
+    assert list(full) == [[100, 100, 100, 26, 0], [0] * 5, [100] * 5, [0] * 5]
 
 
 def test_donut_coverage_and_warnings(spark):
@@ -151,7 +190,7 @@ def brute_tags(r):
 def test_tags_of_all_groups_against_brute_force(spark, data):
     from shelfmark.plans import derived
 
-    got = Counter(tuple(r) for r in derived.queries()["tag_assignments_all"](spark, data).collect())
+    got = Counter(tuple(r) for r in derived.queries()["tag_assignments"](spark, data).collect())
     assert got == Counter(t for r in derived.records(spark, data).collect() for t in brute_tags(r))
     assert len({g for _, g, _ in got}) > 5
 
@@ -169,5 +208,5 @@ def test_all_leaves_against_brute_force(spark, data):
     want = Counter()
     for r in spark.read.parquet(f"{data}/catalogue.parquet").collect():
         want.update(set(filled({k: v for k, v in r.asDict(recursive=True).items() if k not in ("page", "pos", "fetched_at")})))
-    got = {r.path: r.n_rows for r in derived.queries()["leaf_audit_all"](spark, data).collect()}
+    got = {r.path: r.n_rows for r in derived.queries()["leaf_audit"](spark, data).collect()}
     assert {p: n for p, n in got.items() if n} == dict(want) and len(got) > 5
