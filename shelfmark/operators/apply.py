@@ -50,6 +50,37 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, keep_null: Sequence
     return both.select(key, *(F.when(given, new[c]).otherwise(F.col(f"__old_{c}")).alias(c) for c in values), outcome.alias("outcome"))
 
 
+def written(stored: DataFrame, actions: DataFrame, prepared: DataFrame, now: Column, close: bool = True) -> DataFrame:
+    """The stored records after a plan was carried out, with ``outcome``.
+
+    ``stored`` has id, title, closed, updated_at; ``prepared`` has right_id,
+    title, each right_id once. An update takes the new title only if it
+    differs, which ``title_changed`` tells, and always touches updated_at; a
+    prepared record without a title fails and changes nothing. Created records
+    have no id yet. ``close`` closes what is written. Deleted records go.
+    """
+    new = actions.join(prepared.select("right_id", F.col("title").alias("new_title")), "right_id", "left").where("action <> 'delete'")
+    new = new.withColumn("valid", ~is_blank(F.col("new_title")))
+    # Several right ids may update one stored record; the greatest is written last.
+    updates = (
+        new.where("action = 'update' and valid").groupBy(F.col("left_id").alias("id")).agg(F.max_by("new_title", "right_id").alias("new_title"))
+    )
+    gone = actions.where("action = 'delete'").select(F.col("left_id").alias("id"))
+    old = stored.join(gone, "id", "left_anti").join(updates, "id", "left")
+    hit = F.col("new_title").isNotNull()
+    differs = hit & ~F.col("title").eqNullSafe(F.col("new_title"))
+    shut = F.lit(True) if close else F.col("closed")
+    kept = old.select(
+        "id", F.when(differs, F.col("new_title")).otherwise(F.col("title")).alias("title"), F.when(hit, shut).otherwise(F.col("closed")).alias("closed"),
+        F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"), differs.alias("title_changed"), F.when(hit, "updated").otherwise("kept").alias("outcome"),
+    )
+    none = F.lit(None).cast(stored.schema["id"].dataType)
+    made = new.where("action = 'create' and valid").select(
+        none.alias("id"), F.col("new_title").alias("title"), F.lit(close).alias("closed"), now.alias("updated_at"), F.lit(False).alias("title_changed"), F.lit("created").alias("outcome")
+    )
+    return kept.unionByName(made)
+
+
 def existing_ids(ids: DataFrame, table: DataFrame, on: str) -> DataFrame:
     """The requested ids that exist."""
     return ids.join(table.select(on), on, "left_semi")

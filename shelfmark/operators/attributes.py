@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import is_blank
@@ -43,6 +43,13 @@ def attribute_maps(rows: DataFrame, entity: str, name: str = "name", value: str
     return one.groupBy(entity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value)))).alias("attributes"))
 
 
+def merged_maps(a: Column, b: Column) -> Column:
+    """Two maps as one; where both have a key the second one's value counts; null maps are empty."""
+    none = F.create_map().cast("map<string, string>")
+    first, second = F.coalesce(a, none), F.coalesce(b, none)
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+
+
 def changed_only(desired: DataFrame, stored: DataFrame, entity: str, name: str = "name", value: str = "value") -> DataFrame:
     """The desired attributes that differ from the stored ones: entity, name, value, change.
 

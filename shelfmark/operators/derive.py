@@ -336,3 +336,23 @@ def sitemap_page(topics: DataFrame, number: int, size: int) -> DataFrame:
 def sitemap_recent(topics: DataFrame, since: Column, most: int = 50_000) -> DataFrame:
     """The topics bumped after an instant, the latest first."""
     return topics.where(F.col("bumped_at") > since).orderBy(F.desc("bumped_at"), "topic_id").limit(most)
+
+
+def listed(topics: DataFrame, categories: DataFrame, category: str) -> DataFrame:
+    """Visible topics that are not deleted, of categories that anyone may read.
+
+    ``categories`` is a small dimension with the category and ``restricted``.
+    """
+    open_ones = categories.where("not restricted").select(category)
+    return topics.where("visible and deleted_at is null").join(open_ones, category)
+
+
+def search(topics: DataFrame, title: str, words: str, most: int = 8) -> DataFrame:
+    """The first ``most`` topics whose titles contain the words, whatever the case, the latest bumped first."""
+    hit = F.contains(F.lower(title), F.lit(words.lower()))
+    return topics.where(hit).orderBy(F.desc_nulls_last("bumped_at"), "topic_id").limit(most)
+
+
+def without_marker(rows: DataFrame, column: str, marker: str) -> DataFrame:
+    """Rows that were not yet treated: their text has no marker; null texts count as untreated."""
+    return rows.where(~F.coalesce(F.contains(F.col(column), F.lit(marker)), F.lit(False)))

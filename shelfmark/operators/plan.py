@@ -75,6 +75,32 @@ def page(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> Da
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_totals(rows: DataFrame, number: int, size: int) -> DataFrame:
+    """One row on the pages of a table: total, page, per_page, total_pages."""
+    size = min(max(size, 1), 200)
+    total = F.count(F.lit(1)).alias("total")
+    return rows.agg(total).select(
+        "total", F.lit(number).alias("page"), F.lit(size).alias("per_page"), F.ceil(F.col("total") / size).cast("bigint").alias("total_pages")
+    )
+
+
+def by_action(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that update and those that create."""
+    return actions.where("action = 'update'"), actions.where("action = 'create'")
+
+
+def sync_order(actions: DataFrame) -> DataFrame:
+    """The ids to fetch and write, updates before creates, each in the order of ids: right_id, action, place (from 1)."""
+    updates, creates = by_action(actions)
+    both = updates.select("right_id", "action", F.lit(0).alias("first")).unionByName(creates.select("right_id", "action", F.lit(1).alias("first")))
+    return numbered(both, [], [F.col("first"), F.col("right_id")], "place").select("right_id", "action", "place")
+
+
+def from_details(details: DataFrame, rows: DataFrame) -> DataFrame:
+    """The plan that follows from stored groups; what a capped report left out is not planned."""
+    return action_plan(Matched(details, rows))
+
+
 def chunks(rows: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
     """Add the number of the batch of ``size`` rows that a row falls into, from 0."""
     placed = numbered(rows, [], order, "__place")

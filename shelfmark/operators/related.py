@@ -12,10 +12,6 @@ from pyspark.sql.window import Window
 WEIGHTS = {"tags": 3, "publisher": 2, "country": 1}
 
 
-def _scores(shared: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return shared.groupBy(*keys).agg(F.sum("points").alias("score")).where("score > 0")
-
-
 def related_to_one(
     items: DataFrame, tags: DataFrame, id_value: int, k: int = 5, criteria: Sequence[str] = ("tags", "publisher"), visible: Column | None = None
 ) -> DataFrame:
@@ -49,7 +45,7 @@ def related_to_one(
     )
 
 
-MOST_FEATURES = 10  # of one item, for which all combinations are listed
+MOST_FEATURES = 10  # of a profile, for which all combinations are listed
 
 
 def related_to_all(items: DataFrame, features: DataFrame, k: int = 5) -> DataFrame:
@@ -58,12 +54,12 @@ def related_to_all(items: DataFrame, features: DataFrame, k: int = 5) -> DataFra
     ``features`` has id, feature, points: what two items share is worth the
     points. Items with equal features are collapsed to one profile first.
 
-    While no item has more than MOST_FEATURES features, every profile is
-    listed under each combination of its features, and only the ``k`` + 1 most
-    recent items under a combination are kept: whoever shares just that
-    combination and is older has ``k`` better ones before it. So a feature that
-    a third of all items have costs one row per item, not all pairs of them.
-    Tables with richer items are scored pair by pair over shared features.
+    A profile of up to MOST_FEATURES features is listed under each combination
+    of them, and only the ``k`` + 1 most recent items under a combination are
+    kept: whoever shares just that combination and is older has ``k`` better
+    ones before it. So a feature that a third of all items have costs one row
+    per item, not all pairs of them. Pairs with a richer profile are scored over
+    the features that they share; that holds for those pairs only.
     """
     profiles = features.groupBy("id").agg(
         F.array_sort(F.collect_set(F.struct("feature", "points"))).alias("features")
@@ -72,34 +68,32 @@ def related_to_all(items: DataFrame, features: DataFrame, k: int = 5) -> DataFra
     newest = (F.desc_nulls_last("recency"), "id")
     ranked = members.withColumn("m", F.row_number().over(Window.partitionBy("profile").orderBy(*newest))).where(F.col("m") <= k + 1)
     flat = profiles.groupBy("profile").agg(F.any_value("features").alias("features"))
-    most = flat.agg(F.max(F.size("features"))).first()[0] or 0
-    if most <= MOST_FEATURES:
-        listed = F.expr(
-            "transform(sequence(1, shiftleft(1, size(features)) - 1),"
-            " mask -> filter(features, (x, i) -> (shiftright(mask, i) & 1) = 1))"
-        )
-        subsets = flat.select("profile", F.explode(listed).alias("s"))
-        keyed = subsets.select(
-            "profile",
-            F.xxhash64(F.transform("s", lambda x: x["feature"])).alias("combination"),
-            F.aggregate("s", F.lit(0).cast("bigint"), lambda total, x: total + x["points"]).alias("score"),
-        )
-        under = keyed.select("combination", "profile").join(ranked.select("profile", F.col("id").alias("other_id"), "recency"), "profile")
-        first = Window.partitionBy("combination").orderBy(F.desc_nulls_last("recency"), "other_id")
-        tops = under.withColumn("t", F.row_number().over(first)).where(F.col("t") <= k + 1).select("combination", "other_id", "recency")
-        # The greatest score under which two meet is that of all they share.
-        cand = keyed.join(tops, "combination").groupBy("profile", "other_id").agg(F.max("score").alias("score"), F.any_value("recency").alias("recency"))
-        cand = cand.where("score > 0")
-    else:
-        long = flat.select("profile", F.explode("features").alias("f")).select("profile", "f.feature", "f.points")
-        a, b = long.alias("a"), long.alias("b")
-        scores = _scores(
-            a.join(b, F.col("a.feature") == F.col("b.feature")).select(
-                F.col("a.profile").alias("profile"), F.col("b.profile").alias("other"), F.col("a.points").alias("points")
-            ),
-            ("profile", "other"),
-        )
-        cand = scores.join(ranked.select(F.col("profile").alias("other"), F.col("id").alias("other_id"), "recency"), "other")
+    rich = F.size("features") > MOST_FEATURES
+    listed = F.expr(
+        "transform(sequence(1, shiftleft(1, size(features)) - 1),"
+        " mask -> filter(features, (x, i) -> (shiftright(mask, i) & 1) = 1))"
+    )
+    subsets = flat.where(~rich).select("profile", F.explode(listed).alias("s"))
+    keyed = subsets.select(
+        "profile",
+        F.xxhash64(F.transform("s", lambda x: x["feature"])).alias("combination"),
+        F.aggregate("s", F.lit(0).cast("bigint"), lambda total, x: total + x["points"]).alias("score"),
+    )
+    under = keyed.select("combination", "profile").join(ranked.select("profile", F.col("id").alias("other_id"), "recency"), "profile")
+    first = Window.partitionBy("combination").orderBy(F.desc_nulls_last("recency"), "other_id")
+    tops = under.withColumn("t", F.row_number().over(first)).where(F.col("t") <= k + 1).select("combination", "other_id", "recency")
+    # The greatest score under which two meet is that of all they share.
+    poor = keyed.join(tops, "combination").groupBy("profile", "other_id").agg(F.max("score").alias("score"), F.any_value("recency").alias("recency"))
+    long = flat.withColumn("rich", rich).select("profile", "rich", F.explode("features").alias("f")).select("profile", "rich", "f.feature", "f.points")
+    some = long.where("rich").select(F.col("profile").alias("p"), "feature", "points")
+    other = long.select(F.col("profile").alias("q"), F.col("rich").alias("q_rich"), "feature")
+    met = some.join(other, "feature").groupBy("p", "q", "q_rich").agg(F.sum("points").cast("bigint").alias("score"))
+    # A poor profile meets a rich one from the rich one's side.
+    both = met.select(F.col("p").alias("profile"), F.col("q").alias("other"), "score").unionByName(
+        met.where("not q_rich").select(F.col("q").alias("profile"), F.col("p").alias("other"), "score")
+    )
+    scored = both.join(ranked.select(F.col("profile").alias("other"), F.col("id").alias("other_id"), "recency"), "other")
+    cand = poor.unionByName(scored.select("profile", "other_id", "score", "recency")).where("score > 0")
     # For each profile the best over all; one more than k, as one may be the item itself.
     best = Window.partitionBy("profile").orderBy(F.desc("score"), F.desc_nulls_last("recency"), "other_id")
     top = cand.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.plans import derived, matching, nested
+from shelfmark.plans import derived, matching, nested, writing
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (matching, derived, nested)
+_MODULES = (matching, derived, nested, writing)
 
 
 def queries() -> dict[str, Query]:

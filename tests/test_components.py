@@ -35,6 +35,11 @@ def test_long_path_and_star(spark):
     assert run(spark, edges) == brute(edges)
 
 
+def test_longer_path_and_ring(spark):
+    edges = [(i, i + 1) for i in range(500)] + [(1000 + i, 1000 + (i + 1) % 300) for i in range(300)]
+    assert run(spark, edges) == brute(edges)
+
+
 def test_nulls_loops_and_nothing(spark):
     assert run(spark, [(1, None), (None, 2), (3, 3)]) == {}
     assert run(spark, []) == {}

@@ -85,6 +85,22 @@ def test_related_all_equals_one_by_one(spark, monkeypatch):
             assert every.get(i, []) == one
 
 
+def test_related_all_with_one_rich_item(spark):
+    """One item with eleven features; the others still meet by combinations."""
+    items = [(i, None, None, i % 5) for i in range(30)]
+    labels = [(0, f"t{j}") for j in range(11)] + [(i, f"t{(i * j) % 13}") for i in range(1, 30) for j in range(1, 1 + i % 6)]
+    it = spark.createDataFrame(items, "id bigint, publisher string, country string, recency int")
+    tg = spark.createDataFrame(sorted(set(labels)), "id bigint, tag string")
+    features = tg.select("id", F.concat(F.lit("t"), "tag").alias("feature"), F.lit(3).alias("points"))
+    every = {}
+    for r in related.related_to_all(it, features, k=4).orderBy("id", "place").collect():
+        every.setdefault(r.id, []).append((r.other_id, r.score))
+    of = {i: {t for n, t in labels if n == i} for i in range(30)}
+    for i in range(30):
+        want = sorted(((j, 3 * len(of[i] & of[j])) for j in range(30) if j != i and of[i] & of[j]), key=lambda x: (-x[1], -(x[0] % 5), x[0]))[:4]
+        assert every.get(i, []) == want
+
+
 def test_json_ld_leaves_out_what_is_unknown(spark, data):
     from shelfmark.plans.derived import records
 

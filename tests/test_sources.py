@@ -1,6 +1,10 @@
 """Paged and batched JSON sources, and streams that resume."""
 
+import http.server
 import json
+import threading
+import time
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +45,102 @@ def test_failed_batches_are_rows(spark, tmp_path):
     assert [(r.unified_id, r.error) for r in rows] == [(5, None), (None, "busy")]
 
 
+class Catalogue(http.server.BaseHTTPRequestHandler):
+    """Five records in pages of two; ids by list; id 13 breaks its batch; the first request of a page fails once."""
+
+    broken: set = set()
+    ROWS = [{"unified": {"id": i, "canonical_name": f"é{i}"}} for i in (11, 12, 13, 14, 15)]
+
+    def do_GET(self):
+        asked = parse_qs(urlparse(self.path).query)
+        if "page" in asked:
+            n, size = int(asked["page"][0]), int(asked["pageSize"][0])
+            if n == 2 and "page 2" not in self.broken:
+                self.broken.add("page 2")
+                return self.answer("{", 200)
+            rows = self.ROWS[(n - 1) * size : n * size]
+            return self.answer(json.dumps({"success": True, "data": {"rows": rows, "page": n, "totalPages": -(-len(self.ROWS) // size)}}), 200)
+        ids = [int(x) for x in asked["ids"][0].split(",")]
+        if 13 in ids:
+            return self.answer("", 503)
+        self.answer(envelope([r for r in self.ROWS if r["unified"]["id"] in ids]), 200)
+
+    def answer(self, text, status):
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(text.encode())
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def address():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Catalogue)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/api"
+    server.shutdown()
+
+
+def test_pages_of_a_server(spark, address):
+    paged.register(spark)
+    read = spark.read.format("paged_json").option("path", address).option("page_size", 2).option("pause", 0).option("rate", 0)
+    rows = read.load().orderBy("page", "pos").collect()
+    assert [(r.page, r.pos, json.loads(r.body)["unified"]["id"]) for r in rows] == [(1, 0, 11), (1, 1, 12), (2, 0, 13), (2, 1, 14), (3, 0, 15)]
+
+
+def test_lookups_of_a_server(spark, address):
+    ids = spark.createDataFrame([(15,), (11,), (None,), (12,), (11,), (99,), (13,)], "id bigint")
+    got = paged.lookup(ids, address, batch=2, retries=1, pause=0, rate=0).collect()
+    assert sorted((r.batch, r.unified_id or 0, r.error) for r in got) == [(0, 11, None), (0, 12, None), (1, 0, "status 503")]
+    assert json.loads(next(r.body for r in got if r.unified_id == 11))["unified"]["canonical_name"] == "é11"
+    with pytest.raises(ValueError):
+        paged.lookup(ids, "/some/folder")
+
+
+def test_pacing():
+    pacer, began = paged.Pacer(50), time.monotonic()
+    for _ in range(6):
+        pacer.wait()
+    assert time.monotonic() - began >= 0.09
+
+
+def test_runs_resume_and_are_kept(spark, tmp_path):
+    from shelfmark.operators import runs
+
+    base, made = str(tmp_path / "runs"), []
+
+    def part(name, fail=False):
+        def make():
+            made.append(name)
+            if fail:
+                raise RuntimeError("broken off")
+            return spark.createDataFrame([(name,)], "n string")
+
+        return make
+
+    with pytest.raises(RuntimeError):
+        runs.save(spark, base, "r1", {"a": part("a"), "b": part("b", fail=True)})
+    out = runs.save(spark, base, "r1", {"a": part("a"), "b": part("b")})
+    assert made == ["a", "b", "b"] and out["b"].first().n == "b" and runs.load(spark, base, "r1", "a").first().n == "a"
+    runs.save(spark, base, "r2", {"a": part("a2")})
+    assert runs.names(spark, base) == ["r1", "r2"] and runs.keep_only(spark, base, "r2") == ["r1"] and runs.names(spark, base) == ["r2"]
+    assert runs.keep_only(spark, base) == ["r2"] and runs.names(spark, str(tmp_path / "none")) == []
+
+
+def test_cached_tables_expire(spark, tmp_path):
+    from shelfmark.operators import runs
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(len(made),)], "n int")
+
+    get = lambda seconds: runs.cached(spark, str(tmp_path), "k", make, seconds).first().n
+    assert [get(60), get(60), get(-5), get(60)] == [1, 1, 2, 2]
+
+
 def test_stream_upsert_resumes(spark, tmp_path):
     schema = "k bigint, n bigint, v string"
     write = lambda rows, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
