@@ -8,15 +8,19 @@ are. Names that meet under one hash are verified by a two-pointer comparison
 that skips and folds as it goes.
 
 A parallel title ("A = B") is its parts in any order: its key is the least
-hash over the orders of its parts. A name without separators equals such a
-title if it is one of those orders written out.
+hash over the orders of its parts. A name with fewer separators equals such a
+title if it is one of those orders written out. Titles of up to four parts list
+the hashes of all orders. Longer ones are keyed by their parts in the order of
+their hashes, and meet the names that write them out under a sum over
+characters, which no order changes; those pairs are all verified.
 
 Defined cases
 -------------
 * null names and names without a letter or digit belong to no group;
 * names that are equal under the rules above form one group; letters with and
   without accents stay different, as does another order of words in a part;
-* titles of more than four parts are compared with their parts sorted;
+* a title of any number of parts equals every order of its parts, written with
+  all, some or none of the separators;
 * repeated rows of one id count as copies but give one member;
 * an empty table gives an empty result; other columns are ignored.
 """
@@ -75,10 +79,7 @@ def fold_char(char: str) -> list[int]:
 def decoded(name: str) -> str:
     """The name with character references replaced; most names have none."""
     if "&" in name or "＆" in name:
-        for _ in range(3):
-            text = html.unescape(unicodedata.normalize("NFKC", name))
-            if text == name:
-                break
+        while (text := html.unescape(unicodedata.normalize("NFKC", name))) != name:
             name = text
     return name
 
@@ -103,12 +104,15 @@ def _join(parts) -> tuple[int, int]:
     return h1, h2
 
 
-def name_keys(names: list[str | None], table: Folding) -> list[tuple[int, list[int]] | None]:
-    """For each name its key and, of a parallel title, the hashes of all orders of its parts."""
+LISTED = 4  # parts of a title of which all orders are listed
+
+
+def name_keys(names: list[str | None], table: Folding) -> list[tuple[int, list[int], int, int] | None]:
+    """For each name its key, the hashes of all orders of up to LISTED parts, the sum over its characters, its parts."""
     texts = [decoded(x) if x else "" for x in names]
     raw = [x.encode("utf-32-le", "surrogatepass") for x in texts]
     codes = np.frombuffer(b"".join(raw), np.uint32).astype(np.int64)
-    out: list[tuple[int, list[int]] | None] = [None] * len(names)
+    out: list[tuple[int, list[int], int, int] | None] = [None] * len(names)
     if not len(codes):
         return out
     table.learn(codes)
@@ -133,6 +137,8 @@ def name_keys(names: list[str | None], table: Folding) -> list[tuple[int, list[i
     top = int(length.max())
     h1 = np.add.reduceat(folded * _powers(_B1, _P1, top)[place] % _P1, first) % _P1
     h2 = np.add.reduceat(folded * _powers(_B2, _P2, top)[place] % _P2, first) % _P2
+    mixed = (folded.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (folded.astype(np.uint64) << np.uint64(29))
+    bags = np.add.reduceat((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9), first)
     owner = row[np.searchsorted(segment, seg[first])]
     bounds = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
     for lo, hi in itertools.pairwise(bounds.tolist()):
@@ -140,13 +146,14 @@ def name_keys(names: list[str | None], table: Folding) -> list[tuple[int, list[i
         if len(parts) == 1:
             orders = []
             key = parts[0][:2]
-        elif len(parts) <= 4:
+        elif len(parts) <= LISTED:
             hashes = {_join(p) for p in itertools.permutations(parts)}
             key = min(hashes)
             orders = sorted(a * 2**31 + b for a, b in hashes)
         else:
             key, orders = _join(sorted(parts)), []
-        out[int(owner[lo])] = (key[0] * 2**31 + key[1], orders)
+        bag = int(np.add.reduce(bags[lo:hi]).astype(np.int64))
+        out[int(owner[lo])] = (key[0] * 2**31 + key[1], orders, bag, len(parts))
     return out
 
 
@@ -164,36 +171,50 @@ def _equal(a: str, b: str) -> bool:
     return all(p == q for p, q in itertools.zip_longest(x, y))
 
 
+def _spells(parts: list[str], written: str) -> bool:
+    """Whether the parts, in some order, are the written text."""
+    if sum(map(len, parts)) != len(written):
+        return False
+    seen: set[tuple] = set()
+    stack = [(0, tuple(sorted(parts)))]
+    while stack:
+        at, left = stack.pop()
+        if not left:
+            return True
+        for i, part in enumerate(left):
+            if (i == 0 or part != left[i - 1]) and written.startswith(part, at):
+                state = (at + len(part), left[:i] + left[i + 1 :])
+                if state not in seen:
+                    seen.add(state)
+                    stack.append(state)
+    return False
+
+
 def same_name(a: str, b: str) -> bool:
     """Whether two names are equal but for formatting and the order of parts."""
     a, b = (unicodedata.normalize("NFKC", decoded(x)) for x in (a, b))
     if _equal(a, b):
         return True
-    pa = [x for x in _SPLIT.split(a) if any(True for _ in _stream(x))]
-    pb = [x for x in _SPLIT.split(b) if any(True for _ in _stream(x))]
-    if max(len(pa), len(pb)) > 4:
-        canon = lambda ps: sorted("".join(map(chr, _stream(p))) for p in ps)
-        return canon(pa) == canon(pb)
+    # Only names whose hashes met and whose texts differ get here.
+    pa, pb = ([t for x in _SPLIT.split(n) if (t := "".join(map(chr, _stream(x))))] for n in (a, b))
     if len(pa) < len(pb):
-        a, pb = b, pa if len(pa) > 1 else pb
-        pa, pb = pb, [b] if len(pa) <= 1 else pa
-    written = "".join(pb)
-    return any(_equal("".join(p), written) for p in itertools.permutations(pa))
+        pa, pb = pb, pa
+    return _spells(pa, "".join(pb))
 
 
 def canonical(name: str) -> str:
     """The canonical text of a name; built only for names whose hashes collide."""
     text = unicodedata.normalize("NFKC", decoded(name))
     parts = [p for p in ("".join(map(chr, _stream(x))) for x in _SPLIT.split(text)) if p]
-    if len(parts) > 4:
+    if len(parts) > LISTED:
         return "".join(sorted(parts))
     return min("".join(p) for p in itertools.permutations(parts)) if parts else ""
 
 
 def with_keys(names: DataFrame, name_col: str = "name") -> DataFrame:
-    """Add ``key`` (null for blank names) and ``orders`` to a table of names."""
+    """Add ``key`` (null for blank names), ``orders``, ``bag`` and ``parts`` to a table of names."""
 
-    @F.pandas_udf("key long, orders array<long>")
+    @F.pandas_udf("key long, orders array<long>, bag long, parts int")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table = Folding()
         for names in batches:
@@ -202,10 +223,20 @@ def with_keys(names: DataFrame, name_col: str = "name") -> DataFrame:
                 {
                     "key": pd.array([x[0] if x else None for x in found], "Int64"),
                     "orders": [x[1] if x else [] for x in found],
+                    "bag": pd.array([x[2] if x else None for x in found], "Int64"),
+                    "parts": pd.array([x[3] if x else None for x in found], "Int32"),
                 }
             )
 
-    return names.withColumn("__k", keys(F.col(name_col))).select("*", "__k.key", "__k.orders").drop("__k")
+    return names.withColumn("__k", keys(F.col(name_col))).select("*", "__k.key", "__k.orders", "__k.bag", "__k.parts").drop("__k")
+
+
+def _same(a: str, b: str):
+    @F.pandas_udf("boolean")
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([same_name(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return same(a, b)
 
 
 def groups(names: DataFrame) -> DataFrame:
@@ -224,29 +255,44 @@ def groups(names: DataFrame) -> DataFrame:
         .groupBy("tab", "key")
         .agg(F.min("title_key").alias("title_key"))
     )
-    first = keyed.groupBy("tab", "key").agg(F.min(F.struct("id", "name")).alias("first"))
-    first = first.join(titles, ["tab", "key"], "left").withColumn("group_key", F.coalesce("title_key", "key"))
-    least = first.groupBy("tab", "group_key").agg(F.min("first").alias("first"))
-    lead = first.select("tab", "key", "group_key").join(least, ["tab", "group_key"])
-    met = keyed.select("tab", "id", "name", "copies", "key").join(
-        lead.select("tab", "key", F.col("first.id").alias("first_id"), F.col("first.name").alias("first_name")), ["tab", "key"]
+    # Of the names under a key the one with the most parts stands for them, as it spells all orders.
+    first = keyed.groupBy("tab", "key").agg(
+        F.min("id").alias("least"), F.max_by("name", F.struct("parts", -F.col("id"))).alias("name"),
+        F.any_value("bag").alias("bag"), F.max("parts").alias("parts"),
+    )
+    # The same for titles whose orders are not listed; among several the one with the most parts.
+    long = first.where(F.col("parts") > LISTED).select(
+        "tab", "bag", F.col("key").alias("long_key"), F.col("name").alias("long_name"), F.col("parts").alias("long_parts")
+    )
+    longs = (
+        first.join(long, ["tab", "bag"]).where("parts < long_parts").where(_same("name", "long_name"))
+        .groupBy("tab", "key")
+        .agg(F.min_by("long_key", F.struct(-F.col("long_parts"), F.col("long_key"))).alias("long_key"))
+    )
+    first = first.join(titles, ["tab", "key"], "left").join(longs, ["tab", "key"], "left")
+    listed = F.when(F.col("parts") <= LISTED, F.col("title_key"))
+    first = first.withColumn("group_key", F.coalesce("long_key", listed, "key"))
+    group = first.groupBy("tab", "group_key").agg(
+        F.min("least").alias("first_id"), F.max_by("name", F.struct("parts", "key")).alias("group_name")
     )
+    lead = first.select("tab", "key", "group_key").join(group, ["tab", "group_key"])
+    met = keyed.select("tab", "id", "name", "copies", "key").join(lead, ["tab", "key"])
 
     @F.pandas_udf("string")
     def clash(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x == y or same_name(x, y) else canonical(x) for x, y in zip(a, b, strict=True)])
-
-    # Only members that are not written exactly like the first need the comparison.
-    same = met.where("id = first_id or name = first_name").withColumn("clash", F.lit(None).cast("string"))
-    other = met.where("id <> first_id and name <> first_name").withColumn("clash", clash("name", "first_name"))
-    other = stored(other, "compared")
-    done = same.unionByName(other.where("clash is null"))
-    # Different names under one hash: exact groups of their own.
-    rest = other.where("clash is not null")
-    own = rest.groupBy("tab", "key", "clash").agg(F.min("id").alias("first_id"))
-    apart = rest.drop("first_id").join(own, ["tab", "key", "clash"])
+        return pd.Series([None if same_name(x, y) else canonical(x) for x, y in zip(a, b, strict=True)])
+
+    # Only members that are not written exactly like the name that stands for the group need the comparison.
+    same = met.where("name = group_name").withColumn("clash", F.lit(None).cast("string"))
+    other = stored(met.where("name <> group_name").withColumn("clash", clash("name", "group_name")), "compared")
+    every = same.unionByName(other)
+    # Different names under one hash: groups of their own, found for the groups that have any.
+    hit = stored(other.where("clash is not null").select("tab", "group_key").distinct(), "collided")
     cols = ["tab", "id", "first_id", "name", "copies"]
-    return done.select(cols).unionByName(apart.select(cols))
+    done = every.join(hit, ["tab", "group_key"], "left_anti").select(cols)
+    apart = every.join(hit, ["tab", "group_key"], "left_semi").drop("first_id").withColumn("clash", F.coalesce("clash", F.lit("")))
+    own = apart.groupBy("tab", "group_key", "clash").agg(F.min("id").alias("first_id"))
+    return done.unionByName(apart.join(own, ["tab", "group_key", "clash"]).select(cols))
 
 
 def both_tables(topics: DataFrame, catalogue: DataFrame) -> DataFrame:

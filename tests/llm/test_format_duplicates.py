@@ -50,6 +50,28 @@ def test_many_parts_are_sorted():
     assert fd.same_name(a, b) and key(a)[0] == key(b)[0]
 
 
+def test_titles_of_five_parts_and_their_written_forms(spark):
+    rows = [
+        (1, "A b = C d = E f = G h = I j"), (2, "I J / G H / E F / C D / A B"), (3, "C d A b E f I j G h"), (4, "A b C d = E f G h = I j"),
+        (5, "b A C d E f I j G h"), (6, "A = B = C = D = E = F"), (7, "fedcba"), (8, "ab = cd = ef = gh = i = k"), (9, "A b C d E f G h I j"),
+    ]
+    assert fd.same_name(rows[0][1], rows[2][1]) and not fd.same_name(rows[0][1], rows[4][1])
+    table = spark.createDataFrame([("topics", *r) for r in rows], "tab string, id bigint, name string")
+    got = {(r.first_id, r.member_id) for r in fd.members(table).collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (1, 9), (6, 7)}
+
+
+def test_written_forms_in_other_orders_meet_through_the_title(spark):
+    rows = [(1, "A b C d E f"), (2, "C d E f A b"), (3, "E f = A b = C d"), (4, "b A C d E f"), (5, "B A = C D = E F")]
+    table = spark.createDataFrame([("topics", *r) for r in rows], "tab string, id bigint, name string")
+    assert {(r.first_id, r.member_id) for r in fd.members(table).collect()} == {(1, 2), (1, 3), (4, 5)}
+
+
+def test_references_in_references():
+    text = "Genetics &amp;amp;amp;amp;amp; Policy"
+    assert fd.same_name(text, "Genetics & Policy") and key(text)[0] == key("Genetics Policy")[0]
+
+
 def test_blank_names_have_no_key():
     assert fd.name_keys([None, "", " \t", "—", "[]"], fd.Folding()) == [None] * 5
 
