@@ -2,13 +2,17 @@
 
 Every character is mapped back to the byte that a legacy character set gives
 it. A byte-structure automaton, compiled to one regular expression per legacy
-set, finds the maximal spans of such bytes that are well-formed UTF-8 and
-decode to characters in common use; only those spans are decoded, again and
-again while more are found, as some text was garbled twice. Two-byte Chinese
-text that was read as Latin letters has its own automaton over pairs of high
-bytes. Between two single-byte sets there is no byte structure: there a span
-is decoded if the result has the letter frequencies of the language and the
-text as it stands has not.
+set, finds the maximal spans of such bytes that are well-formed UTF-8, of two to
+four bytes a character and of any script; only those spans are decoded, again
+and again while more are found, as some text was garbled twice. A span is taken
+by its evidence: how many of its characters hardly stand beside letters in
+proper text. Two-byte Chinese text that was read as Latin letters has its own
+automaton over pairs of high bytes.
+
+Between two single-byte sets there is no byte structure. Readings of that kind
+are operators of their own (``OTHER_READINGS``), tried where the automaton finds
+nothing: there a span is decoded if the result has the letter frequencies of
+the language and the text as it stands has not.
 
 Defined cases
 -------------
@@ -20,8 +24,10 @@ Defined cases
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -73,35 +79,90 @@ def _class(chars: list[str]) -> str:
 
 @lru_cache(maxsize=None)
 def automaton(encoding: str) -> tuple[re.Pattern, dict[str, int]]:
-    """The automaton of well-formed UTF-8 over a legacy set's characters."""
+    """The automaton of well-formed UTF-8, two to four bytes long, over a legacy set's characters."""
     to_byte = legacy_bytes(encoding)
     chars: dict[int, list[str]] = {}
     for c, b in to_byte.items():
         chars.setdefault(b, []).append(c)
+
+    def any_of(low: int, high: int) -> str | None:
+        found = [c for b in range(low, high + 1) for c in chars.get(b, [])]
+        return _class(found) if found else None
+
+    tail = any_of(0x80, 0xBF)
+    # Well-formed UTF-8: leads and what may follow them.
+    shapes = (
+        (0xC2, 0xDF, ()), (0xE0, 0xE0, (0xA0, 0xBF)), (0xE1, 0xEC, (0x80, 0xBF)), (0xED, 0xED, (0x80, 0x9F)), (0xEE, 0xEF, (0x80, 0xBF)),
+        (0xF0, 0xF0, (0x90, 0xBF)), (0xF1, 0xF3, (0x80, 0xBF)), (0xF4, 0xF4, (0x80, 0x8F)),
+    )
     branches = []
-    for lead in range(0xC2, 0xE0):
-        tails = [c for b in range(0x80, 0xC0) if common(bytes([lead, b]).decode()) for c in chars.get(b, [])]
-        if tails and lead in chars:
-            branches.append(_class(chars[lead]) + _class(tails))
-    for lead in range(0xE0, 0xF0):
-        by_tails: dict[tuple, list[int]] = {}
-        for second in range(0x80, 0xC0):
-            third = []
-            for b in range(0x80, 0xC0):
-                try:
-                    if common(bytes([lead, second, b]).decode()):
-                        third.append(b)
-                except UnicodeDecodeError:
-                    continue
-            if third and second in chars:
-                by_tails.setdefault(tuple(third), []).append(second)
-        for third, seconds in by_tails.items():
-            tails = [c for b in third for c in chars.get(b, [])]
-            if tails and lead in chars:
-                branches.append(_class(chars[lead]) + _class([c for b in seconds for c in chars[b]]) + _class(tails))
+    for low, high, second in shapes:
+        lead = any_of(low, high)
+        middle = any_of(*second) if second else ""
+        if lead and middle is not None and tail:
+            branches.append(lead + middle + tail * (1 if low < 0xF0 else 2))
     return re.compile("(?:" + "|".join(branches) + ")+"), to_byte
 
 
+# What may well stand beside a letter in proper text, and letters by name that hardly do.
+_ORDINARY = frozenset("»«…–—”“‘’„‚‹›№°§\xa0")
+_ODD_LETTERS = frozenset("ªºµƒˆ")
+_SINGLE_BYTE_LATIN = frozenset(("cp1252", "cp1250", "mac_roman", "cp437", "cp850"))
+
+
+@lru_cache(maxsize=100_000)
+def _odd(char: str) -> bool:
+    return char in _ODD_LETTERS or not (char.isalnum() or char in _ORDINARY)
+
+
+def _wide(decoded: str) -> bool:
+    """Whether a span decodes to characters beyond the common ones, all of them assigned."""
+    wide = [c for c in decoded if not common(c)]
+    return bool(wide) and not any(unicodedata.category(c) in ("Cn", "Co", "Cc") for c in wide)
+
+
+def _evident(encoding: str, spans: list[tuple[str, str]]) -> bool:
+    """Whether a text's spans that decode to other than common characters are more than chance.
+
+    A lone two-byte character is no evidence; two of one block in a row are, and longer ones.
+    """
+
+    def strong(decoded: str) -> bool:
+        wide = [ord(c) for c in decoded if not common(c)]
+        return max(wide) >= 0x800 or any(a >> 8 == b >> 8 for a, b in itertools.pairwise(wide))
+
+    spans = [x for x in spans if strong(x[1])]
+    odd = sum(_odd(c) for span, _ in spans for c in span)
+    wide = [c for _, decoded in spans for c in decoded if not common(c)]
+    if encoding not in _SINGLE_BYTE_LATIN:
+        # Letters of such sets look like bytes of every kind; one script and many odd characters tell.
+        return len(wide) >= 3 and odd >= 3 and len({ord(c) >> 8 for c in wide}) <= 2
+    return odd >= 2 or odd >= 1 and any(ord(c) > 0xFFFF for c in wide)
+
+
+def _pieces(span: str, decoded: str, evident: bool) -> Iterator[tuple[int, int, str]]:
+    """The parts of a well-formed span to look at: all of it, or its runs of common characters.
+
+    A span of letters only is never more than chance.
+    """
+    if all(map(common, decoded)) or evident and _wide(decoded) and not span.isalpha():
+        yield 0, len(span), decoded
+        return
+    at = start = 0
+    run = ""
+    for c in decoded:
+        size = len(c.encode("utf-8"))
+        if common(c):
+            start = start if run else at
+            run += c
+        elif run:
+            yield start, at, run
+            run = ""
+        at += size
+    if run:
+        yield start, at, run
+
+
 _CYRILLIC = re.compile(r"[а-яё]", re.I)
 # Two characters that proper text may hold side by side though they look like a span.
 _PROPER_PAIR = re.compile(r"[РС][»…–—”’“№ё\xa0°«]")
@@ -146,7 +207,7 @@ _NEEDED = {"koi8_r": _BOX, "cp866": _BOX | {"т"}, "cp850": _BOX | {"Ô"}, "cp43
 @lru_cache(maxsize=None)
 def _leads(encoding: str) -> frozenset[str]:
     """The characters that a multi-byte sequence can begin with."""
-    return frozenset(c for c, b in legacy_bytes(encoding).items() if 0xC2 <= b <= 0xEF)
+    return frozenset(c for c, b in legacy_bytes(encoding).items() if 0xC2 <= b <= 0xF4)
 
 
 def _spans(text: str, encoding: str, chars: set[str]) -> list[tuple[int, int, str]]:
@@ -156,10 +217,13 @@ def _spans(text: str, encoding: str, chars: set[str]) -> list[tuple[int, int, st
         return []
     pattern, to_byte = automaton(encoding)
     out = []
-    for m in pattern.finditer(text):
-        span = m.group()
-        if _acceptable(encoding, span, text, m.start(), m.end()):
-            out.append((m.start(), m.end(), bytes(to_byte[c] for c in span).decode("utf-8")))
+    found = [(m.start(), m.group(), bytes(to_byte[c] for c in m.group()).decode("utf-8")) for m in pattern.finditer(text)]
+    evident = _evident(encoding, [(span, new) for _, span, new in found if _wide(new)])
+    for at, span, decoded in found:
+        for start, end, new in _pieces(span, decoded, evident):
+            a, b = at + start, at + end
+            if not all(map(common, new)) or _acceptable(encoding, span[start:end], text, a, b):
+                out.append((a, b, new))
     return out
 
 
@@ -364,8 +428,8 @@ def _polish(text: str) -> list[tuple[int, int, str]]:
 _POLISH_CHARS = frozenset("³¹¿\x9c\x9f±¶¼\x8c\x8f¯£œŸ")
 
 
-def _step(text: str) -> tuple[str, int]:
-    """Decode with the legacy set that explains most characters; the number of spans.
+def _step(text: str) -> tuple[str, int, str]:
+    """Decode with the legacy set that explains most characters; the number of spans and the reading.
 
     The characters that occur decide which readings are tried at all.
     """
@@ -375,7 +439,7 @@ def _step(text: str) -> tuple[str, int]:
         # UTF-8 letters look like pairs too, but pairs hardly ever like UTF-8.
         utf8 = sum(end - start for start, end, _ in _spans(text, "cp1252", chars))
         if utf8 < 0.5 * len(re.findall(r"[^\x00-\x7f]", text)) and (spans := _gbk_as_latin(text, 2)):
-            return _replace(text, spans), len(spans)
+            return _replace(text, spans), len(spans), "gbk_as_latin"
     best, best_size = [], 0
     for encoding in LEGACY:
         spans = _spans(text, encoding, chars)
@@ -383,54 +447,66 @@ def _step(text: str) -> tuple[str, int]:
         if size > best_size:
             best, best_size = spans, size
     if best:
-        return _replace(text, best), len(best)
-    tries = []
-    if latin >= 3:
-        tries.append(_gbk_as_latin)
-    if any(c >= "\u2e80" or "\u2460" <= c <= "\u25ff" for c in chars):
-        tries.append(_two_byte)
-    if latin >= 3 or any("\u0400" <= c <= "\u0491" or "\u2500" <= c <= "\u25ff" for c in chars):
-        tries.append(_single_byte)
-    if not chars.isdisjoint(_POLISH_CHARS):
-        tries.append(_polish)
-    for find in tries:
-        if spans := find(text):
-            return _replace(text, spans), len(spans)
-    return text, 0
+        return _replace(text, best), len(best), "utf8"
+    for name, (needed, find) in OTHER_READINGS.items():
+        if needed(chars, latin) and (spans := find(text)):
+            return _replace(text, spans), len(spans), name
+    return text, 0, ""
 
 
-def repair(text: str) -> tuple[str, int, bool]:
-    """The restored text, the number of spans decoded, and whether the text was affected."""
+# Readings without the byte structure of UTF-8: which texts each is tried on, and how it finds spans.
+OTHER_READINGS = {
+    "gbk_as_latin": (lambda chars, latin: latin >= 3, _gbk_as_latin),
+    "two_byte": (lambda chars, latin: any(c >= "\u2e80" or "\u2460" <= c <= "\u25ff" for c in chars), _two_byte),
+    "single_byte": (lambda chars, latin: latin >= 3 or any("\u0400" <= c <= "\u0491" or "\u2500" <= c <= "\u25ff" for c in chars), _single_byte),
+    "polish": (lambda chars, latin: not chars.isdisjoint(_POLISH_CHARS), _polish),
+}
+
+
+def repair_by(text: str) -> tuple[str, int, bool, list[str]]:
+    """The restored text, the spans decoded, whether the text was affected, and by which readings in turn.
+
+    A reading is ``utf8`` (the automaton), one of ``OTHER_READINGS``, or
+    ``lost`` where replacement characters were there to begin with. It goes on
+    until nothing more is found or a text comes back that was there before.
+    """
     if text.isascii():
-        return text, 0, False
-    damaged = "�" in text
-    spans = 0
-    for _ in range(8):
-        text, n = _step(text)
-        if not n:
+        return text, 0, False, []
+    by = ["lost"] if "�" in text else []
+    spans, seen = 0, {text}
+    while True:
+        new, n, name = _step(text)
+        if not n or new in seen:
             break
-        spans += n
-    return text, spans, damaged or spans > 0
+        seen.add(new)
+        text, spans = new, spans + n
+        by.append(name)
+    return text, spans, bool(by), by
+
+
+def repair(text: str) -> tuple[str, int, bool]:
+    """The restored text, the number of spans decoded, and whether the text was affected."""
+    return repair_by(text)[:3]
 
 
 def repaired(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The affected documents: id, ``restored`` text, ``spans`` decoded, ``complete``.
+    """The affected documents: id, ``restored`` text, ``spans`` decoded, ``readings``, ``complete``.
 
-    ``complete`` is false where replacement characters are left. Texts that
+    ``readings`` names what restored the text, in turn (see :func:`repair_by`). ``complete`` is false where replacement characters are left. Texts that
     are plain ASCII never leave the JVM.
     """
 
-    @F.pandas_udf("restored string, spans int, affected boolean")
+    @F.pandas_udf("restored string, spans int, affected boolean, readings array<string>")
     def fix(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [repair(t) for t in texts]
-            yield pd.DataFrame(found, columns=["restored", "spans", "affected"])
+            found = [repair_by(t) for t in texts]
+            yield pd.DataFrame(found, columns=["restored", "spans", "affected", "readings"])
 
     some = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
         F.col("text").rlike(r"[^\x00-\x7f]")
     )
     out = some.select("doc_id", fix("text").alias("x")).where("x.affected")
-    return out.select("doc_id", "x.restored", "x.spans", (~F.col("x.restored").contains("�")).alias("complete"))
+    return out.select("doc_id", "x.restored", "x.spans", "x.readings", (~F.col("x.restored").contains("�")).alias("complete"))
 
 
 def affected(documents: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from shelfmark.llm.mojibake import affected, repair, repaired
+from shelfmark.llm.mojibake import affected, repair, repair_by, repaired
 from tests.llm.fixtures import documents
 
 FRENCH = "L’équipe éditrice a reçu « 241 atlas » consacrés à l’œnologie, près de la forêt."
@@ -31,6 +31,30 @@ def test_utf8_round_trip(text, wrong):
     assert hit and spans and fixed == text
 
 
+OTHER_SCRIPTS = [
+    "Great news 😀🎉 for all readers 👍🏽", "Tạp chí Khoa học và Công nghệ, số đặc biệt về giáo dục", "المجلة العربية للعلوم الإنسانية",
+    "כתב עת לחקר ההיסטוריה", "한국어 학술지의 새로운 논문", "วารสารวิชาการภาษาไทย", "हिन्दी की शोध पत्रिका", "ქართული ჟურნალი", "Հայերեն հանդես",
+]
+
+
+@pytest.mark.parametrize("text", OTHER_SCRIPTS)
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1"])
+def test_other_scripts(text, wrong):
+    assert repair(text) == (text, 0, False)
+    fixed, spans, hit = repair("Note: " + garble(text, "utf-8", wrong) + " (2019)")
+    assert hit and spans and fixed == "Note: " + text + " (2019)"
+
+
+def test_readings_are_named():
+    assert repair_by(garble(FRENCH, "utf-8", "cp1252"))[3] == ["utf8"]
+    assert repair_by(garble(garble(FRENCH, "utf-8", "cp1252"), "utf-8", "cp1252"))[3] == ["utf8", "utf8"]
+    assert repair_by(garble(POLISH, "cp1250", "latin-1"))[3] == ["polish"] and repair_by("lost � here")[3] == ["lost"]
+    deep = FRENCH
+    for _ in range(10):
+        deep = garble(deep, "utf-8", "latin-1")
+    assert repair_by(deep)[0] == FRENCH
+
+
 @pytest.mark.parametrize("text", [FRENCH, SPANISH, GERMAN])
 def test_garbled_twice(text):
     assert repair(garble(garble(text, "utf-8", "cp1252"), "utf-8", "cp1252"))[0] == text
@@ -64,6 +88,7 @@ def test_only_garbled_places_change():
 CLEAN = [
     FRENCH, SPANISH, GERMAN, POLISH, RUSSIAN, CHINESE, "", "plain", "ATENÇÃO À REDAÇÃO: SEÇÃO DE 1981, AÇÕES", "48 ± 262 µm³, 20 °C, km²",
     "The Ørsted–Nefokume index; Ångström; jalapeño; café”", "«СССР» Рё… ОБЪЯВЛЕНИЕ ДЛЯ АВТОРОВ", "D’APRÈS LA NOTE 195", "《期刊》（测试）",
+    "Plzeňští měšťané, těšťanka, Ještě žížaly", "«МАРШ» и «БОРЩ»; ПЛАЩ… в…» НОЧ“ ЛУЧ»", "Ø 5 ± 2 µm, Ù, 3 × 4", "“À” «Ò»", "Đường sắt Việt Nam", "żółć, gęś, źdźbło",
 ]
 
 
