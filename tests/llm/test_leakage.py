@@ -63,6 +63,40 @@ def test_blocks_of_items_find_the_same(spark):
     assert run(spark, docs, ITEMS, most_seeds=100) == {(1, 1), (2, 2)}
 
 
+def test_joined_seeds_find_the_same_near_one_half(spark):
+    """Items of many sizes, leaked by 40 to 60 per cent, in one piece or two, with edits, some of the documents twice."""
+    rng = random.Random(8)
+    items = [(n, STOCK * (n % 2) + " ".join(item(n, 12 + 7 * n))) for n in range(1, 25)]
+    docs = []
+    for n, text in items:
+        own = text.removeprefix(STOCK).split()
+        for part in (0.4, 0.46, 0.5, 0.54, 0.6):
+            k = int(len(own) * part)
+            pieces = [own[:k]] if n % 3 else [own[: k // 2], own[-(k - k // 2) :]]
+            words = f" {OTHER} ".join(" ".join(w if rng.random() > 0.03 else "changed" for w in p) for p in pieces)
+            docs.append((len(docs), OTHER + " " + words + " " + OTHER))
+    docs += docs[:7] + [(900, None), (901, "")]
+    sent, joined = run(spark, docs, items), run(spark, docs, items, most_seeds=1)
+    assert sent == joined and 24 < len(sent) < 96
+    d = documents(spark, docs)
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    full = lambda most: sorted((r.doc_id, r.item_id, round(r.coverage, 9), r.pieces) for r in leakage.leaks(d, i, most_seeds=most).collect())
+    assert full(10**9) == full(1)
+
+
+def test_short_items(spark):
+    items = [(1, "alpha beta gamma delta epsilon zeta eta"), (2, "one two three four"), (3, "v w x y z")]
+    docs = [(1, "so Alpha, beta gamma delta epsilon zeta eta!"), (2, "alpha beta gamma delta"), (3, "one two three four"), (4, "u v w x y z")]
+    for most in (10**6, 1):
+        assert run(spark, docs, items, most_seeds=most) == {(1, 1), (4, 3)}
+
+
+def test_whole_tables_joined_and_sent(spark, data):
+    d, e = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
+    pairs = lambda most: {(r.doc_id, r.item_id) for r in leakage.leaks(d, e, most_seeds=most).collect()}
+    assert pairs(1) == pairs(5_000_000)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], ITEMS) == set()
     assert run(spark, [(1, "a b c")], []) == set()
