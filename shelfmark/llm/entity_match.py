@@ -1,21 +1,26 @@
 """Topics and catalogue rows that describe the same journal, matched without keys.
 
-Collective linkage in four steps, each over the whole of both tables:
+Collective linkage in five steps, each over the whole of both tables:
 
 1. Titles are read once each into the words of their main part. Misspelt words
    are mapped to the frequent word one edit away, found through words with one
    letter deleted; the main part of a parallel title is the one with the rarest
    word.
-2. Candidate graph: distinct readings meet under pairs of word beginnings. It is
-   pruned to the rarest pairs of each reading, enough that readings with one
-   damaged word still share one. Readings that stay are compared word by word,
-   and the equal ones are closed to title clusters.
+2. Candidate graph: distinct readings meet under keys made of word beginnings, a
+   shared key weighing more the rarer it is. Meta-blocking prunes it to the
+   heaviest keys of each reading, enough that readings with one damaged word
+   still share one, and drops the edges whose words lie too far apart to be
+   equal. Edges that stay are compared word by word, and the equal ones are
+   closed to title clusters.
 3. Within a title cluster, records that share an identifier, a publisher in
    whatever spelling, or a country are joined, and what they share is propagated
    to the records joined to them until nothing changes. So namesakes with another
    publisher and country fall apart.
 4. Where no two groups of a cluster prove to be namesakes by their countries, the
    cluster is one journal; records without attributes join it.
+5. Confidence: the similarity of a record to its journal is how much the records of
+   the other side support its attributes, each by its own similarity and rare
+   attributes more; that is propagated between both sides until it is stable.
 
 Every topic of a group is paired with every catalogue id of it.
 
@@ -44,9 +49,10 @@ from shelfmark.llm.name_rules import alias_fits, compare, read_name, within_one
 from shelfmark.llm.survivorship import filled
 from shelfmark.llm.title_rules import STOP, read_title, same_title
 from shelfmark.operators.components import components
-from shelfmark.session import stored
+from shelfmark.session import Stored, stored
 
 BEGINNING = 4  # letters of a word that a block key holds
+MOST_PAIRED = 12  # words of a title of which all pairs are keys
 RARER = 5  # a misspelling is so many times rarer than the word it stands for
 CLEARER = 20  # the word it is mapped to is so many times more frequent than any other
 SAME_PUBLISHER = 0.7  # soft token similarity of two spellings of one publisher
@@ -89,7 +95,7 @@ def _close(a: str, b: str) -> Column:
 
 def corrections(vocabulary: DataFrame) -> DataFrame:
     """word to the far more frequent word one edit away: word, right, df."""
-    words = vocabulary.where(F.length("word").between(1, 40))
+    words = vocabulary.where(F.length("word") >= 1)
     shorter = F.transform(
         F.sequence(F.lit(1), F.length("word")),
         lambda i: F.concat(F.substr("word", F.lit(1), i - 1), F.substr(F.col("word"), i + 1)),
@@ -164,24 +170,41 @@ def readings(named: DataFrame) -> DataFrame:
     ).withColumn("node", F.xxhash64(F.col("tokens"), F.col("series")))
 
 
-def _pairs(tokens: Column) -> Column:
-    """Keys of a reading: beginnings of two of its words, in order.
+def _keys(tokens: Column) -> Column:
+    """Keys of a reading: beginnings of two of its words, in order; of short titles words by themselves too.
 
-    Beyond twelve words only words at most four apart are paired.
+    Beyond MOST_PAIRED words only words at most four apart are paired: those
+    are enough keys that one damaged word spoils but a few of them.
     """
     stem = F.transform(tokens, lambda t: F.left(F.regexp_replace(t, r"\.$", ""), F.lit(BEGINNING)))
-    at = F.sequence(F.lit(1), F.size(stem) - 1)
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                at,
-                lambda i: F.transform(
-                    F.sequence(i + 1, F.when(F.size(stem) > 12, F.least(F.size(stem), i + 4)).otherwise(F.size(stem))),
-                    lambda j: F.concat_ws("\t", F.element_at(stem, i), F.element_at(stem, j)),
-                ),
-            )
+    n = F.size(stem)
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), n - 1),
+            lambda i: F.transform(
+                F.sequence(i + 1, F.when(n > MOST_PAIRED, F.least(n, i + 4)).otherwise(n)),
+                lambda j: F.concat_ws("\t", F.element_at(stem, i), F.element_at(stem, j)),
+            ),
         )
     )
+    # Of two words one may be damaged, so each is a key by itself with its place; one word is its own key.
+    placed = F.transform(stem, lambda w, i: F.concat_ws("\t", i, w))
+    return F.array_distinct(F.when(n == 1, placed).when(n == 2, F.concat(pairs, placed)).otherwise(pairs))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether the words of two readings may be equal, one by one.
+
+    Words that are equal but for one edit or a cut end differ by two edits at
+    most up to the end of the shorter one; whatever differs more is no edge.
+    """
+    bare = lambda t: F.regexp_replace(t, r"\.$", "")
+
+    def close(x: Column, y: Column) -> Column:
+        size = F.least(F.length(bare(x)), F.length(bare(y)))
+        return F.levenshtein(F.left(bare(x), size), F.left(bare(y), size), 2) >= 0
+
+    return F.forall(F.zip_with(a, b, lambda x, y: (x == y) | close(x, y)), lambda c: c)
 
 
 def title_clusters(named: DataFrame) -> DataFrame:
@@ -193,19 +216,20 @@ def title_clusters(named: DataFrame) -> DataFrame:
         ),
         "title-nodes",
     )
-    two = nodes.where(F.size("tokens") >= 2)
-    keys = two.select("node", "series", F.size("tokens").alias("n"), F.explode(_pairs(F.col("tokens"))).alias("key"))
+    some = nodes.where(F.size("tokens") >= 1)
+    keys = some.select("node", "series", F.size("tokens").alias("n"), F.explode(_keys(F.col("tokens"))).alias("key"))
     keys = keys.withColumn("key", F.xxhash64("key", "series", "n")).drop("series")
     df = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    # A rare key weighs more, so the heaviest come first.
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
-    # One damaged word spoils n - 1 keys; among the n rarest one is left that both have, if n is 3 or more.
-    kept = keys.join(df, "key").withColumn("rank", rank).where("rank <= n and df > 1").select("node", "key")
+    # One damaged word spoils n - 1 keys; among the n heaviest one is left that both have.
+    kept = keys.join(df, "key").withColumn("rank", rank).where("rank <= n and df > 1").select("node", "key", (1.0 / F.log2(F.col("df") + 1)).alias("w"))
     side = kept.join(nodes, "node")
-    a = side.select("key", *(F.col(c).alias(f"{c}_a") for c in nodes.columns))
+    a = side.select("key", "w", *(F.col(c).alias(f"{c}_a") for c in nodes.columns))
     b = side.select("key", *(F.col(c).alias(f"{c}_b") for c in nodes.columns))
     met = a.join(b, "key").where("node_a < node_b and series_a = series_b and size(tokens_a) = size(tokens_b)")
-    met = met.groupBy("node_a", "node_b").agg(
-        *(F.any_value(c).alias(c) for c in ("tokens_a", "tokens_b", "dfs_a", "dfs_b"))
+    met = met.where(_near(F.col("tokens_a"), F.col("tokens_b"))).groupBy("node_a", "node_b").agg(
+        F.sum("w").alias("weight"), *(F.any_value(c).alias(c) for c in ("tokens_a", "tokens_b", "dfs_a", "dfs_b"))
     )
 
     @F.pandas_udf("boolean")
@@ -354,22 +378,67 @@ def matches(topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> DataF
     return t.join(c, "journal").select("topic_id", "unified_id")
 
 
+STABLE = 0.001  # the change of similarity below which propagation ends
+MOST_ROUNDS = 40  # it ends here at the latest; as half of the old value stays, a change of one shrinks to STABLE in ten
+
+
+def similarities(pairs: DataFrame, topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """How well each paired record agrees with the other side of its journal: side, id, sim between 0 and 1.
+
+    A record's similarity is the mean support of its attribute values, rare
+    ones weighing more. A value's support is the share of similarity that those
+    records of the other side have that hold it, among those that hold any value
+    of the attribute. Both sides are recomputed from each other, half of the old
+    value staying, until nothing changes by more than STABLE. Values of which
+    the other side knows nothing don't count; a record without any has 0.
+    """
+    # All pairs of a journal are there, so its least catalogue id names it.
+    of_t = pairs.groupBy("topic_id").agg(F.min("unified_id").alias("journal"))
+    of_c = pairs.join(of_t, "topic_id").groupBy("unified_id").agg(F.min("journal").alias("journal"))
+    members = of_t.select(F.lit("t").alias("side"), F.col("topic_id").alias("id"), "journal").unionByName(
+        of_c.select(F.lit("c").alias("side"), F.col("unified_id").alias("id"), "journal")
+    )
+    letters = F.lower(F.regexp_replace("value", r"[^\p{L}\p{N}]+", ""))
+    long = attributes(topics, fields, catalogue).withColumn("value", F.when(F.col("attr") == "p", letters).otherwise(F.col("value")))
+    long = long.select("side", "id", "attr", F.xxhash64("attr", "value").alias("v")).distinct()
+    rare = long.groupBy("v").agg((1.0 / F.log2(F.count(F.lit(1)) + 1)).alias("w"))
+    held = long.join(members, ["side", "id"]).join(rare, "v")
+    # Only values on whose attribute both sides of the journal say something.
+    both = held.groupBy("journal", "attr").agg(F.count_distinct("side").alias("n")).where("n = 2").drop("n")
+    held = stored(held.join(both, ["journal", "attr"]), "held-values")
+    other = F.when(F.col("side") == "t", "c").otherwise("t")
+    now = Stored(held.select("side", "id").distinct().withColumn("sim", F.lit(1.0)), "similarity")
+    for _ in range(MOST_ROUNDS):
+        # Distinct records for the whole of an attribute, as one may hold several values of it.
+        known = held.join(now.df, ["side", "id"])
+        whole = known.groupBy("journal", "side", "attr", "id").agg(F.max("sim").alias("sim")).groupBy("journal", "side", "attr").agg(F.sum("sim").alias("whole"))
+        value = known.groupBy("journal", "side", "attr", "v").agg(F.sum("sim").alias("part")).withColumn("side", other)
+        support = held.join(value, ["journal", "side", "attr", "v"], "left").join(whole.withColumn("side", other), ["journal", "side", "attr"])
+        share = F.when(F.col("whole") > 0, F.coalesce("part", F.lit(0.0)) / F.col("whole")).otherwise(0.0)
+        # Of an attribute the best supported value counts: the others may be older ones.
+        best = support.groupBy("side", "id", "attr").agg(F.max(share).alias("share"), F.max("w").alias("w"))
+        new = best.groupBy("side", "id").agg((F.sum(F.col("share") * F.col("w")) / F.sum("w")).alias("new"))
+        step = now.df.join(new, ["side", "id"]).select("side", "id", ((F.col("sim") + F.col("new")) / 2).alias("sim"), F.abs(F.col("new") - F.col("sim")).alias("change"))
+        after = Stored(step, "similarity")
+        change = after.df.agg(F.max("change")).first()[0] or 0.0
+        now.drop()
+        now = Stored(after.df.select("side", "id", "sim"), "similarity")
+        after.drop()
+        if change <= STABLE:
+            break
+    return now.df
+
+
 def confident(pairs: DataFrame, topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Pairs with a confidence between 0.5 and 1.
 
-    Half of it is for the title; a shared identifier adds 0.3 and each of a
-    shared country and a publisher written alike 0.1.
+    Half of it is for the title, the other half the geometric mean of the
+    propagated similarities of both records to their journal.
     """
-    long = attributes(topics, fields, catalogue).withColumn(
-        "value", F.when(F.col("attr") == "p", F.lower(F.regexp_replace("value", r"[^\p{L}\p{N}]+", ""))).otherwise(F.col("value"))
-    )
-    sets = long.groupBy("side", "id").agg(
-        *(F.collect_set(F.when(F.col("attr") == a, F.col("value"))).alias(a) for a in ("i", "p", "c"))
-    )
-    t = sets.where("side = 't'").select(F.col("id").alias("topic_id"), *(F.col(a).alias(f"t_{a}") for a in "ipc"))
-    c = sets.where("side = 'c'").select(F.col("id").alias("unified_id"), *(F.col(a).alias(f"c_{a}") for a in "ipc"))
+    pairs = stored(pairs, "pairs")
+    sims = similarities(pairs, topics, fields, catalogue)
+    t = sims.where("side = 't'").select(F.col("id").alias("topic_id"), F.col("sim").alias("sim_t"))
+    c = sims.where("side = 'c'").select(F.col("id").alias("unified_id"), F.col("sim").alias("sim_c"))
     both = pairs.join(t, "topic_id", "left").join(c, "unified_id", "left")
-    share = lambda a: F.coalesce(F.arrays_overlap(f"t_{a}", f"c_{a}"), F.lit(False)).cast("int")
-    return both.select(
-        "topic_id", "unified_id", F.round(F.lit(0.5) + 0.3 * share("i") + 0.1 * share("p") + 0.1 * share("c"), 2).alias("confidence")
-    )
+    mean = F.sqrt(F.coalesce("sim_t", F.lit(0.0)) * F.coalesce("sim_c", F.lit(0.0)))
+    return both.select("topic_id", "unified_id", F.round(F.lit(0.5) + 0.5 * mean, 2).alias("confidence"))

@@ -256,9 +256,12 @@ def groups(names: DataFrame) -> DataFrame:
         .agg(F.min("title_key").alias("title_key"))
     )
     # Of the names under a key the one with the most parts stands for them, as it spells all orders.
-    first = keyed.groupBy("tab", "key").agg(
-        F.min("id").alias("least"), F.max_by("name", F.struct("parts", -F.col("id"))).alias("name"),
-        F.any_value("bag").alias("bag"), F.max("parts").alias("parts"),
+    first = stored(
+        keyed.groupBy("tab", "key").agg(
+            F.min("id").alias("least"), F.max_by("name", F.struct("parts", -F.col("id"))).alias("name"),
+            F.any_value("bag").alias("bag"), F.max("parts").alias("parts"),
+        ),
+        "first-names",
     )
     # The same for titles whose orders are not listed; among several the one with the most parts.
     long = first.where(F.col("parts") > LISTED).select(
@@ -269,7 +272,9 @@ def groups(names: DataFrame) -> DataFrame:
         .groupBy("tab", "key")
         .agg(F.min_by("long_key", F.struct(-F.col("long_parts"), F.col("long_key"))).alias("long_key"))
     )
-    first = first.join(titles, ["tab", "key"], "left").join(longs, ["tab", "key"], "left")
+    # Mostly there are no such titles, and then nothing to join.
+    known = first.withColumn("long_key", F.lit(None).cast("bigint")) if long.isEmpty() else first.join(longs, ["tab", "key"], "left")
+    first = known.join(titles, ["tab", "key"], "left")
     listed = F.when(F.col("parts") <= LISTED, F.col("title_key"))
     first = first.withColumn("group_key", F.coalesce("long_key", listed, "key"))
     group = first.groupBy("tab", "group_key").agg(

@@ -72,7 +72,21 @@ def test_identifiers(spark):
     assert [r[0] for r in rows.select(valid_issn(F.col("v"))).collect()] == ["40000559", "40000559", None, None, None, None, "4015100X"]
 
 
+def confidence(spark, f, c):
+    t, f, c = topics(spark, [(1, "Acta Limehino Geology"), (2, "Acta Limehino Geology")]), fields(spark, f), catalogue(spark, c)
+    return {r.topic_id: r.confidence for r in confident(matches(t, f, c), t, f, c).collect()}
+
+
 def test_confidence_grows_with_agreement(spark):
-    t, f = topics(spark, [(1, "Acta Limehino Geology")]), fields(spark, [(1, "issn_l", "4000-0559"), (1, "country", "Chile")])
-    c = catalogue(spark, [{"id": 10, "canonical_name": "Acta Limehino Geology", "issn_l": "4000-0559", "openalex_country": "CL"}])
-    assert [r.confidence for r in confident(matches(t, f, c), t, f, c).collect()] == [0.9]
+    one = {"id": 10, "canonical_name": "Acta Limehino Geology", "issn_l": "4000-0559", "openalex_country": "CL"}
+    agreed = confidence(spark, [(1, "issn_l", "4000-0559"), (1, "country", "Chile")], [one])
+    assert agreed == {1: 1.0, 2: 0.5}
+    partly = confidence(spark, [(1, "issn_l", "4000-0559"), (1, "country", "Peru"), (2, "country", "Chile"), (2, "issn_l", "4000-0559")], [one])
+    assert 0.5 < partly[1] < partly[2] <= 1.0
+    assert confidence(spark, [], [{**one, "issn_l": None, "openalex_country": None}]) == {1: 0.5, 2: 0.5}
+
+
+def test_short_titles_meet(spark):
+    t = [(1, "Zolamik"), (2, "Limehino Geology"), (3, "Limehino Gology"), (4, "Zolamik Geology"), *FILL, *((i, f"Geology of X{i}onia") for i in range(20, 32))]
+    c = [{"id": 10, "canonical_name": "ZOLAMIK."}, {"id": 11, "canonical_name": "The Limehino Geology"}]
+    assert run(spark, t, [], c) == {(1, 10), (2, 11), (3, 11)}
