@@ -55,6 +55,6 @@ def country_code(value: Column) -> Column:
     folded = F.lower(F.translate(F.trim(value), "üÜöÖñÑéÉèÈáÁíÍóÓçÇ", "uUoOnNeEeEaAiIoOcC"))
     plain = F.trim(F.regexp_replace(F.regexp_replace(folded, r"[.'’]", ""), r"[^a-z]+", " "))
     table = F.create_map(*(F.lit(x) for code, names in NAMES.items() for name in names.split("|") for x in (name, code)))
-    return F.when(F.length(plain) == 2, F.coalesce(F.try_element_at(table, plain), F.upper(plain))).otherwise(
-        F.coalesce(F.try_element_at(table, plain), plain)
-    )
+    # A lambda, so that the folding is done once for all its uses.
+    coded = lambda x: F.coalesce(F.try_element_at(table, x), F.when(F.length(x) == 2, F.upper(x)).otherwise(x))
+    return F.get(F.transform(F.array(plain), coded), F.lit(0))

@@ -58,13 +58,21 @@ CLEARER = 20  # the word it is mapped to is so many times more frequent than any
 SAME_PUBLISHER = 0.7  # soft token similarity of two spellings of one publisher
 
 
-def valid_issn(value: Column) -> Column:
-    """The eight characters of an ISSN with a right check digit, else null."""
-    s = F.upper(F.regexp_replace(value, r"[^0-9Xx]", ""))
+def _issn_letters(value: Column) -> Column:
+    return F.upper(F.regexp_replace(value, r"[^0-9Xx]", ""))
+
+
+def _checked(s: Column) -> Column:
+    """Eight characters if their check digit is right, else null."""
     digit = lambda i: F.substring(s, i, 1).try_cast("int")
     last = F.when(F.substring(s, 8, 1) == "X", 10).otherwise(digit(8))
     total = sum((digit(i) * (9 - i) for i in range(2, 8)), digit(1) * 8) + last
-    return F.when(s.rlike(r"^\d{7}[\dX]$") & (s != "00000000") & (total % 11 == 0), s)
+    return F.when((F.length(s) == 8) & (s != "00000000") & (total % 11 == 0), s)
+
+
+def valid_issn(value: Column) -> Column:
+    """The eight characters of an ISSN with a right check digit, else null."""
+    return _checked(_issn_letters(value))
 
 
 def titles(topics: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -271,10 +279,7 @@ def attributes(topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> Da
         F.lit("t").alias("side"),
         F.col("topic_id").alias("id"),
         F.when(F.col("name") == "issn_l", "i").when(F.col("name") == "publisher", "p").otherwise("c").alias("attr"),
-        F.when(F.col("name") == "issn_l", valid_issn(F.col("value")))
-        .when(F.col("name") == "country", country_code(F.col("value")))
-        .otherwise(F.col("value"))
-        .alias("value"),
+        "value",
     )
     u = "unified."
     issns = F.array_distinct(
@@ -292,18 +297,13 @@ def attributes(topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> Da
             ).alias("x"),
         )
         .where(filled(F.col("x.value")))
-        .select(
-            F.lit("c").alias("side"),
-            "id",
-            "x.attr",
-            F.when(F.col("x.attr") == "i", valid_issn(F.col("x.value")))
-            .when(F.col("x.attr") == "c", country_code(F.col("x.value")))
-            .otherwise(F.col("x.value"))
-            .alias("value"),
-        )
+        .select(F.lit("c").alias("side"), "id", "x.attr", "x.value")
     )
-    both = t.unionByName(c).where("value is not null")
-    return both.groupBy("side", "id", "attr", "value").agg(F.count(F.lit(1)).alias("n"))
+    # The letters that count are made once; a filter on the result would make them again, so the nulls go in the explode.
+    both = t.unionByName(c).withColumn("letters", F.when(F.col("attr") == "i", _issn_letters(F.col("value"))))
+    value = F.when(F.col("attr") == "i", _checked(F.col("letters"))).when(F.col("attr") == "c", country_code(F.col("value"))).otherwise(F.col("value"))
+    long = both.select("side", "id", "attr", F.explode(F.array_compact(F.array(value))).alias("value"))
+    return long.groupBy("side", "id", "attr", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _same_publisher(a: str, b: str) -> Column:
@@ -378,8 +378,8 @@ def matches(topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> DataF
     return t.join(c, "journal").select("topic_id", "unified_id")
 
 
-STABLE = 0.001  # the change of similarity below which propagation ends
-MOST_ROUNDS = 40  # it ends here at the latest; as half of the old value stays, a change of one shrinks to STABLE in ten
+STABLE = 0.005  # the change of similarity below which propagation ends; confidences have two digits
+MOST_ROUNDS = 40  # it ends here at the latest; as half of the old value stays, a change of one shrinks to STABLE in eight
 
 
 def similarities(pairs: DataFrame, topics: DataFrame, fields: DataFrame, catalogue: DataFrame) -> DataFrame:
