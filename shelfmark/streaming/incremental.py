@@ -30,8 +30,11 @@ def upsert_sink(spark: SparkSession, folder: str, key: str, order: str) -> Calla
     Of all rows of a key, stored or new, the one with the greatest ``order``
     stays, in whatever order and batches they arrive.
     A batch writes the version that bears its number and reads the one before
-    it, so a batch that is repeated after a failure gives the same table.
+    it, so a batch that is repeated after a failure gives the same table. Older
+    versions than those two are removed.
     """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
 
     def sink(batch: DataFrame, number: int) -> None:
         values = [c for c in batch.columns if c != key]
@@ -41,5 +44,8 @@ def upsert_sink(spark: SparkSession, folder: str, key: str, order: str) -> Calla
         last = rows.groupBy(key).agg(F.max(F.struct(order, *(c for c in values if c != order))).alias("x"))
         merged = last.select(key, *(F.col(f"x.{c}").alias(c) for c in values))
         merged.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        if number > 1:
+            old = hadoop(f"{folder}/v{number - 2}")
+            old.getFileSystem(settings).delete(old, True)
 
     return sink

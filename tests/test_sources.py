@@ -168,6 +168,7 @@ def test_stream_upsert_keeps_the_greatest_of_all_batches(spark, tmp_path):
         sink(spark.createDataFrame(rows, schema), i)
         sink(spark.createDataFrame(rows, schema), i)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "v2")).collect()} == {(1, 5, "a"), (2, 2, "c"), (3, 1, "d")}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["v1", "v2"]
 
 
 def test_first_seen_in_a_stream(spark, tmp_path):
