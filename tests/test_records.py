@@ -101,6 +101,29 @@ def test_related_all_with_one_rich_item(spark):
         assert every.get(i, []) == want
 
 
+def test_related_all_keeps_pairs_of_rich_items_out_of_exchanges(spark, monkeypatch):
+    """Every two of 160 items with over ten features meet; blocks of a few items give what one pass over all pairs gives."""
+    for name in ("ASKING", "BLOCK"):
+        monkeypatch.setattr(related, name, 1000, raising=False)
+    of = {i: {(f"t{j}", 3) for j in range(20) if (i * 7 + j * j) % 5 or j < 6} | {(f"p{i % 9}", 2), (f"own{i}", 1)} for i in range(160)}
+    of |= {i: {(f"t{i % 20}", 3), (f"p{i % 9}", 2)} for i in range(160, 200)}
+    recency = {i: None if i % 6 == 0 else i % 11 for i in of}
+    it = spark.createDataFrame([(i, recency[i]) for i in of], "id bigint, recency int")
+    ft = spark.createDataFrame([(i, f, n) for i, fs in of.items() for f, n in sorted(fs)] + [(200, f"t{i}", 3) for i in range(12)], "id bigint, feature string, points int")
+
+    found = related.related_to_all(it, ft, k=4)
+    # A join of rich profiles on their features makes a row of each pair and feature.
+    assert not re.search(r"Join Inner, \(feature#", found._jdf.queryExecution().optimizedPlan().toString())
+    got = {}
+    for r in found.orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append((r.other_id, r.score))
+    newest = lambda j: -1 if recency[j] is None else recency[j]
+    for i in of:
+        scores = {j: sum(n for _, n in of[i] & of[j]) for j in of if j != i}
+        assert got.get(i, []) == [(j, scores[j]) for j in sorted((j for j in scores if scores[j]), key=lambda j: (-scores[j], -newest(j), j))[:4]]
+    assert 200 not in got
+
+
 def test_json_ld_leaves_out_what_is_unknown(spark, data):
     from shelfmark.plans.derived import records
 
