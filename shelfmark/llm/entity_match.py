@@ -53,6 +53,8 @@ from shelfmark.session import Stored, stored
 
 BEGINNING = 4  # letters of a word that a block key holds
 MOST_PAIRED = 12  # words of a title of which all pairs are keys
+COMMON = 32  # readings under a key from which on they also meet by a third word
+SURE = 6  # letters of that word of which one may be damaged
 RARER = 5  # a misspelling is so many times rarer than the word it stands for
 CLEARER = 20  # the word it is mapped to is so many times more frequent than any other
 SAME_PUBLISHER = 0.7  # soft token similarity of two spellings of one publisher
@@ -215,6 +217,24 @@ def _near(a: Column, b: Column) -> Column:
     return F.forall(F.zip_with(a, b, lambda x, y: (x == y) | close(x, y)), lambda c: c)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """The rows of readings under keys with how they meet there: common, meets, short.
+
+    Under a rare key all meet. Under a common one two meet if the word in the
+    place where the readings under the key differ most may be equal: its first
+    SURE letters without one of them are shared by all words that are equal but
+    for one edit or a cut end. A word of fewer letters (short) meets every one.
+    """
+    common = rows.where(f"df > {COMMON}")
+    places = common.select("key", F.posexplode(F.transform("tokens", lambda t: F.left(t, F.lit(BEGINNING)))).alias("at", "stem")).distinct()
+    best = places.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("at", F.struct("n", -F.col("at"))).alias("at"))
+    word = F.regexp_replace(F.get("tokens", F.col("at")), r"\.$", "")
+    cut = F.transform(F.sequence(F.lit(1), F.lit(SURE)), lambda i: F.xxhash64(F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.lit(SURE) - i))))
+    is_common, short = F.col("at").isNotNull(), F.col("at").isNotNull() & (F.length(word) < SURE)
+    meets = F.when(~is_common, F.array(F.lit(0).cast("bigint"))).when(~short, F.array_distinct(cut))
+    return rows.join(best, "key", "left").select(*rows.columns, is_common.alias("common"), short.alias("short"), meets.alias("meets"))
+
+
 def title_clusters(named: DataFrame) -> DataFrame:
     """The cluster of every title: title, cluster."""
     read = stored(readings(named), "title-readings")
@@ -231,11 +251,21 @@ def title_clusters(named: DataFrame) -> DataFrame:
     # A rare key weighs more, so the heaviest come first.
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
     # One damaged word spoils n - 1 keys; among the n heaviest one is left that both have.
-    kept = keys.join(df, "key").withColumn("rank", rank).where("rank <= n and df > 1").select("node", "key", (1.0 / F.log2(F.col("df") + 1)).alias("w"))
-    side = kept.join(nodes, "node")
-    a = side.select("key", "w", *(F.col(c).alias(f"{c}_a") for c in nodes.columns))
-    b = side.select("key", *(F.col(c).alias(f"{c}_b") for c in nodes.columns))
-    met = a.join(b, "key").where("node_a < node_b and series_a = series_b and size(tokens_a) = size(tokens_b)")
+    kept = keys.join(df, "key").withColumn("rank", rank).where("rank <= n and df > 1").select("node", "key", "df")
+    side = stored(_spread(kept.join(nodes, "node")), "title-keys")
+    cols = ("key", "meets", "short", *nodes.columns)
+    a = side.select((1.0 / F.log2(F.col("df") + 1)).alias("w"), "common", *(F.col(c).alias(f"{c}_a") for c in cols))
+    b = side.select(F.col("common").alias("common_b"), *(F.col(c).alias(f"{c}_b") for c in cols))
+    pair = "key_a = key_b and node_a < node_b and series_a = series_b and size(tokens_a) = size(tokens_b)"
+    long_a, long_b = (x.where(f"not short_{c}").withColumn(f"meet_{c}", F.explode(f"meets_{c}")) for c, x in (("a", a), ("b", b)))
+    # Two may share several ways to meet under a key; the least of them counts.
+    once = F.expr("meet_a = meet_b and meet_a = array_min(array_intersect(meets_a, meets_b))")
+    ways = (
+        long_a.join(long_b, F.expr(pair) & once).drop("meet_a", "meet_b"),
+        a.where("short_a").join(b.where("common_b"), F.expr(pair)),
+        a.where("common and not short_a").join(b.where("short_b"), F.expr(pair)),
+    )
+    met = ways[0].unionByName(ways[1]).unionByName(ways[2])
     met = met.where(_near(F.col("tokens_a"), F.col("tokens_b"))).groupBy("node_a", "node_b").agg(
         F.sum("w").alias("weight"), *(F.any_value(c).alias(c) for c in ("tokens_a", "tokens_b", "dfs_a", "dfs_b"))
     )

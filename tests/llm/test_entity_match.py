@@ -2,7 +2,7 @@
 
 import pytest
 
-from shelfmark.llm.entity_match import confident, matches, valid_issn
+from shelfmark.llm.entity_match import _spread, confident, matches, valid_issn
 from shelfmark.llm.title_rules import read_title
 from tests.llm.fixtures import catalogue, fields, topics
 
@@ -90,3 +90,15 @@ def test_short_titles_meet(spark):
     t = [(1, "Zolamik"), (2, "Limehino Geology"), (3, "Limehino Gology"), (4, "Zolamik Geology"), *FILL, *((i, f"Geology of X{i}onia") for i in range(20, 32))]
     c = [{"id": 10, "canonical_name": "ZOLAMIK."}, {"id": 11, "canonical_name": "The Limehino Geology"}]
     assert run(spark, t, [], c) == {(1, 10), (2, 11), (3, 11)}
+
+
+def test_common_keys_meet_by_a_third_word(spark):
+    """Readings under a common key meet only where the word that tells them apart may be equal; no damaged one is lost."""
+    names = [f"{a}{b}{c}" for a in ("lime", "doka", "guti", "pehu", "sora") for b in ("hi", "ba", "mu", "ke") for c in ("nole", "tadi")]
+    damaged = {n: v for n, v in zip(names, [n[1] + n[0] + n[2:] for n in names[:8]] + [n[:2] + "x" + n[3:] for n in names[8:16]] + [n[0] + n[2:] for n in names[16:24]], strict=False)}
+    t = [(i, f"Acta {n.title()} Geology") for i, n in enumerate(names)]
+    c = [{"id": 100 + i, "canonical_name": f"Acta {damaged.get(n, n).title()} Geology"} for i, n in enumerate(names)]
+    assert run(spark, t, [], c) == {(i, 100 + i) for i in range(len(names))}
+    rows = spark.createDataFrame([(i, 1, 40, ["acta", n, "geology"]) for i, n in enumerate(names)], "node long, key long, df long, tokens array<string>")
+    met = _spread(rows).selectExpr("node", "explode(meets) as meet")
+    assert met.join(met.withColumnRenamed("node", "other"), "meet").where("node < other").select("node", "other").distinct().count() < 200
